@@ -218,7 +218,7 @@ def write(encoded: DataFrame, vocabulary_size: int, folder: str, files: int | No
             store.move(mine, name)
             yield pa.RecordBatch.from_pylist([{"part": part, "path": name, "documents": len(writer.docs), "tokens": writer.n, "size": store.get_file_info(name).size}])
 
-    schema = "part int, path string, documents long, tokens long, size long"
+    schema = "part long, path string, documents long, tokens long, size long"
     ordered = encoded.repartitionByRange(files or slices(encoded), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "packed")
     ordered.mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
     files_in_order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
