@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, tokenfile
+from . import bpe, quality, secrets, tokenfile
+from .columns import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +18,23 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), shared_dir(spark, "blob-ledger"))
+    of = lambda *kinds: F.filter("findings", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE]
+    base = secrets.written_out(of(*(r.kind for r in secrets.BASE)))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secrets.written_out(F.col("findings")).alias("spans"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_token_files)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_ledger, op3_token_files, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
