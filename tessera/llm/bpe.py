@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .columns import binary_array, row_chunks, text_buffer
+from .columns import binary_array, row_chunks, small_batches, text_buffer
 from .pretokenize import SliceCache, encode_rows
 
 NONE = 1 << 40  #: more than any rank
@@ -28,7 +28,7 @@ NONE = 1 << 40  #: more than any rank
 class ByteBPE:
     """A rank file: one line per token, base64 of its bytes and its rank."""
 
-    def __init__(self, path: str, most_cached: int = 600_000):
+    def __init__(self, path: str, most_cached: int = 400_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
@@ -183,7 +183,7 @@ def _append(df: DataFrame, new: list[tuple[str, T.DataType]], drop: tuple[str, .
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in kept), *make(batch)], [*kept, *(n for n, _ in new)])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", offsets: bool = True, keep_text: bool = False) -> DataFrame:

@@ -40,6 +40,17 @@ def slices(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(df: DataFrame, rows: int = 2048, size: int = 4 << 20) -> DataFrame:
+    """Bound what a Python worker gets at once: the session's Arrow batches take at most
+    `rows` rows and about `size` bytes (a longer row is a batch of its own)."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = conf.get(key, str(most))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n+1 offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -171,7 +171,7 @@ class SliceCache:
     """ids of slices, remembered up to `most` slices: encode_many(list of bytes) gives the
     number of ids of each slice and all ids laid end to end."""
 
-    def __init__(self, encode_many, most: int = 600_000):
+    def __init__(self, encode_many, most: int = 400_000):
         self.encode_many, self.most = encode_many, most
         self._clear()
 

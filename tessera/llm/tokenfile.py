@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .columns import binary_array, row_chunks, shared_dir, slices, text_buffer
+from .columns import binary_array, row_chunks, shared_dir, slices, small_batches, text_buffer
 from .pretokenize import SliceCache, encode_rows
 
 MAGIC, VERSION, BLOCK = b"TIDS", 1, 1 << 16
@@ -189,7 +189,7 @@ def library_encode(df: DataFrame, vocabulary: str, end_id: int | None, doc_id: s
             packed = [struct.pack("<Q", len(x) + len(tail)) + pack(np.concatenate([x, tail]), bits) for x in own.encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), binary_array(packed)], ["doc_id", "packed"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, packed binary")
+    return small_batches(df).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, packed binary")
 
 
 def write(encoded: DataFrame, vocabulary_size: int, folder: str, files: int | None = None) -> DataFrame:
