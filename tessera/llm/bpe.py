@@ -28,7 +28,7 @@ NONE = 1 << 40  #: more than any rank
 class ByteBPE:
     """A rank file: one line per token, base64 of its bytes and its rank."""
 
-    def __init__(self, path: str, most_cached: int = 400_000):
+    def __init__(self, path: str, most_cached: int = 250_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
@@ -149,7 +149,7 @@ class ByteBPE:
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """ids and row offsets, chunk by chunk."""
         data, offsets = text_buffer(texts)
-        for a, b in row_chunks(offsets):
+        for a, b in row_chunks(offsets, 1 << 19):
             own = offsets[a : b + 1] - offsets[a]
             ids, rows, _, _ = encode_rows(data[offsets[a] : offsets[b]], own, self.cache)
             yield ids, rows
@@ -186,13 +186,15 @@ def _append(df: DataFrame, new: list[tuple[str, T.DataType]], drop: tuple[str, .
     return small_batches(df).mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", offsets: bool = True, keep_text: bool = False) -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, text: str = "text", offsets: bool = True, keep_text: bool = False, decoded: str | None = None) -> DataFrame:
     """df with `n_tokens` and `ids` (little-endian unsigned 32-bit integers), and with offsets
-    `ends`: the byte offset in the text at which each id ends, packed the same way."""
-    new = [("n_tokens", T.LongType()), ("ids", T.BinaryType()), *([("ends", T.BinaryType())] if offsets else [])]
+    `ends`: the byte offset in the text at which each id ends, packed the same way.  With
+    `decoded`, the ids are decoded again into that column by the same worker: a round trip
+    that needs one vocabulary in memory instead of two."""
+    new = [("n_tokens", T.LongType()), ("ids", T.BinaryType()), *([("ends", T.BinaryType())] if offsets else []), *([(decoded, T.BinaryType())] if decoded else [])]
 
     def make(batch):
-        bpe, counts, ids_out, ends_out = model(vocabulary), [], [], []
+        bpe, counts, ids_out, ends_out, back = model(vocabulary), [], [], [], []
         for ids, rows in bpe.encode(batch.column(batch.schema.get_field_index(text))):
             for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
                 own = ids[a:b]
@@ -200,7 +202,9 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", offsets: bool = T
                 ids_out.append(own.astype("<u4").tobytes())
                 if offsets:
                     ends_out.append(bpe.offsets(own).astype("<u4").tobytes())
-        return [pa.array(counts, pa.int64()), binary_array(ids_out), *([binary_array(ends_out)] if offsets else [])]
+                if decoded:
+                    back.append(bpe.decode(own))
+        return [pa.array(counts, pa.int64()), binary_array(ids_out), *([binary_array(ends_out)] if offsets else []), *([binary_array(back)] if decoded else [])]
 
     return _append(df, new, () if keep_text else (text,), make)
 

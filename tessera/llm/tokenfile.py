@@ -144,7 +144,7 @@ class LibraryTokenizer:
         self.library = Tokenizer.from_file(path)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.added = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
-        self.cache = SliceCache(self._encode_many)
+        self.cache = SliceCache(self._encode_many, 250_000)
 
     def _encode_many(self, keys: list[bytes]):
         flat, lengths = [], []
