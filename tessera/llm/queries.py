@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, quality, secrets, tokenfile
+from . import bpe, classlm, jaccard, quality, secrets, tokenfile
 from .columns import shared_dir
 
 
@@ -39,5 +39,9 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_ledger, op3_token_files, op8_ngram_jaccard_join, op10_quality_rules)}
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_ledger, op3_token_files, op4_class_lm, op8_ngram_jaccard_join, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
