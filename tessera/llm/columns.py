@@ -20,6 +20,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return posixpath.join(base.rstrip("/"), f"{name}-{uuid.uuid4().hex}")
 
 
+def store_of(folder: str):
+    """File system and path of a folder, for tasks that write files of their own."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's folder; set one only where none is set (local tests)."""
     context = spark.sparkContext

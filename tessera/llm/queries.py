@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classlm, jaccard, quality, secrets, tokenfile
+from . import bpe, classlm, jaccard, linededup, mixing, quality, secrets, tokenfile, warc
 from .columns import shared_dir
 
 
@@ -43,5 +43,40 @@ def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_ledger, op3_token_files, op4_class_lm, op8_ngram_jaccard_join, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = pages.withColumn("captured", F.timestamp_seconds(1577836800 + F.coalesce("page_id", F.lit(0))))  # the table has no times: one second a page
+    folder = shared_dir(spark, "warc")
+    return warc.replay(warc.merge_index(warc.write(pages, folder), folder), folder)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_removed", "text")
+
+
+def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "copy", "n_copies", "shuffle_key", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_ledger, op3_token_files, op4_class_lm, op5_line_dedup, op7_poisson_mixing, op8_ngram_jaccard_join, op9_warc_histories, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {
+    "op7_poisson_mixing": """
+WITH sizes AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY source),
+rates AS (SELECT source, CASE WHEN size > 0 THEN sqrt(size) / sum(sqrt(size)) OVER () * sum(size) OVER () / size ELSE 0 END AS rate FROM sizes),
+terms AS (
+  SELECT source, rate, unnest(range(CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS j FROM rates),
+logs AS (
+  SELECT source, j, -rate + sum(CASE WHEN j = 0 OR rate = 0 THEN 0 ELSE ln(rate / j) END) OVER (PARTITION BY source ORDER BY j) AS log_p, rate FROM terms),
+thresholds AS (
+  SELECT source, j, sum(CASE WHEN rate = 0 THEN CASE WHEN j = 0 THEN 1 ELSE 0 END ELSE exp(log_p) END) OVER (PARTITION BY source ORDER BY j) AS cdf FROM logs),
+hashed AS (
+  SELECT doc_id, source, text, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS id FROM documents),
+placed AS (SELECT *, CAST('0x' || substr(md5('0|' || id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM hashed),
+counted AS (
+  SELECT p.doc_id, p.source, p.text, p.id, p.u, list(t.cdf) AS cdfs FROM placed p JOIN thresholds t ON p.source IS NOT DISTINCT FROM t.source GROUP BY ALL),
+copies AS (SELECT doc_id, source, text, id, len(list_filter(cdfs, lambda c: c <= u)) AS n_copies FROM counted),
+exploded AS (SELECT doc_id, source, text, id, n_copies, unnest(range(1, n_copies + 1)) AS copy FROM copies)
+SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, CAST(n_copies AS INTEGER) AS n_copies, md5('0|' || id || '|' || CAST(copy AS VARCHAR)) AS shuffle_key, text FROM exploded
+""",
+}

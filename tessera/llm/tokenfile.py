@@ -24,10 +24,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .columns import binary_array, row_chunks, shared_dir, slices, small_batches, text_buffer
+from .columns import binary_array, row_chunks, shared_dir, slices, small_batches, store_of, text_buffer
 from .pretokenize import SliceCache, encode_rows
 
 MAGIC, VERSION, BLOCK = b"TIDS", 1, 1 << 16
@@ -204,7 +203,7 @@ def write(encoded: DataFrame, vocabulary_size: int, folder: str, files: int | No
         writer = None
         for batch in batches:
             if writer is None:
-                store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+                store, base = store_of(folder)
                 store.create_dir(base, recursive=True)
                 part = TaskContext.get().partitionId()
                 mine, name = f"{base}/.{uuid.uuid4().hex}", f"{base}/{part:06d}.tids"
@@ -232,7 +231,7 @@ def read(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                store = fs.FileSystem.from_uri(folder)[0] if "://" in folder or folder.startswith("file:") else fs.LocalFileSystem()
+                store, _ = store_of(folder)
                 with store.open_input_file(row["path"]) as source:
                     reader, at, out = Reader(source, row["size"]), row["start"], []
                     for doc, ids in reader.documents():
