@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classlm, jaccard, linededup, mixing, quality, secrets, tokenfile, warc
+from . import bpe, classlm, jaccard, linededup, mixing, quality, rpforest, secrets, tokenfile, warc
 from .columns import shared_dir
 
 
@@ -54,12 +54,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_removed", "text")
 
 
+def op6_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return rpforest.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "copy", "n_copies", "shuffle_key", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_ledger, op3_token_files, op4_class_lm, op5_line_dedup, op7_poisson_mixing, op8_ngram_jaccard_join, op9_warc_histories, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_ledger, op3_token_files, op4_class_lm, op5_line_dedup, op6_rp_forest, op7_poisson_mixing, op8_ngram_jaccard_join, op9_warc_histories, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {
     "op7_poisson_mixing": """
 WITH sizes AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY source),
