@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .columns import let
+from .columns import let, written
 
 
 class Rule(NamedTuple):
@@ -95,7 +95,7 @@ def scan(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = (*BASE, PEM), key
     current = F.struct("rule", "version").isin(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
     hits = spark.read.schema(LEDGER).parquet(ledger).where(current & (F.size("spans") > 0)).dropDuplicates(["blob", "rule", "version"])
     listed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order.alias("order"), F.col("rule").alias("kind"), s["end"].alias("end")))
-    found = hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(listed))).alias("findings"))
+    found = written(hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(listed))).alias("findings")), "findings")  # a plain table: a join with it can be split at a blob that many rows have
     none = F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint>>")
     paths = blobs.select("key", "blob").join(found, "blob", "left")
     return paths.select(F.col("key").alias(key), "blob", F.coalesce("findings", none).alias("findings"))
