@@ -162,8 +162,9 @@ def other_pairs(lists: DataFrame, open_lists: DataFrame) -> DataFrame:
     return fitting(x.join(y, "key").where("x < y"))
 
 
-def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
+def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, version (hash of the text), n (size of the set) and `first`, the smallest (doc_id, version)
+    of the component, for each row of docs; `first` is null for empty sets."""
     docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
     described = written(describe(docs), "shingle-sets")
     nodes = described.where(F.col("node").isNotNull()).select("doc_id", "version", "n", "node")
@@ -198,9 +199,26 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         labels = connected_components(links)
 
     members = nodes.withColumn("comp", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = members.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    members = members.join(smallest, "comp", "left")
-    return members.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # null ids are last, as the largest
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
+    smallest = members.where("n > 0").groupBy("comp").agg(F.min(place).alias("first")).select("comp", F.struct("first.doc_id", "first.version").alias("first"))
+    return members.where("n > 0").join(smallest, "comp").select("doc_id", "version", "n", "first").union(members.where("n = 0").select("doc_id", "version", "n", F.lit(None).cast(smallest.schema["first"].dataType)))
+
+
+def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs; an empty set's component is its own id."""
+    found = members_of(docs, doc_id, text)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of the smallest id; rows with empty sets stay."""
+    found = written(members_of(docs), "members")
+    kept = found.where("n = 0 OR (doc_id <=> first.doc_id AND version = first.version)").select(F.col("doc_id").alias("own"), F.col("version").alias("own_version"), (F.col("n") == 0).alias("empty_")).distinct()
+    rows = docs.withColumn("version_", F.xxhash64("text"))
+    rows = rows.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("version_") == F.col("own_version")))
+    repeat = F.row_number().over(Window.partitionBy("doc_id", "version_").orderBy(F.lit(1)))  # rows repeated in full
+    return rows.withColumn("repeat_", repeat).where("repeat_ = 1 OR empty_").select(*docs.columns)
 
 
 def hash_of_round(round_: int) -> int:
