@@ -1,11 +1,59 @@
-"""The corpus pipeline: STAGES are applied one after the other to the documents."""
+"""The corpus pipeline: five operators of tessera.llm, one after the other, on the documents.
 
-STAGES = []
+Each stage gets the table that the stage before it wrote and works on all of it; all but the
+last return the columns of `documents`, with n_chars of the text as it is then.
+"""
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tessera.llm import bpe, jaccard, linededup, mixing, quality
+from tessera.llm.columns import written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules, or whose likelihood ratio is low, go."""
+    judged = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.where("kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of passages of lines go, and documents of which no word is left."""
+    left = linededup.dedup(docs, drop_emptied=True)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return jaccard.keep_first(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat so that sources weigh as the square roots of their sizes; shuffled globally."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, which must decode to the text."""
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep_text=True, offsets=False, decoded="decoded")
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources", mix_sources),
+    ("byte-level BPE", byte_bpe),
+]
+
+#: SQL can express neither the likelihood model's hashes nor the byte-pair merges; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
