@@ -133,7 +133,7 @@ class LibraryTokenizer:
     """The tokenizers library with a memory.
 
     Its byte-level BPE encodes each match of the cutting pattern separately, so every
-    distinct match passes through the library once.  Texts in which the library would see
+    distinct match passes through the library's model once.  Texts in which the library would see
     an added token (like an end-of-text mark) go through it whole.
     """
 
@@ -143,15 +143,17 @@ class LibraryTokenizer:
         self.library = Tokenizer.from_file(path)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.added = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
+        # printable bytes stand for themselves, the others for the code points from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.spelled = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}
         self.cache = SliceCache(self._encode_many, 250_000)
 
     def _encode_many(self, keys: list[bytes]):
-        flat, lengths = [], []
-        for k in range(0, len(keys), 2000):
-            part = self.library.encode([x.decode() for x in keys[k : k + 2000]], is_pretokenized=True, add_special_tokens=False)
-            flat.append(np.array(part.ids, np.uint32))
-            lengths.append(np.bincount(np.array(part.word_ids, np.int64), minlength=len(keys[k : k + 2000])))
-        return np.concatenate(lengths), np.concatenate(flat)
+        """The library's BPE model on each slice, its bytes spelled as the byte-level alphabet spells them."""
+        model, spelled = self.library.model.tokenize, self.spelled
+        found = [[x.id for x in model(k.decode("latin-1").translate(spelled))] for k in keys]
+        lengths = np.fromiter(map(len, found), np.int32, len(found))
+        return lengths, np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
 
     def encode(self, texts: pa.Array):
         """The ids of each text, as numpy arrays."""
