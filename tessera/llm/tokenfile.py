@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .columns import binary_array, row_chunks, shared_dir, slices, small_batches, store_of, text_buffer
+from .columns import row_chunks, shared_dir, slices, small_batches, store_of, text_buffer
 from .pretokenize import SliceCache, encode_rows
 
 MAGIC, VERSION, BLOCK = b"TIDS", 1, 1 << 16
@@ -179,25 +179,25 @@ def tokenizer(path: str) -> LibraryTokenizer:
     return _tokenizers[path]
 
 
-def library_encode(df: DataFrame, vocabulary: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and `packed`: the ids of the text and the end id, packed at the width of the vocabulary."""
+def library_ids(vocabulary: str, end_id: int | None):
+    """For `write`: (doc_id, ids and the end id) of a batch of doc_id, text."""
 
-    def run(batches):
-        own = tokenizer(vocabulary)
-        bits = bits_for(own.vocabulary)
+    def ids_of(batch):
         tail = np.array([] if end_id is None else [end_id], np.uint32)
-        for batch in batches:
-            packed = [struct.pack("<Q", len(x) + len(tail)) + pack(np.concatenate([x, tail]), bits) for x in own.encode(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), binary_array(packed)], ["doc_id", "packed"])
+        for doc, ids in zip(batch.column(0).to_pylist(), tokenizer(vocabulary).encode(batch.column(1))):
+            yield doc, np.concatenate([ids, tail])
+
+    return ids_of
 
-    return small_batches(df).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, packed binary")
 
+def write(docs: DataFrame, ids_of, vocabulary_size: int, folder: str, doc_id: str = "doc_id", text: str = "text", files: int | None = None) -> DataFrame:
+    """Write token-id files in ascending doc_id order; returns the manifest (a row per file, also
+    kept as a table in the folder): path, size, documents, tokens, start (tokens in all files
+    before it).
 
-def write(encoded: DataFrame, vocabulary_size: int, folder: str, files: int | None = None) -> DataFrame:
-    """Write `library_encode`'s rows as token-id files in ascending doc_id order; returns the
-    manifest (a row per file, also kept as a table in the folder): path, size, documents,
-    tokens, start (tokens in all files before it)."""
-    spark, bits = encoded.sparkSession, bits_for(vocabulary_size)
+    The texts are dealt out by ranges of ids first and encoded behind that shuffle: the
+    sampling of the ranges then reads the table only, and nothing is encoded twice."""
+    spark = docs.sparkSession
 
     def run(batches):
         from pyspark import TaskContext
@@ -210,9 +210,8 @@ def write(encoded: DataFrame, vocabulary_size: int, folder: str, files: int | No
                 part = TaskContext.get().partitionId()
                 mine, name = f"{base}/.{uuid.uuid4().hex}", f"{base}/{part:06d}.tids"
                 writer = Writer(store.open_output_stream(mine), vocabulary_size)
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = memoryview(raw.as_buffer())
-                writer.add(doc, unpack(raw[8:], bits, struct.unpack("<Q", raw[:8])[0]))
+            for doc, ids in ids_of(batch):
+                writer.add(doc, ids)
         if writer is not None:
             writer.close()
             writer.sink.close()
@@ -220,7 +219,8 @@ def write(encoded: DataFrame, vocabulary_size: int, folder: str, files: int | No
             yield pa.RecordBatch.from_pylist([{"part": part, "path": name, "documents": len(writer.docs), "tokens": writer.n, "size": store.get_file_info(name).size}])
 
     schema = "part long, path string, documents long, tokens long, size long"
-    ordered = encoded.repartitionByRange(files or slices(encoded), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "packed")
+    docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    ordered = docs.repartitionByRange(files or slices(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
     files_in_order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     manifest = spark.read.schema(schema).parquet(f"{folder}/manifest")
@@ -257,5 +257,5 @@ def read(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
 def token_files(spark: SparkSession, df: DataFrame, vocabulary: str, end_id: int | None = 2, folder: str | None = None) -> DataFrame:
     """Encode with the tokenizers library, write the files, read them back (see `read`)."""
     folder = folder or shared_dir(spark, "token-files")
-    manifest = write(library_encode(df, vocabulary, end_id), tokenizer(vocabulary).vocabulary, folder)
+    manifest = write(df, library_ids(vocabulary, end_id), tokenizer(vocabulary).vocabulary, folder)
     return read(manifest, folder)
