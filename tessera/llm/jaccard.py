@@ -9,8 +9,9 @@ both share B + 1 heavy shingles in it.  Heavy shingles fall into B classes by ha
 of them are in one class: pairs of heavy shingles of one class are indexed.  B follows
 the binary order of magnitude of the set's size; a set whose partners may be of the next
 smaller order is indexed under both.  Heavy shingles are the most frequent of those that
-stand out within a batch, MOST_HEAVY at most (so they may be sent to all tasks); which
-shingles are heavy changes the cost only, never the result.
+stand out among the LOCAL_TOKENS that a task sees in a row, MOST_HEAVY at most (two
+megabytes, so they may be sent to all tasks); which shingles are heavy changes the cost
+only, never the result.
 
 Equal sets are one node.  In each posting list one member, the hub, is verified against
 the others; links are contracted to components, and lists whose members are of one
@@ -32,7 +33,7 @@ from .columns import row_chunks, slices, small_batches, text_buffer, written
 from .components import connected_components
 from .textkernel import mix, shingle_sets, words
 
-MOST_HEAVY, LOCAL_HEAVY, HUB_ROUNDS = 1 << 16, 4, 4
+MOST_HEAVY, LOCAL_HEAVY, LOCAL_TOKENS, HUB_ROUNDS = 1 << 18, 3, 6_000_000, 2
 
 
 def sets_of(texts: pa.Array):
@@ -43,30 +44,35 @@ def sets_of(texts: pa.Array):
 
 def node_of(own: np.ndarray) -> int:
     """A hash of the set, independent of order."""
-    total = np.add.reduce(mix(own * np.uint64(0xC2B2AE3D27D4EB4F)), dtype=np.uint64) + np.uint64(len(own)) * np.uint64(0x165667B19E3779F9)
-    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
+    total = int(mix(own * np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)) + len(own) * 0x165667B19E3779F9
+    return int(mix(np.array([total % (1 << 64)], np.uint64)).view(np.int64)[0])
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, n, node) for each text, and rows (token, hits) for shingles that stand out within a batch."""
+    """A row (doc_id, version, n, node) for each text, and rows (token, hits) for shingles that stand out."""
 
     def run(batches):
+        waiting, count = [], 0
         for batch in batches:
             own = list(sets_of(batch.column(1)))
-            flat = np.sort(np.concatenate(own)) if own else np.zeros(0, np.uint64)
-            edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
-            count = np.diff(np.append(edge, len(flat)))
-            top = count >= LOCAL_HEAVY
-            tokens, hits = flat[edge[top]].view(np.int64), count[top]
-            n, m = len(own), len(tokens)
-            columns = [
-                pa.concat_arrays([batch.column(0).cast(pa.int64()), pa.nulls(m, pa.int64())]),
-                pa.array([len(x) for x in own] + [None] * m, pa.int64()),
-                pa.array([node_of(x) for x in own] + [None] * m, pa.int64()),
-                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tokens, pa.int64())]),
-                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(hits, pa.int64())]),
-            ]
-            yield pa.RecordBatch.from_arrays([columns[0], pa.concat_arrays([batch.column(2), pa.nulls(m, pa.int64())]), *columns[1:]], ["doc_id", "version", "n", "node", "token", "hits"])
+            yield table([batch.column(0).cast(pa.int64()), batch.column(2), pa.array([len(x) for x in own], pa.int64()), pa.array([node_of(x) for x in own], pa.int64()), None, None], len(own))
+            waiting += own
+            count += sum(map(len, own))
+            if count >= LOCAL_TOKENS:
+                yield stand_out(waiting)
+                waiting, count = [], 0
+        if waiting:
+            yield stand_out(waiting)
+
+    def stand_out(sets):
+        flat = np.sort(np.concatenate(sets))
+        edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        hits = np.diff(np.append(edge, len(flat)))
+        top = hits >= LOCAL_HEAVY
+        return table([None] * 4 + [pa.array(flat[edge[top]].view(np.int64)), pa.array(hits[top], pa.int64())], int(top.sum()))
+
+    def table(columns, n):
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else c for c in columns], ["doc_id", "version", "n", "node", "token", "hits"])
 
     return docs.mapInArrow(run, "doc_id long, version long, n long, node long, token long, hits long")
 
@@ -106,21 +112,32 @@ def signatures(own: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def index(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(node, light, heavy): the keys of each text's set."""
+    """(node, keys, dark): the keys of each text's set; from place `dark` on they are of heavy shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
-    def lists(parts):
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
-
     def run(batches):
         for batch in batches:
             own = list(sets_of(batch.column(0)))
             light, dark = zip(*(signatures(x, sent.value) for x in own)) if own else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in own], pa.int64()), lists(light), lists(dark)], ["node", "light", "heavy"])
+            ends = np.concatenate([[0], np.cumsum([len(a) + len(b) for a, b in zip(light, dark)])]).astype(np.int32)
+            flat = np.concatenate([x for pair in zip(light, dark) for x in pair]) if own else np.zeros(0, np.uint64)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in own], pa.int64()), keys, pa.array([len(x) for x in light], pa.int32())], ["node", "keys", "dark"])
+
+    return docs.select("text").mapInArrow(run, "node long, keys array<long>, dark int")
+
+
+def posting_lists(keys: DataFrame) -> DataFrame:
+    """(key, node) of keys that more than one node has, and of all heavy keys.
 
-    return docs.select("text").mapInArrow(run, "node long, light array<long>, heavy array<long>")
+    One shuffle: light keys meet by key, which few nodes share; a heavy key, which a third of
+    the nodes may share, is dealt out by key and node and looked at later, where partial
+    aggregation and joins that can be split handle it."""
+    rows = keys.select("node", "dark", F.posexplode("keys").alias("place", "key")).select("node", "key", (F.col("place") >= F.col("dark")).alias("heavy"))
+    rows = rows.withColumn("at", F.when(F.col("heavy"), F.xxhash64("key", "node")).otherwise(F.col("key")))
+    by_key = Window.partitionBy("at")
+    rows = rows.withColumns({"lo": F.min("node").over(by_key), "hi": F.max("node").over(by_key)})
+    return rows.where("heavy OR lo != hi").select("key", "node").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -171,19 +188,14 @@ def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     heavy = described.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("hits").alias("hits"))
     heavy = np.sort(np.array([r[0] for r in heavy.orderBy(F.desc("hits"), "token").limit(MOST_HEAVY).collect()], np.int64).view(np.uint64))  # MOST_HEAVY numbers at most
 
-    keys = index(docs, heavy)
-    by_key = Window.partitionBy("key")
-    light = keys.select("node", F.explode("light").alias("key"))
-    light = light.withColumns({"lo": F.min("node").over(by_key), "hi": F.max("node").over(by_key)}).where("lo != hi").select("key", "node").distinct()
-    dark = keys.select("node", F.explode("heavy").alias("key")).distinct()
     representatives = nodes.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "version", "n")).alias("one")).select("node", "one.*")
-    postings = written(light.union(dark.select("key", "node")).join(representatives.select("node", "n"), "node"), "postings")
+    postings = written(posting_lists(index(docs, heavy)).join(representatives.select("node", "n"), "node"), "postings")
 
     wanted = postings.select("node").distinct().join(representatives, "node").select("node", F.col("doc_id").alias("own"), F.col("version").alias("own_version"))
     same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("version") == F.col("own_version"))
     texts = written(docs.join(wanted.hint("shuffle_hash"), same).select("node", "text"), "candidates")
 
-    links, labels = None, None
+    links, labels, tested = None, None, None
     for round_ in range(HUB_ROUNDS + 1):
         lists = postings.withColumn("comp", F.col("node"))
         if labels is not None:
@@ -191,7 +203,8 @@ def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         turn = F.lit(hash_of_round(round_))
         open_lists = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("node").bitwiseXOR(turn)).alias("hub")).where("lo != hi").select("key", F.col("hub").bitwiseXOR(turn).alias("hub"))
         pairs = hub_pairs(lists, lists.select("node", "n", "comp").distinct(), open_lists) if round_ < HUB_ROUNDS else other_pairs(lists, open_lists)
-        pairs = written(pairs, "pairs")
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
         if pairs.isEmpty() and round_ < HUB_ROUNDS:
             continue
         found = verify(pairs, texts)
