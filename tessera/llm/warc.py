@@ -1,6 +1,7 @@
 """WARC archives with a globally ordered capture index (operator 9).
 
-write: each task writes one archive (gzip, a member for each record) in the order of URL
+write: each task of the join that finds the revisits writes one archive (gzip, a member
+for each record) in the order of URL
 key and time, and beside it an index run in the same order.  merge_index: the runs are
 merged by a loser tree into capture histories ordered over all archives; a task merges one
 range of keys, finding its place in each run by the run's sparse index; more than FAN_IN
@@ -195,7 +196,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             archive.close()
             yield runs_table([(f"{name}.run", out)])
 
-    ordered = plan(small_batches(pages)).repartition(slices(pages), F.coalesce("page_id", F.lit(0)), "digest").sortWithinPartitions("url_key", "stamp", F.col("page_id").asc_nulls_first())
+    ordered = plan(small_batches(pages)).sortWithinPartitions("url_key", "stamp", F.col("page_id").asc_nulls_first())
     return written(ordered.mapInArrow(run, RUNS), "runs")
 
 
