@@ -146,7 +146,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
             take = pa.array(np.repeat(np.arange(len(visited)), [len(x) for x in visited]))
             yield pa.RecordBatch.from_arrays([pa.array([x for own in visited for x in own], pa.int64()), batch.column(0).take(take), batch.column(1).take(take)], ["leaf", "query_id", "q"])
 
-    def meet(key_, left: pa.Table, right: pa.Table) -> pa.Table:
+    def meet(key_, left, right):
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["query_id", "vec_id", "score"])
         x, ids = matrix(left.column("v").combine_chunks()), left.column("ids").combine_chunks()
