@@ -47,7 +47,7 @@ def op9_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     pages = pages.withColumn("captured", F.timestamp_seconds(1577836800 + F.coalesce("page_id", F.lit(0))))  # the table has no times: one second a page
     folder = shared_dir(spark, "warc")
-    return warc.replay(warc.merge_index(warc.write(pages, folder), folder), folder)
+    return warc.replay(warc.merge_index(warc.write(pages, folder), folder), folder).drop("stamp")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,43 @@ def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_ledger, op3_token_files, op4_class_lm, op5_line_dedup, op6_rp_forest, op7_poisson_mixing, op8_ngram_jaccard_join, op9_warc_histories, op10_quality_rules)}
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
+
+def _spans_sql(rule: secrets.Rule, order: int) -> str:
+    """A rule's spans as a list of structs, in the order of the text."""
+    pattern = rule.pattern.replace("'", "''")
+    kept = f"length(regexp_extract(found[i], '{pattern}', {rule.group})) >= {rule.least}"
+    begin = "CAST(coalesce(list_sum(list_transform(pieces[1:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(found[1:i - 1], lambda p: length(p))), 0) AS BIGINT)"
+    return f"""{rule.kind} AS (SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, b AS s, b + length(m) AS e FROM (
+  SELECT doc_id, found[i] AS m, {begin} AS b FROM (SELECT doc_id, found, pieces, unnest(range(1, len(found) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') AS found, string_split_regex(coalesce(text, ''), '{pattern}') AS pieces FROM documents)) WHERE {kept}))"""
+
+
+_RULES = (*secrets.BASE, secrets.PEM)
+_SECRETS = "WITH " + ",\n".join(_spans_sql(r, k) for k, r in enumerate(_RULES)) + """,
+spans AS (""" + " UNION ALL ".join(f"FROM {r.kind}" for r in _RULES) + """),
+docs AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (kind <> 'pem') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN docs USING (doc_id)"""
+
+_HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_secret_ledger": _SECRETS,
+    "op8_ngram_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id""",
+    "op9_warc_histories": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, lower(regexp_replace(coalesce(url, ''), '[\\x00-\\x20\\x7f]', '', 'g')) AS u FROM pages),
+q AS (SELECT *, octet_length(encode(html)) AS n, array_to_string(list_reverse(string_split(regexp_extract(u, '{_HOST}', 1), '.')), ',') || ')' || regexp_replace(u, '^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*|#.*$', '', 'g') AS url_key FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM q)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to,
+url_key, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS capture FROM r""",
     "op7_poisson_mixing": """
 WITH sizes AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY source),
 rates AS (SELECT source, CASE WHEN size > 0 THEN sqrt(size) / sum(sqrt(size)) OVER () * sum(size) OVER () / size ELSE 0 END AS rate FROM sizes),
