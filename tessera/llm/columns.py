@@ -39,7 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to_ = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` made, once nothing lazy reads them any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table.written_to_
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def slices(df: DataFrame) -> int:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .columns import row_chunks, slices, small_batches, text_buffer, written
+from .columns import discard, row_chunks, small_batches, text_buffer, written
 from .components import connected_components
 from .textkernel import mix, shingle_sets, words
 
@@ -210,6 +210,7 @@ def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         found = verify(pairs, texts)
         links = written(found if links is None else links.union(found), "links")
         labels = connected_components(links)
+    discard(texts, postings)
 
     members = nodes.withColumn("comp", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # null ids are last, as the largest
