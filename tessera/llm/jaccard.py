@@ -15,9 +15,10 @@ only, never the result.
 
 Equal sets are one node.  In each posting list one member, the hub, is verified against
 the others; links are contracted to components, and lists whose members are of one
-component are done: no link between their members could add anything.  After HUB_ROUNDS
-such rounds what is left are pairs of different components that share a list; all of
-those are verified.  So the components are exact, and a list of copies costs as
+component are done: no link between their members could add anything.  Rounds go
+on, each with other hubs, as long as they find links in numbers (HUB_ROUNDS at most); what
+is left then are pairs of different components that share a list, and all of those are
+verified.  So the components are exact, and a list of copies costs as
 many verifications as it has members.
 
 Null and empty texts and texts without words have empty sets and link with nothing.
@@ -25,15 +26,18 @@ Repeated rows are nodes of equal sets.  A null id counts as larger than any othe
 Columns beside the id and the text are not read.
 """
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .columns import discard, row_chunks, small_batches, text_buffer, written
+from .columns import discard, row_chunks, slices, small_batches, text_buffer, written
 from .components import connected_components
 from .textkernel import mix, shingle_sets, words
 
-MOST_HEAVY, LOCAL_HEAVY, LOCAL_TOKENS, HUB_ROUNDS = 1 << 18, 3, 6_000_000, 2
+FEW_LINKS = 0.02
+MOST_HEAVY, LOCAL_HEAVY, LOCAL_TOKENS, HUB_ROUNDS = 1 << 18, 3, 6_000_000, 16
 
 
 def sets_of(texts: pa.Array):
@@ -193,24 +197,28 @@ def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     wanted = postings.select("node").distinct().join(representatives, "node").select("node", F.col("doc_id").alias("own"), F.col("version").alias("own_version"))
     same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("version") == F.col("own_version"))
-    texts = written(docs.join(wanted.hint("shuffle_hash"), same).select("node", "text"), "candidates")
+    texts = bucketed(docs.join(wanted.hint("shuffle_hash"), same).select("node", "text"), "node")
 
-    links, labels, tested = None, None, None
+    links, labels, tested, count, final = None, None, None, 0, False
     for round_ in range(HUB_ROUNDS + 1):
         lists = postings.withColumn("comp", F.col("node"))
         if labels is not None:
             lists = postings.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         turn = F.lit(hash_of_round(round_))
         open_lists = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("node").bitwiseXOR(turn)).alias("hub")).where("lo != hi").select("key", F.col("hub").bitwiseXOR(turn).alias("hub"))
-        pairs = hub_pairs(lists, lists.select("node", "n", "comp").distinct(), open_lists) if round_ < HUB_ROUNDS else other_pairs(lists, open_lists)
+        final = final or round_ == HUB_ROUNDS
+        pairs = other_pairs(lists, open_lists) if final else hub_pairs(lists, lists.select("node", "n", "comp").distinct(), open_lists)
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        if pairs.isEmpty() and round_ < HUB_ROUNDS:
-            continue
         found = verify(pairs, texts)
         links = written(found if links is None else links.union(found), "links")
         labels = connected_components(links)
-    discard(texts, postings)
+        if final:
+            break
+        before, count = count, links.count()
+        final = count - before <= FEW_LINKS * count  # hubs find little more: the rest is verified pair by pair
+    discard(postings)
+    drop_bucketed(texts)
 
     members = nodes.withColumn("comp", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # null ids are last, as the largest
@@ -235,6 +243,19 @@ def keep_first(docs: DataFrame) -> DataFrame:
     return rows.withColumn("repeat_", repeat).where("repeat_ = 1 OR empty_").select(*docs.columns)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df as a table in the warehouse, in buckets of the key: joins on it then move the other side only."""
+    name = f"candidates_{uuid.uuid4().hex}"
+    df.repartition(slices(df), key).write.bucketBy(slices(df), key).format("parquet").saveAsTable(name)
+    table = df.sparkSession.table(name)
+    table.saved_as_ = name
+    return table
+
+
+def drop_bucketed(table: DataFrame) -> None:
+    table.sparkSession.sql(f"DROP TABLE {table.saved_as_}")
+
+
 def hash_of_round(round_: int) -> int:
     """Another order of the nodes each round, so that other members become hubs."""
     return int(mix(np.array([round_ + 1], np.uint64)).view(np.int64)[0])
