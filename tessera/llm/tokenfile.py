@@ -146,7 +146,7 @@ class LibraryTokenizer:
         # printable bytes stand for themselves, the others for the code points from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.spelled = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}
-        self.cache = SliceCache(self._encode_many, 250_000)
+        self.cache = SliceCache(self._encode_many, 600_000)
 
     def _encode_many(self, keys: list[bytes]):
         """The library's BPE model on each slice, its bytes spelled as the byte-level alphabet spells them."""
