@@ -1,5 +1,6 @@
 """Small helpers that the operators share: text buffers, shared folders, let-binding."""
 
+import gc
 import posixpath
 import uuid
 
@@ -57,6 +58,13 @@ def slices(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver's collector find finished plans now, not at its next periodic turn, so
+    that Spark's cleaner deletes their shuffle files on the executors."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(df: DataFrame, rows: int = 2048, size: int = 4 << 20) -> DataFrame:
     """Bound what a Python worker gets at once: the session's Arrow batches take at most
     `rows` rows and about `size` bytes (a longer row is a batch of its own)."""

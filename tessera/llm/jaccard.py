@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .columns import discard, row_chunks, slices, small_batches, text_buffer, written
+from .columns import discard, free_shuffles, row_chunks, slices, small_batches, text_buffer, written
 from .components import connected_components
 from .textkernel import mix, shingle_sets, words
 
@@ -194,10 +194,12 @@ def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     representatives = nodes.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "version", "n")).alias("one")).select("node", "one.*")
     postings = written(posting_lists(index(docs, heavy)).join(representatives.select("node", "n"), "node"), "postings")
+    free_shuffles(docs.sparkSession)
 
     wanted = postings.select("node").distinct().join(representatives, "node").select("node", F.col("doc_id").alias("own"), F.col("version").alias("own_version"))
     same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("version") == F.col("own_version"))
     texts = bucketed(docs.join(wanted.hint("shuffle_hash"), same).select("node", "text"), "node")
+    free_shuffles(docs.sparkSession)
 
     links, labels, tested, count, final = None, None, None, 0, False
     for round_ in range(HUB_ROUNDS + 1):
@@ -213,6 +215,7 @@ def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         found = verify(pairs, texts)
         links = written(found if links is None else links.union(found), "links")
         labels = connected_components(links)
+        free_shuffles(docs.sparkSession)
         if final:
             break
         before, count = count, links.count()
