@@ -1,19 +1,22 @@
 """Language-model scoring with Brown class-based n-grams (operator 4).
 
-The most frequent words (MOST_WORDS at most, so their bigram table is bounded) are put into
-CLASSES classes by exchange clustering: in turns, each word moves to the class that raises
-the likelihood of the class bigrams most.  All other words are one class, the end of a text
-another.  A text's probability is the product over its tokens of
+Every word that the training texts hold LEAST times or more is put into one of CLASSES classes by
+exchange clustering: in turns, each word moves to the class that raises the likelihood of the class
+bigrams most.  Words seen less often (with LEAST = 2: once) are one class, whose share estimates
+words never seen; the end of a text is another.  A text's probability is the product over its tokens of
 
     P(class | class before) * P(word | class)
 
 The first factor mixes class bigrams with class unigrams; the second is the word's share of
-its class, and (c + 0.5) / (N_rest + 0.5 (V_rest + 1)) in the class of all other words.  Every
-probability counts all training texts.
+its class, and (c + 0.5) / (N_rest + 0.5 (V_rest + 1)) in the class of the rarer words.  Every
+probability counts all training texts, and nothing depends on how the rows are cut.
 
-The counts of the rest are too many to send to every task.  Texts are packed in chunks
-(Arrow batches); each chunk sends each of its distinct words once, by hash, to be counted,
-and gets the counts back.  A chunk is bounded, so nothing is gathered without a bound.
+Vocabulary, word bigrams and classes are Spark tables that grow with the texts; only the table of
+classes x classes goes to tasks.  Texts are packed in chunks (Arrow batches); each chunk sends each of
+its distinct words once, by hash, to be counted, and gets the counts back.  Words are numbered within
+buckets (by hash, about BUCKET words each), so that a bucket's classes are one short row; word bigrams
+are packed in pieces of one pair of buckets.  In each turn a piece meets the classes of its two buckets
+and sends its words' neighbour-class counts to their buckets, where they are added and the words move.
 
 Null and empty texts are one end token.  Null ids train (their remainder is unknown).
 Repeated rows are separate texts, scored and counted each; columns beside the id and the
@@ -21,14 +24,14 @@ text are not read.  An empty table, or one without training texts, gives counts
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .columns import binary_array, row_chunks, small_batches, text_buffer, written
+from .columns import binary_array, discard, free_shuffles, row_chunks, slices, small_batches, text_buffer, written
 from .textkernel import mix, words
 
-MOST_WORDS, CLASSES, ROUNDS, BIGRAM_WEIGHT, STANDS_OUT = 2048, 64, 6, 0.9, 16
+LEAST, CLASSES, ROUNDS, BIGRAM_WEIGHT = 2, 64, 6, 0.9
+BUCKET, PLACES, PIECE = 60_000, 20, 1 << 18  #: words of a bucket (on average), bits of a place in it, word bigrams of a piece
 END = np.uint64(0x5851F42D4C957F2D)  #: stands for the end token, which no word is
 
 
@@ -47,76 +50,82 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, rows + np.arange(n + 1)
 
 
-class Vocabulary:
-    """Types: 0 to m-1 the frequent words (ascending hashes), m all other words, m+1 the end."""
-
-    def __init__(self, frequent: np.ndarray):
-        self.words = np.sort(frequent)
-        self.rest, self.end = len(frequent), len(frequent) + 1
-
-    def types(self, hashes: np.ndarray) -> np.ndarray:
-        if not self.rest:
-            found = np.zeros(len(hashes), np.int64)
-        else:
-            at = np.minimum(np.searchsorted(self.words, hashes), self.rest - 1)
-            found = np.where(self.words[at] == hashes, at, self.rest)
-        found[hashes == END] = self.end
-        return found
-
-
 def with_parts(docs: DataFrame) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     return docs.select("doc_id", "text", held_out.alias("held_out"))
 
 
-def frequent_words(docs: DataFrame, most: int) -> np.ndarray:
-    """Words that stand out within batches, the most frequent first; `most` at most."""
+def one(values) -> pa.Array:
+    """A list column of one row."""
+    values = values if isinstance(values, pa.Array) else pa.array(values)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """A row per Arrow batch: its texts' sizes, its distinct words with their training counts, and each token's word (-1: the end)."""
 
     def run(batches):
-        for batch in batches:
-            own, rows = tokens(batch.column(0))
-            value, count = np.unique(own[own != END], return_counts=True)
-            top = count >= STANDS_OUT
-            yield pa.RecordBatch.from_arrays([pa.array(value[top].view(np.int64)), pa.array(count[top])], ["h", "n"])
+        from pyspark import TaskContext
 
-    top = docs.where(~F.col("held_out")).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return np.array([r[0] for r in top.orderBy(F.desc("n"), "h").limit(most).collect()], np.int64).view(np.uint64)
+        part = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            own, rows = tokens(batch.column(1))
+            word = own != END
+            values, where, count = np.unique(own[word], return_inverse=True, return_counts=True)
+            order = np.argsort(-count, kind="stable")  # frequent words first: their places are small numbers
+            values, where = values[order], np.argsort(order)[where]
+            places = np.full(len(own), -1, "<i4")
+            places[word] = where
+            train = np.repeat(~batch.column(2).to_numpy(zero_copy_only=False), np.diff(rows))[word]
+            seen = np.bincount(where[train], minlength=len(values))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part << 32 | k]), *map(one, (batch.column(0).cast(pa.int64()), batch.column(2), np.diff(rows), values.view(np.int64), seen)), binary_array([places.view(np.uint8).reshape(-1, 4).T.tobytes()])],  # bytes of one rank together: they compress
+                ["chunk", "doc_id", "held_out", "n_tokens", "h", "seen", "places"],
+            )
 
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "chunk long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, h array<long>, seen array<long>, places binary")
 
-def bigrams(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(a, b, n): training bigrams of types, the end standing before each text; (types)**2 rows at most."""
-    size = vocabulary.end + 1
 
-    def run(batches):
-        table = np.zeros(size * size, np.int64)
-        for batch in batches:
-            own, rows = tokens(batch.column(0))
-            if len(own):
-                kind = vocabulary.types(own)
-                before = np.concatenate([[vocabulary.end], kind[:-1]])  # each text ends in the end
-                table += np.bincount(before * size + kind, minlength=size * size)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at // size), pa.array(at % size), pa.array(table[at])], ["a", "b", "n"])
+def unpacked(left: pa.Table, right: pa.Table, names: tuple) -> tuple[dict, list]:
+    """A chunk's arrays, and columns of its distinct words in their order."""
+    row = {n: left.column(n).combine_chunks()[0] for n in left.column_names}
+    values = {n: row[n].values for n in row if n not in ("chunk", "places")} | {"places": np.frombuffer(row["places"].as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(-1)}
+    order = np.argsort(right.column("place").to_numpy())
+    return values, [right.column(n).to_numpy()[order] for n in names]
 
-    counted = docs.where(~F.col("held_out")).select("text").mapInArrow(run, "a long, b long, n long")
-    return written(counted.groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
 
+def bigrams(texts: DataFrame, own_words: DataFrame, buckets: int) -> DataFrame:
+    """(a, b, n): each chunk's training bigrams of word ids, the end standing before each text; the bucket after the last has the rarer words (0) and the end (1)."""
+    rest, end = buckets << PLACES, buckets << PLACES | 1
 
-def class_table(pairs: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
-    """Class bigrams: classes**2 numbers."""
+    def run(key, left, right):
+        if not left.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3, ["a", "b", "n"])
+        values, (ids,) = unpacked(left, right, ("id",))
+        known, token = np.unique(np.append(ids, [rest, end]), return_inverse=True)
+        kind = np.append(token[: len(ids)], np.searchsorted(known, end))[values["places"]]
+        before = np.concatenate([[np.searchsorted(known, end)], kind[:-1]])[: len(kind)]  # each text ends in the end
+        train = np.repeat(~values["held_out"].to_numpy(zero_copy_only=False), values["n_tokens"].to_numpy())
+        pair, n = np.unique((before * len(known) + kind)[train], return_counts=True)
+        return pa.table([known[pair // len(known)], known[pair % len(known)], n], ["a", "b", "n"])
 
-    def run(batches):
-        table = np.zeros(classes * classes, np.int64)
-        for batch in batches:
-            a, b, n = (x.to_numpy() for x in batch.columns)
-            np.add.at(table, of[a] * classes + of[b], n)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["at", "n"])
+    words_ = own_words.select("chunk", "place", F.coalesce("id", F.lit(rest)).alias("id"))
+    return texts.select("chunk", "held_out", "n_tokens", "places").groupBy("chunk").cogroup(words_.groupBy("chunk")).applyInArrow(run, "a long, b long, n long")
 
-    found = pairs.select("a", "b", "n").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(classes * classes, np.int64)
-    out[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return out.reshape(classes, classes)
+
+def pieces(pairs: DataFrame, buckets: int, most: int) -> DataFrame:
+    """Bigrams added up and packed by pair of buckets (and by hash, so that the `most` rows there may be make pieces of about PIECE)."""
+    split = 1 + most // (PIECE * (buckets + 1) ** 2)
+
+    def run(key, table):
+        a, b, n = (table.column(c).to_numpy() for c in "abn")
+        low = (1 << PLACES) - 1
+        pair, where = np.unique((a & low) << PLACES | b & low, return_inverse=True)
+        packed = (pair >> PLACES).astype("<i4"), (pair & low).astype("<i4"), np.bincount(where, n).astype("<i8")
+        return pa.table([pa.array([int(key[0].as_py())]), pa.array([int(key[1].as_py())]), *(binary_array([x.tobytes()]) for x in packed)], ["left", "right", "a", "b", "n"])
+
+    keyed = pairs.select(F.shiftright("a", PLACES).alias("left"), F.shiftright("b", PLACES).alias("right"), F.pmod(F.xxhash64("a", "b"), F.lit(split)).alias("part"), "a", "b", "n")
+    return keyed.groupBy("left", "right", "part").applyInArrow(run, "left long, right long, a binary, b binary, n binary")
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -124,143 +133,208 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def best_classes(before: np.ndarray, after: np.ndarray, itself: np.ndarray, own: np.ndarray, table: np.ndarray, movable: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word (row) the class to which moving it alone raises the likelihood most, and by how much.
+
+    before, after: counts of its neighbours' classes, without itself; own: its class."""
+    w, d = np.arange(len(own)), np.arange(movable)
+    gain = np.zeros((len(own), movable))
+    for counts, others, n in ((after, before, table[:movable]), (before, after, table[:, :movable].T)):
+        word, c = np.nonzero(counts)
+        if len(word):
+            more, now, at = counts[word, c][:, None], n.T[c].astype(float), own[word]
+            inner = c == at
+            now[inner] -= others[word[inner], :movable]
+            now[np.arange(len(word)), at] -= counts[word, c] + inner * itself[word]
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            gain[word[starts]] += np.add.reduceat(xlogx(now + more) - xlogx(now), starts)
+    corner = np.repeat(table[d, d][None].astype(float), len(own), 0)
+    corner[w, own] -= after[w, own] + before[w, own] + itself
+    x, y = after[:, :movable], before[:, :movable]
+    gain += xlogx(corner + x + y + itself[:, None]) - xlogx(corner + x) - xlogx(corner + y) + xlogx(corner)
+    for counts, margin in ((after, table.sum(1)), (before, table.sum(0))):  # its neighbours' own margins do not depend on its class
+        total = counts.sum(1) + itself
+        n = np.repeat(margin[:movable][None].astype(float), len(own), 0)
+        n[w, own] -= total
+        gain -= xlogx(n + total[:, None]) - xlogx(n)
+    best = gain.argmax(1)
+    return best, gain[w, best] - gain[w, own]
+
+
 def best_class(word: int, before: np.ndarray, after: np.ndarray, itself: int, of: np.ndarray, table: np.ndarray, movable: int) -> tuple[int, float]:
-    """The class to which moving the word raises the likelihood most, and by how much.
-
-    before, after: counts of its neighbours' classes, without itself."""
-    own = of[word]
-    n = table.copy()
-    n[own, :] -= after
-    n[:, own] -= before
-    n[own, own] -= itself
-    left, right = n.sum(1) + before, n.sum(0) + after  # its neighbours' own margins do not depend on its class
-    d = np.arange(movable)
-    rows = (xlogx(n[:movable] + after) - xlogx(n[:movable])).sum(1)
-    columns = (xlogx(n[:, :movable] + before[:, None]) - xlogx(n[:, :movable])).sum(0)
-    corner = n[d, d]
-    both = xlogx(corner + after[d] + before[d] + itself) - xlogx(corner) - (xlogx(corner + after[d]) - xlogx(corner)) - (xlogx(corner + before[d]) - xlogx(corner))
-    total_after, total_before = after.sum() + itself, before.sum() + itself
-    margins = xlogx(left[d] + total_after) - xlogx(left[d]) + xlogx(right[d] + total_before) - xlogx(right[d])
-    gain = rows + columns + both - margins
-    best = int(gain.argmax())
-    return best, float(gain[best] - gain[own])
-
-
-def exchange(pairs: DataFrame, vocabulary: Vocabulary, classes: int, rounds: int) -> np.ndarray:
-    """Class of each type.  In each round half of the words (by hash) may move at once."""
-    movable = max(1, min(classes, vocabulary.rest))
-    total = movable + 2
-    of = np.concatenate([np.arange(vocabulary.rest) % movable, [movable, movable + 1]]).astype(np.int64)
-    if vocabulary.rest < 2:
-        return of
-    sides = pairs.where(f"b < {vocabulary.rest}").selectExpr("b AS word", "a AS other", "0 AS side", "n")
-    sides = written(sides.union(pairs.where(f"a < {vocabulary.rest}").selectExpr("a AS word", "b AS other", "1 AS side", "n")), "neighbours")
-    for turn in range(rounds):
-        table = class_table(pairs, of, total)
-
-        def move(key, frame):
-            word = int(key[0])
-            other, side, n = (frame[c].to_numpy(np.int64) for c in ("other", "side", "n"))
-            self_ = other == word
-            itself = int(n[self_ & (side == 1)].sum())
-            before, after = (np.bincount(of[other[~self_ & (side == s)]], n[~self_ & (side == s)], total).astype(np.int64) for s in (0, 1))
-            best, gain = best_class(word, before, after, itself, of, table, movable)
-            return pd.DataFrame({"word": [word], "best": [best], "gain": [gain]})
-
-        turned = F.pmod(F.xxhash64("word", F.lit(turn // 2)), F.lit(2)) == turn % 2
-        moves = sides.where(turned).groupBy("word").applyInPandas(move, "word long, best long, gain double").where("gain > 1e-6").toPandas()  # MOST_WORDS rows at most
-        if len(moves):
-            of = of.copy()
-            of[moves["word"].to_numpy(np.int64)] = moves["best"].to_numpy(np.int64)
-    return of
-
-
-class Model:
-    """What a task needs to score: the classes' tables and the frequent words' counts."""
-
-    def __init__(self, vocabulary: Vocabulary, of: np.ndarray, table: np.ndarray, counts: np.ndarray, weight: float):
-        self.vocabulary, self.of, self.counts = vocabulary, of, counts
-        shares = table.sum(0) / max(1, table.sum())
-        shares = (shares + 1e-9) / (shares + 1e-9).sum()
-        history = table.sum(1, keepdims=True)
-        self.transition = np.log10(np.where(history > 0, weight * table / np.maximum(history, 1) + (1 - weight) * shares, shares))
-        of_class = np.bincount(of, counts, len(table))
-        own = counts / np.maximum(of_class[of], 1)
-        own[vocabulary.rest] = 1.0  # the rest's emission is added when its counts are known
-        own[vocabulary.end] = 1.0
-        self.emission = np.log10(np.maximum(own, 1e-300))
-        self.base = np.log10(counts + 0.5)
-        self.base[vocabulary.rest] = 0.0
-
-
-def chunks(docs: DataFrame, model: Model) -> DataFrame:
-    """A row per Arrow batch: its texts' sums over frequent words, and its other words."""
+    best, gain = best_classes(before[None], after[None], np.array([itself]), np.array([of[word]]), table, movable)
+    return int(best[0]), float(gain[0])
+
+
+def turns(bucket: int, places: np.ndarray, turn: int) -> np.ndarray:
+    """Whether words may move: in each turn half of them (by hash), in the next the others."""
+    return mix((np.uint64(bucket << PLACES) + places.astype(np.uint64)) * np.uint64(2654435761) + np.uint64(turn // 2)) % np.uint64(2) == turn % 2
+
+
+def votes(packed: DataFrame, classes: DataFrame, total: int, turn: int | None) -> DataFrame:
+    """(bucket, side, at, n): counts of the neighbours' classes of the words that may move (side 0 before, 1 after, 2 the word
+    itself; at: place * total + class), and, as bucket -1, class bigrams."""
 
     def run(batches):
-        from pyspark import TaskContext
+        table = np.zeros(total * total, np.int64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left, right = (batch.column(i)[k].as_py() for i in (0, 1))
+                a, b, of_a, of_b = (np.frombuffer(batch.column(i)[k].as_buffer(), t) for i, t in ((2, "<i4"), (3, "<i4"), (5, "<i2"), (6, "<i2")))
+                n = np.frombuffer(batch.column(4)[k].as_buffer(), "<i8")
+                ca, cb = of_a[a].astype(np.int64), of_b[b].astype(np.int64)
+                table += np.bincount(ca * total + cb, n, total * total).astype(np.int64)
+                if turn is None:
+                    continue
+                itself = (a == b) & (left == right)
+                for bucket, side, word, c, which in ((right, 0, b, ca, ~itself), (left, 1, a, cb, ~itself), (left, 2, a, ca * 0, itself)):
+                    which = which & turns(bucket, word, turn) & ((of_a if side else of_b)[word] < total - 2)
+                    if which.any():
+                        at, where = np.unique(word[which].astype(np.int64) * total + c[which], return_inverse=True)
+                        sums = np.bincount(where, n[which]).astype("<i8")
+                        yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([side]), binary_array([at.astype("<i4").tobytes()]), binary_array([sums.tobytes()])], ["bucket", "side", "at", "n"])
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([3]), binary_array([at.astype("<i4").tobytes()]), binary_array([table[at].astype("<i8").tobytes()])], ["bucket", "side", "at", "n"])
 
-        part = TaskContext.get().partitionId()
-        for k, batch in enumerate(batches):
-            own, rows = tokens(batch.column(1))
-            kind = model.vocabulary.types(own)
-            classes = model.of[kind]
-            local = model.transition[np.concatenate([[model.of[-1]], classes[:-1]])[: len(kind)], classes] + model.emission[kind]
-            known = (model.counts[kind] > 0) & (kind != model.vocabulary.rest)
-            rest = kind == model.vocabulary.rest
-            sums = [np.add.reduceat(x, rows[:-1]) if len(rows) > 1 else x[:0] for x in (local, model.base[kind], known.astype(np.int64), rest.astype(np.int64))]
-            values, where = np.unique(own[rest], return_inverse=True)
-            train = np.repeat(~batch.column(2).to_numpy(zero_copy_only=False), np.diff(rows))[rest]
-            seen = np.bincount(where[train], minlength=len(values))
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | k]), *map(one, (batch.column(0).cast(pa.int64()), batch.column(2), np.diff(rows), *sums, values.view(np.int64), seen)), binary_array([where.astype("<i4").tobytes()])],
-                ["chunk", "doc_id", "held_out", "n_tokens", "local", "base", "known", "rest", "h", "seen", "places"],
-            )
+    joined = packed.join(classes.select(F.col("bucket").alias("left"), F.col("of").alias("of_a")), "left").join(classes.select(F.col("bucket").alias("right"), F.col("of").alias("of_b")), "right")
+    return joined.select("left", "right", "a", "b", "n", "of_a", "of_b").mapInArrow(run, "bucket long, side long, at binary, n binary")
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(
-        run, "chunk long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, local array<double>, base array<double>, known array<long>, rest array<long>, h array<long>, seen array<long>, places binary"
-    )
 
+def class_table(found: DataFrame, total: int) -> np.ndarray:
+    """Class bigrams: total**2 numbers."""
 
-def score(docs: DataFrame, most_words: int = MOST_WORDS, classes: int = CLASSES, rounds: int = ROUNDS, weight: float = BIGRAM_WEIGHT) -> DataFrame:
+    def run(batches):
+        table = np.zeros(total * total, np.int64)
+        for batch in batches:
+            for at, n in zip(batch.column(0), batch.column(1)):
+                table[np.frombuffer(at.as_buffer(), "<i4")] += np.frombuffer(n.as_buffer(), "<i8")
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["at", "n"])
+
+    rows = found.where("bucket = -1").select("at", "n").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(total * total, np.int64)
+    out[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return out.reshape(total, total)
+
+
+def moved(found: DataFrame, classes: DataFrame, table: np.ndarray, turn: int) -> DataFrame:
+    """(bucket, of) after the words that may move have moved."""
+    total = len(table)
+
+    def settle(bucket, of, counts):
+        of = of.copy()
+        mine = np.flatnonzero(turns(bucket, np.arange(len(of)), turn) & (of < total - 2))
+        for k in range(0, len(mine), 256):
+            w = mine[k : k + 256]
+            best, gain = best_classes(counts[0][w], counts[1][w], counts[2][w], of[w].astype(np.int64), table, total - 2)
+            of[w[gain > 1e-6]] = best[gain > 1e-6]
+        return pa.RecordBatch.from_arrays([pa.array([bucket]), binary_array([of.astype("<i2").tobytes()])], ["bucket", "of"])
+
+    def run(batches):
+        bucket = None
+        for batch in batches:
+            for key, side, at, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if side < 0:  # a bucket's classes come before its counts
+                    if bucket is not None:
+                        yield settle(bucket, of, counts)
+                    bucket, of = key, np.frombuffer(at.as_buffer(), "<i2")
+                    counts = [np.zeros(len(of) * width, np.int64).reshape(shape) for width, shape in ((total, (-1, total)), (total, (-1, total)), (1, -1))]
+                else:
+                    counts[side].reshape(-1)[np.frombuffer(at.as_buffer(), "<i4") // (total if side == 2 else 1)] += np.frombuffer(n.as_buffer(), "<i8")
+        if bucket is not None:
+            yield settle(bucket, of, counts)
+
+    rows = found.where("bucket >= 0").unionByName(classes.select("bucket", F.lit(-1).cast("long").alias("side"), F.col("of").alias("at"), F.lit(b"").alias("n")))
+    return rows.repartition(slices(found), "bucket").sortWithinPartitions("bucket", "side").mapInArrow(run, "bucket long, of binary")
+
+
+def numbered(kinds: DataFrame, least: int, size: int) -> tuple[DataFrame, int]:
+    """(h, c, id) of the words seen `least` times or more, and the number of buckets; ids depend on nothing but the words."""
+    words_ = kinds.where(F.col("c") >= least)
+    buckets = -(-words_.count() // size)
+    bucket = F.pmod(F.xxhash64("h"), F.lit(max(1, buckets)))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("h")) - 1
+    return words_.withColumn("bucket", bucket).withColumn("place", place).select("h", "c", (F.shiftleft(F.col("bucket").cast("long"), PLACES) + F.col("place")).alias("id")), buckets
+
+
+def first_classes(vocabulary: DataFrame, buckets: int, movable: int) -> DataFrame:
+    """(bucket, of): the most frequent words a class each, all others by frequency; then the bucket of the rarer words and the end."""
+    spark = vocabulary.sparkSession
+    top = {r.id: k for k, r in enumerate(vocabulary.orderBy(F.desc("c"), "h").limit(movable).collect())}  # a row per class
+
+    def run(key, table):
+        table = table.sort_by("id")
+        ids, c = table.column("id").to_numpy(), table.column("c").to_numpy()
+        of = (np.floor(4 * np.log2(c)).astype(np.int64) % movable).astype("<i2")
+        for word, k in top.items():
+            of[ids == word] = k
+        return pa.table([pa.array([int(ids[0]) >> PLACES]), binary_array([of.tobytes()])], ["bucket", "of"])
+
+    own = vocabulary.withColumn("bucket", F.shiftright("id", PLACES)).groupBy("bucket").applyInArrow(run, "bucket long, of binary")
+    return own.unionByName(spark.createDataFrame([(buckets, np.array([movable, movable + 1], "<i2").tobytes())], "bucket long, of binary"))
+
+
+def exchange(packed: DataFrame, classes: DataFrame, total: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
+    """(bucket, of) and the class bigrams after `rounds` turns."""
+    for turn in range(rounds if total > 3 else 0):
+        found = written(votes(packed, classes, total, turn), "votes")
+        after = written(moved(found, classes, class_table(found, total), turn), "classes")
+        discard(found, classes)
+        free_shuffles(packed.sparkSession)
+        classes = after
+    return classes, class_table(votes(packed, classes, total, None), total)
+
+
+def score(docs: DataFrame, least: int = LEAST, classes: int = CLASSES, rounds: int = ROUNDS, weight: float = BIGRAM_WEIGHT, bucket: int = BUCKET) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for each row of docs."""
-    docs = with_parts(small_batches(docs, 8192, 8 << 20))
-    vocabulary = Vocabulary(frequent_words(docs, most_words))
-    pairs = bigrams(docs, vocabulary)
-    of = exchange(pairs, vocabulary, classes, rounds)
-    table = class_table(pairs, of, int(of.max()) + 1)
-    per_type = pairs.groupBy("b").agg(F.sum("n").alias("n")).toPandas()  # a row per type
-    counts = np.zeros(vocabulary.end + 1, np.int64)
-    counts[per_type["b"].to_numpy(np.int64)] = per_type["n"].to_numpy(np.int64)
-    model = Model(vocabulary, of, table, counts, weight)
-
-    packed = written(chunks(docs, model), "chunks")
+    packed = written(chunks(with_parts(small_batches(docs, 8192, 4 << 20))), "chunks")
     own_words = packed.select("chunk", F.posexplode(F.arrays_zip("h", "seen")).alias("place", "x")).select("chunk", "place", F.col("x.h").alias("h"), F.col("x.seen").alias("seen"))
-    by_word = Window.partitionBy("h")
-    counted = own_words.select("chunk", "place", F.sum("seen").over(by_word).alias("c"), (F.min("chunk").over(by_word) == F.col("chunk")).alias("first"))
-    counted = written(counted, "counts")
-    kinds = counted.where("first AND c > 0").count()
-    known_kinds = int((counts[: vocabulary.rest] > 0).sum() + (counts[vocabulary.end] > 0))
-    total, distinct, rest = int(counts.sum()), kinds + known_kinds, int(counts[vocabulary.rest])
-    base_norm, rest_norm = np.log10(total + 0.5 * (distinct + 1)), np.log10(rest + 0.5 * (kinds + 1))
+    kinds = written(own_words.groupBy("h").agg(F.sum("seen").alias("c")).where("c > 0"), "counts")
+    vocabulary, buckets = numbered(kinds, least, bucket)
+    vocabulary = written(vocabulary, "vocabulary")
+    texts = docs.sparkSession.read.schema(packed.schema).parquet(packed.written_to_).drop("h", "seen")  # read anew: it meets its own words
+    named = own_words.join(vocabulary.select("h", "id"), "h", "left")
+    most = packed.agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
+    free_shuffles(docs.sparkSession)
+    grouped = written(pieces(bigrams(texts, named, buckets), buckets, most), "pieces")
+    free_shuffles(docs.sparkSession)
+    movable = max(1, min(classes, vocabulary.count()))
+    of, table = exchange(grouped, written(first_classes(vocabulary, buckets, movable), "classes"), movable + 2, rounds)
+    discard(grouped)
+
+    stats = kinds.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c"), F.coalesce(F.sum(F.when(F.col("c") < least, F.col("c"))), F.lit(0)), F.count_if(F.col("c") < least)).first()
+    ends = int(table[:, -1].sum())
+    total, distinct, rest, rest_kinds = stats[0] + ends, stats[1] + (ends > 0), stats[2], stats[3]
+    base_norm, rest_norm = np.log10(total + 0.5 * (distinct + 1)), np.log10(rest + 0.5 * (rest_kinds + 1))
+    shares = (table.sum(0) / max(1, table.sum()) + 1e-9) / (table.sum(0) / max(1, table.sum()) + 1e-9).sum()
+    history = table.sum(1, keepdims=True)
+    transition = np.log10(np.where(history > 0, weight * table / np.maximum(history, 1) + (1 - weight) * shares, shares))
+    of_class = np.log10(np.maximum(table.sum(0), 1))
+
+    def spread(batches):
+        for batch in batches:
+            for key, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(own.as_buffer(), "<i2")
+                yield pa.RecordBatch.from_arrays([pa.array((key << PLACES) + np.arange(len(own))), pa.array(own.astype(np.int64))], ["id", "class"])
+
+    of_word = vocabulary.join(of.mapInArrow(spread, "id long, class long"), "id").select("h", "class")
+    final = written(kinds.join(of_word, "h", "left"), "final")
+    named = own_words.join(final, "h", "left").select("chunk", "place", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(movable)).alias("class"))
 
     def finish(key, left, right):
-        row = {n: left.column(n).combine_chunks()[0] for n in left.column_names}
-        values = {n: row[n].values for n in ("doc_id", "held_out", "n_tokens", "local", "base", "known", "rest")}
-        c = np.zeros(right.num_rows, np.int64)
-        c[right.column("place").to_numpy()] = right.column("c").to_numpy()
-        places = np.frombuffer(row["places"].as_buffer(), "<i4")
-        n_rest = values["rest"].to_numpy()
-        edge = np.concatenate([[0], np.cumsum(n_rest)])
-        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[edge])
-        of_rest, known = sums(np.log10(c + 0.5)[places]), sums((c > 0).astype(np.int64)[places])
-        n = values["n_tokens"].to_numpy()
-        base = values["base"].to_numpy() + of_rest - n * base_norm
-        own = values["local"].to_numpy() + of_rest - n_rest * rest_norm
-        return pa.table([values["doc_id"], values["held_out"], values["n_tokens"], pa.array(values["known"].to_numpy() + known), pa.array(np.full(len(n), total)), pa.array(base), pa.array(own)], RESULT)
+        values, (c, own) = unpacked(left, right, ("c", "class"))
+        places, n = values["places"], values["n_tokens"].to_numpy()
+        own, c = np.append(own, movable + 1).astype(np.int64), np.append(c, ends)  # place -1: the end
+        emission = np.log10(np.where(own == movable, c + 0.5, np.maximum(c, 1))) - np.where(own == movable, rest_norm, of_class[own])
+        emission[-1] = 0.0
+        kind = own[places]
+        each = transition[np.concatenate([[movable + 1], kind[:-1]])[: len(kind)], kind] + emission[places]
+        starts = np.cumsum(n) - n
+        sums = lambda x: np.add.reduceat(x, starts) if len(n) else x[:0]
+        base = sums(np.log10(c + 0.5)[places]) - n * base_norm
+        return pa.table([values["doc_id"], values["held_out"], values["n_tokens"], pa.array(sums((c > 0).astype(np.int64)[places])), pa.array(np.full(len(n), total)), pa.array(base), pa.array(sums(each))], RESULT)
 
     RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    texts = packed.drop("h", "seen")
-    return texts.groupBy("chunk").cogroup(counted.select("chunk", "place", "c").groupBy("chunk")).applyInArrow(
+    return texts.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -4,6 +4,7 @@ empty table, and against a plain version."""
 import base64
 import hashlib
 import zlib
+from collections import Counter
 
 import brute
 import duckdb
@@ -168,6 +169,60 @@ def test_class_lm_is_a_distribution_and_learns(spark):
     assert 10 ** (-sum(r.score for r in got) / n) < 0.6 * 10 ** (-sum(r.base_score for r in got) / n)
 
 
+def zipf_texts():
+    rng = np.random.default_rng(5)
+    return [(i, " ".join(f"w{min(int(x), 900)}" for x in rng.zipf(1.3, rng.integers(0, 120)))) for i in range(100)]
+
+
+def test_class_lm_brute(spark):
+    rows, classes, rounds, size = zipf_texts(), 5, 4, 40
+    docs = classlm.with_parts(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = {r.doc_id: r.held_out for r in docs.collect()}
+    h = lambda w: int(classlm.tokens(pa.array([w]))[0][:1].view(np.int64)[0])
+    train = [t.split() for i, t in rows if not held[i]]
+    c = Counter(w for t in train for w in t)
+    ids, buckets = classlm.numbered(spark.createDataFrame([(h(w), n) for w, n in c.items()], "h long, c long"), 2, size)
+    ids = {r.h: r.id for r in ids.collect()}
+    frequent = sorted((w for w in c if c[w] > 1), key=lambda w: (-c[w], h(w)))
+    assert buckets > 1 and set(ids) == {h(w) for w in frequent}
+    at = {w: k for k, w in enumerate(frequent)}
+    rest, end = len(at), len(at) + 1
+    n = np.zeros((end + 1, end + 1), int)
+    for t in train:
+        kinds = [end, *(at.get(w, rest) for w in t), end]
+        np.add.at(n, (kinds[:-1], kinds[1:]), 1)
+    of = np.array([k if k < classes else int(np.floor(4 * np.log2(c[w]))) % classes for k, w in enumerate(frequent)] + [classes, classes + 1])
+    grouped = lambda: np.array([[n[np.ix_(of == a, of == b)].sum() for b in range(classes + 2)] for a in range(classes + 2)])
+    for turn in range(rounds):
+        table, new = grouped(), of.copy()
+        for k, w in enumerate(frequent):
+            bucket, place = divmod(ids[h(w)], 1 << classlm.PLACES)
+            if classlm.turns(bucket, np.array([place]), turn)[0]:
+                others = np.arange(end + 1) != k
+                before, after = (np.bincount(of[others], x[others], classes + 2).astype(int) for x in (n[:, k], n[k]))
+                best, gain = classlm.best_class(k, before, after, int(n[k, k]), of, table, classes)
+                new[k] = best if gain > 1e-6 else of[k]
+        assert (new != of).any()
+        of = new
+    table, weight = grouped(), classlm.BIGRAM_WEIGHT
+    shares = table.sum(0) / table.sum()
+    n_rest, v_rest = sum(x for x in c.values() if x == 1), sum(x == 1 for x in c.values())
+    for r in classlm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), classes=classes, rounds=rounds, bucket=size).collect():
+        words = dict(rows)[r.doc_id].split()
+        kinds, total = [end, *(at.get(w, rest) for w in words), end], 0.0
+        for a, b, w in zip(kinds, kinds[1:], [*words, None]):
+            p = weight * table[of[a], of[b]] / table[of[a]].sum() + (1 - weight) * shares[of[b]]
+            total += np.log10(p) + (0 if b == end else np.log10((c[w] + 0.5) / (n_rest + 0.5 * (v_rest + 1))) if b == rest else np.log10(c[w] / table[:, of[b]].sum()))
+        assert r.score == pytest.approx(total, abs=1e-5)
+
+
+def test_class_lm_vocabulary_has_no_cap(spark):
+    kinds = spark.range(5000).selectExpr("id AS h", "id % 3 + 1 AS c")
+    words, buckets = classlm.numbered(kinds, 2, 1000)
+    assert buckets == 4 and sorted(r.h for r in words.collect()) == [k for k in range(5000) if k % 3]
+    assert words.select("id").distinct().count() == words.count()
+
+
 def test_exchange_gain_is_the_likelihoods():
     rng = np.random.default_rng(1)
     n = rng.integers(0, 9, (12, 12))
