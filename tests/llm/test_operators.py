@@ -216,6 +216,12 @@ def test_class_lm_brute(spark):
         assert r.score == pytest.approx(total, abs=1e-5)
 
 
+def test_class_lm_of_any_partitioning(spark):
+    rows = spark.createDataFrame(zipf_texts(), "doc_id long, text string")
+    one, many = (sorted((r.doc_id, round(r.score, 6), round(r.base_score, 6)) for r in classlm.score(rows.repartition(k), classes=5, rounds=2).collect()) for k in (1, 50))
+    assert one == many and any(score != base for _, score, base in one)
+
+
 def test_class_lm_vocabulary_has_no_cap(spark):
     kinds = spark.range(5000).selectExpr("id AS h", "id % 3 + 1 AS c")
     words, buckets = classlm.numbered(kinds, 2, 1000)
