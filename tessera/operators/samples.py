@@ -28,9 +28,25 @@ def forward_ycocg(d: Column, e: Column, f: Column) -> list[Column]:
     return [t + F.shiftright(c, 1), b, c]
 
 
-def palette(grid: DataFrame, colours: DataFrame, size: int, depth: int = 8, channels: int = 3) -> DataFrame:
-    """Indices to colours: the palette (idx, c, v), beyond it two implicit colour cubes, below 0 the negated entries
-    of the palette as deltas.  The palette is joined as a table; the format bounds its size."""
+#: The format's own deltas, that indices below 0 stand for (72 entries of three channels).
+DELTAS = [
+    (0, 0, 0), (4, 4, 4), (11, 0, 0), (0, 0, -13), (0, -12, 0), (-10, -10, -10), (-18, -18, -18), (-27, -27, -27), (-18, -18, 0),
+    (0, 0, -32), (-32, 0, 0), (-37, -37, -37), (0, -32, -32), (24, 24, 45), (50, 50, 50), (-45, -24, -24), (-24, -45, -45), (0, -24, -24),
+    (-34, -34, 0), (-24, 0, -24), (-45, -45, -24), (64, 64, 64), (-32, 0, -32), (0, -32, 0), (-32, 0, 32), (-24, -45, -24), (45, 24, 45),
+    (24, -24, -45), (-45, -24, 24), (80, 80, 80), (64, 0, 0), (0, 0, -64), (0, -64, -64), (-24, -24, 45), (96, 96, 96), (64, 64, 0),
+    (45, -24, -24), (34, -34, 0), (112, 112, 112), (24, -45, -45), (45, 45, -24), (0, -32, 32), (24, -24, 45), (0, 96, 96), (45, -24, 24),
+    (24, -45, -24), (-24, -45, 24), (0, -64, 0), (96, 0, 0), (128, 128, 128), (64, 0, 64), (144, 144, 144), (96, 96, 0), (-36, -36, 36),
+    (45, -24, -45), (45, -45, -24), (0, 0, -96), (0, 128, 128), (0, 96, 0), (45, 24, -45), (-128, 0, 0), (24, -45, 24), (-45, 24, -45),
+    (64, 0, -64), (64, -64, -64), (96, 0, 96), (45, -45, 24), (24, 45, -45), (64, 64, -64), (128, 128, 0), (0, 0, -128), (-24, 45, -45),
+]
+
+
+def palette(grid: DataFrame, colours: DataFrame, size: int, depth: int = 8, channels: int = 3, deltas: DataFrame | None = None) -> DataFrame:
+    """Indices to colours: the palette (idx, c, v), beyond it two implicit colour cubes, below 0 the
+    format's deltas and their negatives (deltas: another table of 72 entries (idx, c, v) in their place).  Both are joined
+    as one table; the format bounds its size."""
+    if deltas is None:
+        deltas = grid.sparkSession.createDataFrame([(k, c, v) for k, entry in enumerate(DELTAS) for c, v in enumerate(entry)], "idx long, c int, v long")
     top = (1 << depth) - 1
     spread = grid.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))))
     i = F.col("v")
@@ -38,8 +54,10 @@ def palette(grid: DataFrame, colours: DataFrame, size: int, depth: int = 8, chan
     small = div(div(k, F.pow(F.lit(4), F.col("c")).cast("long")) % 4 * top, 4) + (1 << max(depth - 3, 0))
     large = div(div(k - 64, F.pow(F.lit(5), F.col("c")).cast("long")) % 5 * top, 4)
     delta = (-i - 1) % 143
-    look = F.when(i >= 0, i).otherwise(div(delta + 1, 2) % size)
-    found = spread.withColumn("look", look).join(colours.select(F.col("idx").alias("look"), "c", F.col("v").alias("colour")), ["look", "c"], "left")
+    look = F.when(i >= 0, i).otherwise(-1 - div(delta + 1, 2))
+    shifted = F.col("v") * (1 << max(min(depth, 24) - 8, 0))
+    entries = colours.select(F.col("idx").alias("look"), "c", F.col("v").alias("colour")).unionAll(deltas.select(-1 - F.col("idx"), "c", shifted))
+    found = spread.withColumn("look", look).join(entries, ["look", "c"], "left")
     value = F.when(i < 0, F.when(F.col("c") >= 3, 0).when(delta % 2 == 0, -F.col("colour")).otherwise(F.col("colour"))).when(i < size, F.col("colour")).when(k < 64, small).otherwise(large)
     return found.select("y", "x", "c", value.alias("v"))
 

@@ -187,7 +187,8 @@ FROM m LEFT JOIN pal p ON p.idx = look AND p.c = m.c""",
 def _(spark, d):
     nation = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c"))
     colours = nation.withColumn("v", (F.col("idx") * 37 + F.col("c") * 91) % 256)
-    return S.palette(orders_grid(spark, d).withColumn("v", F.col("v") - 40), colours, 25)
+    deltas = colours.select(F.explode(F.sequence("idx", F.lit(71).cast("long"), F.lit(25).cast("long"))).alias("idx"), "c", "v")  # the SQL's stand-in, not the format's
+    return S.palette(orders_grid(spark, d).withColumn("v", F.col("v") - 40), colours, 25, deltas=deltas)
 
 
 # ---- prediction ----

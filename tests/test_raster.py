@@ -51,6 +51,15 @@ def test_squeeze_there_and_back(spark, shape):
     assert {(r.y, r.x): r.v for r in back.collect()} == {(y, x): int(v) for (y, x), v in np.ndenumerate(values)}
 
 
+@pytest.mark.parametrize("depth", [8, 10, 30])
+def test_palette_deltas_are_the_formats(spark, depth):
+    known = {-1: (0, 0, 0), -2: (4, 4, 4), -3: (-4, -4, -4), -4: (11, 0, 0), -7: (0, 0, 13), -142: (-24, 45, -45), -143: (24, -45, 45), -144: (0, 0, 0), -145: (4, 4, 4), 0: (7, 8, 9)}
+    colours = spark.createDataFrame([(0, c, 7 + c) for c in range(4)], "idx long, c int, v long")
+    got = {(r.x, r.c): r.v for r in S.palette(grid(spark, [list(known)]), colours, 1, depth, 4).collect()}
+    shift = max(min(depth, 24) - 8, 0)
+    assert got == {(x, c): (10 if c == 3 else v[c]) if i == 0 else 0 if c == 3 else v[c] << shift for x, (i, v) in enumerate(known.items()) for c in range(4)}
+
+
 def test_strips_do_not_show(spark):
     """Neighbours across the strips of rows."""
     values = np.random.default_rng(1).integers(0, 99, (131, 3))
