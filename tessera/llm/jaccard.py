@@ -1,43 +1,44 @@
 """N-gram Jaccard join (operator 8): token-combination prefixes, then verification.
 
 A text's set has its distinct five-word shingles; two texts link if their Jaccard
-similarity is 0.75 or more.  Shingles have one global order: light ones first, then heavy
-ones, by hash in either class.  Two sets that link share a shingle among the first
-n - ceil(0.75 n) + 1 of each, so light shingles of that prefix are indexed singly.  If the
-first shared shingle is heavy, so are all others; the prefix is then extended by B and
-both share B + 1 heavy shingles in it.  Heavy shingles fall into B classes by hash, so two
-of them are in one class: pairs of heavy shingles of one class are indexed.  B follows
-the binary order of magnitude of the set's size; a set whose partners may be of the next
-smaller order is indexed under both.  Heavy shingles are the most frequent of those that
-stand out among the LOCAL_TOKENS that a task sees in a row, MOST_HEAVY at most (two
-megabytes, so they may be sent to all tasks); which shingles are heavy changes the cost
-only, never the result.
-
-Equal sets are one node.  In each posting list one member, the hub, is verified against
-the others; links are contracted to components, and lists whose members are of one
-component are done: no link between their members could add anything.  Rounds go
-on, each with other hubs, as long as they find links in numbers (HUB_ROUNDS at most); what
-is left then are pairs of different components that share a list, and all of those are
-verified.  So the components are exact, and a list of copies costs as
-many verifications as it has members.
+similarity is 0.75 or more.  Shingles have one global order: the rarer first (by the number of
+different sets that have them), then frequent ones, called heavy, by hash.  Two sets that link share a
+shingle among the first n - ceil(0.75 n) + 1 of each.  Shingles of one set alone stand first and
+need no key: a set of which more than a quarter is its own links with nothing and drops out.
+The other light shingles of a prefix are indexed singly.  If the first shared shingle is heavy, so
+are all others; the prefix is then extended by B and both share B + 1 heavy shingles in it.
+Heavy shingles fall into B classes by hash, so two of them are in one class: pairs of heavy shingles
+of one class are indexed.  B follows the binary order of magnitude of the set's size; a set
+whose partners may be of the next smaller order is indexed under both.
+
+Heavy shingles are the most frequent of those that stand out among the LOCAL_TOKENS that a task sees
+in a row, MOST_HEAVY at most (two megabytes, so they may be sent to all tasks); which shingles are
+heavy changes the cost only, never the result.  All others are counted exactly: they go to buckets by
+hash, packed by bucket, and those that several sets have come back to their sets, packed by group of sets.
+
+Equal sets are one node.  The hub of a posting list is the member with the smallest share of shingles of its own.
+A hub's star has the members of all its lists, each verified against the hub; links are contracted to
+components.  What is left are pairs of one star in different components, and two bounds
+drop most before they are made: sets share no more shingles than either shares with any other set, and
+no more than the lesser overlap with the hub and the lesser number of shared shingles beside the hub.
+All other pairs are verified, so the components are exact.  While too many pairs would have to be compared with the
+bounds (PAIRS_A_NODE for each node), rounds with other hubs come first as long as they find links (HUB_ROUNDS at most).
 
 Null and empty texts and texts without words have empty sets and link with nothing.
 Repeated rows are nodes of equal sets.  A null id counts as larger than any other.
 Columns beside the id and the text are not read.
 """
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .columns import discard, free_shuffles, row_chunks, slices, small_batches, text_buffer, written
+from .columns import binary_array, discard, row_chunks, slices, small_batches, text_buffer, written
 from .components import connected_components
 from .textkernel import mix, shingle_sets, words
 
-FEW_LINKS = 0.02
-MOST_HEAVY, LOCAL_HEAVY, LOCAL_TOKENS, HUB_ROUNDS = 1 << 18, 3, 6_000_000, 16
+MOST_HEAVY, LOCAL_HEAVY, LOCAL_TOKENS = 1 << 18, 3, 4_000_000
+HUB_ROUNDS, PAIRS_A_NODE, FEW_LINKS = 16, 512, 0.02
 
 
 def sets_of(texts: pa.Array):
@@ -46,10 +47,15 @@ def sets_of(texts: pa.Array):
         yield from shingle_sets(*words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
 
 
-def node_of(own: np.ndarray) -> int:
-    """A hash of the set, independent of order."""
-    total = int(mix(own * np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)) + len(own) * 0x165667B19E3779F9
-    return int(mix(np.array([total % (1 << 64)], np.uint64)).view(np.int64)[0])
+def flat_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All sets end to end, their sizes, and each set's node: a hash of the set, independent of order."""
+    own = list(sets_of(texts))
+    flat, sizes = np.concatenate([np.zeros(0, np.uint64), *own]), np.array([len(x) for x in own], np.int64)
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(mix(flat * np.uint64(0xC2B2AE3D27D4EB4F)), out=sums[1:])
+    ends = np.cumsum(sizes)
+    nodes = mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+    return flat, sizes, nodes.view(np.int64)
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -58,18 +64,18 @@ def describe(docs: DataFrame) -> DataFrame:
     def run(batches):
         waiting, count = [], 0
         for batch in batches:
-            own = list(sets_of(batch.column(1)))
-            yield table([batch.column(0).cast(pa.int64()), batch.column(2), pa.array([len(x) for x in own], pa.int64()), pa.array([node_of(x) for x in own], pa.int64()), None, None], len(own))
-            waiting += own
-            count += sum(map(len, own))
+            flat, sizes, nodes = flat_sets(batch.column(1))
+            yield table([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(sizes), pa.array(nodes), None, None], len(nodes))
+            waiting.append(flat)
+            count += len(flat)
             if count >= LOCAL_TOKENS:
                 yield stand_out(waiting)
                 waiting, count = [], 0
         if waiting:
             yield stand_out(waiting)
 
-    def stand_out(sets):
-        flat = np.sort(np.concatenate(sets))
+    def stand_out(waiting):
+        flat = np.sort(np.concatenate(waiting))
         edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
         hits = np.diff(np.append(edge, len(flat)))
         top = hits >= LOCAL_HEAVY
@@ -85,25 +91,18 @@ def least_overlap(n: int) -> int:
     return -(-3 * n // 4)
 
 
-def signatures(own: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Light keys and heavy keys of a set (ascending shingles); heavy: ascending heavy shingles."""
-    n = len(own)
-    none = np.zeros(0, np.uint64)
-    if not n:
-        return none, none
-    prefix = n - least_overlap(n) + 1
-    where = np.searchsorted(heavy, own)
-    is_heavy = heavy[np.minimum(where, len(heavy) - 1)] == own if len(heavy) else np.zeros(n, bool)
-    light = own[~is_heavy]
-    if prefix <= len(light):
-        return light[:prefix], none
-    dark, keys = own[is_heavy], []
+def signatures(n: int, light: np.ndarray, dark: np.ndarray) -> np.ndarray:
+    """Keys of a set of n shingles: its light ones that other sets share, the rarer first, and its heavy ones (ascending)."""
+    left = n - least_overlap(n) + 1 - (n - len(light) - len(dark))  # of the prefix, after the shingles of this set alone
+    if left <= len(light):
+        return light[: max(left, 0)]
+    keys = [light]
     for band in {n.bit_length(), least_overlap(n).bit_length()}:
         classes = (1 << band) // 32  # a sixteenth of the size, at least
+        taken = dark[: left + classes - len(light)]
         if not classes:
-            keys.append(mix(dark[: prefix - len(light)] ^ np.uint64(band)))
+            keys.append(mix(taken ^ np.uint64(band)))
             continue
-        taken = dark[: prefix + classes - len(light)]
         kind = (taken >> np.uint64(7)) % np.uint64(classes)
         order = np.argsort(kind, kind="stable")
         taken, kind = taken[order], kind[order]
@@ -112,118 +111,285 @@ def signatures(own: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarr
             if not same.any():
                 break
             keys.append(mix(taken[:-gap][same] * np.uint64(0x9E3779B97F4A7C15) + mix(taken[gap:][same]) + np.uint64(band)))
-    return light, np.concatenate(keys) if keys else none
+    return np.concatenate(keys)
+
+
+PACKED = "place int, side int, nodes binary, sizes binary, tokens binary, hits binary"
+RAW, LIGHT, HEAD = 0, 1, 2  #: light shingles in a bucket; light shingles that nodes share; nodes with their sizes and heavy shingles
+
+
+def six_bytes(tokens: np.ndarray) -> np.ndarray:
+    """The upper 48 bits, which tell the shingles of one bucket apart (two that agree would only be taken for shared)."""
+    return np.ascontiguousarray(tokens).view("<u2").reshape(-1, 4)[:, 1:]
+
+
+def eight_bytes(packed: np.ndarray, place: int) -> np.ndarray:
+    """Those 48 bits and the bucket: a shingle's name from here on."""
+    out = np.empty((len(packed) // 6, 4), "<u2")
+    out[:, 0], out[:, 1:] = place & 0xFFFF, packed.view("<u2").reshape(-1, 3)
+    return out.reshape(-1).view("<u8")
+
+
+def packed_rows(place: np.ndarray, side: int, nodes: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, hits: np.ndarray):
+    """A row for each place; all arrays are laid out by place, sizes has the tokens of each node (and hits, in heads, the set's size)."""
+    edge = np.flatnonzero(np.diff(place, prepend=-1))
+    stops = np.append(edge[1:], len(place))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    cuts = [(int(a), int(b), int(ends[a]), int(ends[b])) for a, b in zip(edge, stops)]
+    columns = [[x[a:b].tobytes() for a, b, _, _ in cuts] for x in (nodes.astype("<i8"), sizes.astype("<u4"))]
+    columns.append([tokens[c:d].tobytes() for _, _, c, d in cuts])
+    columns.append([hits[a:b].tobytes() if side == HEAD else hits[c:d].tobytes() for a, b, c, d in cuts])
+    return pa.RecordBatch.from_arrays([pa.array(place[edge].astype(np.int32)), pa.array(np.full(len(cuts), side, np.int32)), *map(binary_array, columns)], ["place", "side", "nodes", "sizes", "tokens", "hits"])
 
 
-def index(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(node, keys, dark): the keys of each text's set; from place `dark` on they are of heavy shingles."""
+def by_place(owner: np.ndarray, place: np.ndarray, nodes: np.ndarray, side: int, tokens: np.ndarray, hits: np.ndarray):
+    """Rows of tokens that go to their places; tokens of one owner (place in nodes) lie together."""
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])])) if len(owner) else np.zeros(0, np.int64)
+    return packed_rows(place[first], side, nodes[owner[first]], np.diff(np.append(first, len(owner))), tokens[order], hits[order] if len(hits) else hits)
+
+
+def dealt(docs: DataFrame, heavy: np.ndarray, places: int) -> DataFrame:
+    """Each node's light shingles, packed for their buckets, and its size and heavy shingles, packed for its group."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches):
+        known, waiting, count = set(), [], 0
         for batch in batches:
-            own = list(sets_of(batch.column(0)))
-            light, dark = zip(*(signatures(x, sent.value) for x in own)) if own else ((), ())
-            ends = np.concatenate([[0], np.cumsum([len(a) + len(b) for a, b in zip(light, dark)])]).astype(np.int32)
-            flat = np.concatenate([x for pair in zip(light, dark) for x in pair]) if own else np.zeros(0, np.uint64)
-            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in own], pa.int64()), keys, pa.array([len(x) for x in light], pa.int32())], ["node", "keys", "dark"])
+            flat, sizes, nodes = flat_sets(batch.column(0))
+            fresh = np.array([s > 0 and x not in known and not known.add(x) for x, s in zip(nodes.tolist(), sizes.tolist())], bool)  # copies once a task
+            waiting.append((flat[np.repeat(fresh, sizes)], sizes[fresh], nodes[fresh]))
+            count += int(sizes[fresh].sum())
+            if count >= LOCAL_TOKENS:
+                yield from pack(waiting)
+                waiting, count = [], 0
+            if len(known) > 1 << 20:
+                known.clear()
+        if waiting:
+            yield from pack(waiting)
+
+    def pack(waiting):
+        flat, sizes, nodes = map(np.concatenate, zip(*waiting))
+        order = np.argsort(nodes.view(np.uint64) % np.uint64(places), kind="stable")
+        where = np.searchsorted(sent.value, flat)
+        dark = sent.value[np.minimum(where, len(sent.value) - 1)] == flat if len(sent.value) else np.zeros(len(flat), bool)
+        owner = np.repeat(np.arange(len(nodes)), sizes)
+        bucket = (flat[~dark] % np.uint64(places)).astype(np.uint16 if places < 1 << 16 else np.int32)
+        yield by_place(owner[~dark], bucket, nodes, RAW, six_bytes(flat[~dark]), np.zeros(0, np.uint32))
+        rank = np.empty(len(nodes), np.int64)
+        rank[order] = np.arange(len(nodes))
+        dark_owner = rank[owner[dark]]
+        tokens = flat[dark][np.argsort(dark_owner, kind="stable")]
+        yield packed_rows((nodes[order].view(np.uint64) % np.uint64(places)).astype(np.int64), HEAD, nodes[order], np.bincount(dark_owner, minlength=len(nodes)), tokens, sizes[order].astype("<u4"))
+
+    return docs.select("text").mapInArrow(run, PACKED)
+
+
+def at_places(rows: DataFrame, places: int, finish, schema: str) -> DataFrame:
+    """finish(place, its rows as a list of (side, nodes, sizes, tokens, hits)) for each place, each in a task of its own."""
 
-    return docs.select("text").mapInArrow(run, "node long, keys array<long>, dark int")
+    def arrays(place, side, nodes, sizes, tokens, hits):
+        tokens = np.frombuffer(tokens.as_buffer(), np.uint8)
+        return side, np.frombuffer(nodes.as_buffer(), "<i8"), np.frombuffer(sizes.as_buffer(), "<u4"), eight_bytes(tokens, place) if side == RAW else tokens.view("<u8"), np.frombuffer(hits.as_buffer(), "<u4")
 
+    def run(batches):
+        at, own = None, []
+        for batch in batches:
+            for k, place in enumerate(batch.column(0).to_pylist()):
+                if place != at and own:
+                    yield from finish(at, own)
+                    own = []
+                at = place
+                own.append(arrays(place, batch.column(1)[k].as_py(), *(batch.column(i)[k] for i in (2, 3, 4, 5))))
+        if own:
+            yield from finish(at, own)
+
+    return rows.repartitionById(places, "place").sortWithinPartitions("place").mapInArrow(run, schema)
+
+
+def joined(own: list, side: int) -> tuple[np.ndarray, ...]:
+    parts = [x[1:] for x in own if x[0] == side]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    nodes, sizes, tokens, hits = map(np.concatenate, zip(*parts))
+    return nodes, sizes.astype(np.int64), tokens, hits
+
+
+def counted(rows: DataFrame, places: int) -> DataFrame:
+    """The light shingles that several nodes have, with their numbers of nodes, packed for their nodes' groups; heads pass through."""
+
+    def finish(place, own):
+        for side, *head in own:
+            if side == HEAD:
+                yield packed_rows(np.full(len(head[0]), place), HEAD, *head)
+        nodes, sizes, tokens, _ = joined(own, RAW)
+        if not len(tokens):
+            return
+        order = np.argsort(tokens)
+        tokens, owner = tokens[order], np.repeat(nodes, sizes)[order]
+        same = tokens[1:] == tokens[:-1]
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        tokens, owner = tokens[several], owner[several]
+        order = np.lexsort((owner, tokens))
+        tokens, owner = tokens[order], owner[order]
+        fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])[: len(tokens)]  # a node from several tasks
+        tokens, owner = tokens[fresh], owner[fresh]
+        _, where, hits = np.unique(tokens, return_inverse=True, return_counts=True)
+        hits = hits[where]
+        tokens, owner, hits = tokens[hits > 1], owner[hits > 1], hits[hits > 1].astype("<u4")
+        place = (owner.view(np.uint64) % np.uint64(places)).astype(np.int64)
+        order = np.lexsort((owner, place))
+        kinds, at = np.unique(owner[order], return_inverse=True)
+        yield by_place(at, place[order], kinds, LIGHT, tokens[order], hits[order])
+
+    return at_places(rows, places, finish, PACKED)
+
+
+def signed(rows: DataFrame, places: int) -> DataFrame:
+    """(node, n, s, keys): s of the n shingles are shared with other sets; nodes that can link with nothing are left out."""
+
+    def finish(place, own):
+        nodes, dark_sizes, dark, n = joined(own, HEAD)
+        starts = np.cumsum(dark_sizes) - dark_sizes
+        nodes, first = np.unique(nodes, return_index=True)  # a node from several tasks
+        n, starts, dark_sizes = n[first].astype(np.int64), starts[first], dark_sizes[first]
+        of, sizes, tokens, hits = joined(own, LIGHT)
+        at = np.searchsorted(nodes, np.repeat(of, sizes))
+        s = dark_sizes + np.bincount(at, minlength=len(nodes))
+        alive = 4 * s >= 3 * n
+        kept = alive[at]
+        at, tokens, hits = at[kept], tokens[kept], hits[kept]
+        order = np.lexsort((tokens, hits, at))
+        tokens, ends = tokens[order], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(nodes)))])
+        keys, alive = [], np.flatnonzero(alive)
+        for k in alive.tolist():
+            keys.append(signatures(int(n[k]), tokens[ends[k] : ends[k + 1]], np.sort(dark[starts[k] : starts[k] + dark_sizes[k]])))
+        if keys:
+            flat, stops = np.concatenate(keys).astype(np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[alive]), pa.array(n[alive]), pa.array(s[alive].astype(np.int64)), pa.ListArray.from_arrays(pa.array(stops), pa.array(flat.view(np.int64)))], ["node", "n", "s", "keys"])
+
+    return at_places(rows, places, finish, "node long, n long, s long, keys array<long>")
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with o, the number of shingles that both sets have."""
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
 
-def posting_lists(keys: DataFrame) -> DataFrame:
-    """(key, node) of keys that more than one node has, and of all heavy keys.
+    def run(batches):
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), "<u8") for v in batch.column(i)] for i in (2, 3))
+            o = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(o, pa.int64())], ["a", "b", "o"])
 
-    One shuffle: light keys meet by key, which few nodes share; a heavy key, which a third of
-    the nodes may share, is dealt out by key and node and looked at later, where partial
-    aggregation and joins that can be split handle it."""
-    rows = keys.select("node", "dark", F.posexplode("keys").alias("place", "key")).select("node", "key", (F.col("place") >= F.col("dark")).alias("heavy"))
-    rows = rows.withColumn("at", F.when(F.col("heavy"), F.xxhash64("key", "node")).otherwise(F.col("key")))
-    by_key = Window.partitionBy("at")
-    rows = rows.withColumns({"lo": F.min("node").over(by_key), "hi": F.max("node").over(by_key)})
-    return rows.where("heavy OR lo != hi").select("key", "node").distinct()
+    return both.select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long, o long")
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def set_bytes(texts: DataFrame) -> DataFrame:
+    """(node, own): the shingles of each text, ascending."""
 
     def run(batches):
         for batch in batches:
-            hit, last, known = [], None, None
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), sets_of(batch.column(3))):
-                if a != last or known is None:
-                    last, known = a, next(sets_of(pa.array([x.as_py()], pa.string())))
-                shared = len(np.intersect1d(known, y, assume_unique=True))
-                hit.append(100 * shared >= 75 * (len(known) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary_array([x.astype("<u8").tobytes() for x in sets_of(batch.column(1))])], ["node", "own"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, own binary")
+
+
+def sizes_fit(x: str = "nx", y: str = "ny") -> Column:
+    return 4 * F.least(x, y) >= 3 * F.greatest(x, y)
+
+
+def by_turn(turn: int) -> Column:
+    """An order of nodes: in turn 0 those with the smallest share of shingles of their own come first; then by hash."""
+    order = F.xxhash64("node", F.lit(turn))
+    return order if turn else F.shiftleft(F.least(F.floor((F.col("n") - F.col("s")) * 256 / F.col("n")), F.lit(63)).cast("long"), 57) + F.shiftrightunsigned(order, 7)
 
-    return both.mapInArrow(run, "a long, b long")
 
+def star_pairs(lists: DataFrame, info: DataFrame, turn: int) -> DataFrame:
+    """(hub, node) with sizes and shared shingles of both and `comp`, `hub_comp`: all members of lists that have several components."""
+    hubs = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("node", by_turn(turn)).alias("hub")).where("lo != hi").select("key", "hub")
+    pairs = lists.select("key", "node").join(hubs, "key").where("hub != node").select("hub", "node").distinct()
+    pairs = pairs.join(info.select("node", "n", "s", "comp"), "node")
+    return pairs.join(info.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("s").alias("hub_s"), F.col("comp").alias("hub_comp")), "hub")
 
-def fitting(pairs: DataFrame) -> DataFrame:
-    """Distinct (a, b) of those of different components whose sizes allow a link."""
-    fits = (F.col("cx") != F.col("cy")) & (4 * F.least("nx", "ny") >= 3 * F.greatest("nx", "ny"))
-    return pairs.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
+def could_link(pairs: DataFrame) -> DataFrame:
+    """(a, b) of star pairs that could link, and are not of one component."""
+    able = sizes_fit("n", "hub_n") & (7 * F.least("s", "hub_s") >= 3 * (F.col("n") + F.col("hub_n"))) & (F.col("comp") != F.col("hub_comp"))
+    return pairs.where(able).select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
-def hub_pairs(lists: DataFrame, members: DataFrame, open_lists: DataFrame) -> DataFrame:
-    """Each list's hub with the list's other members."""
-    pairs = lists.select("key", F.col("node").alias("x")).join(open_lists.select("key", F.col("hub").alias("y")), "key").where("x != y").select("x", "y").distinct()
-    for side in ("x", "y"):
-        pairs = pairs.join(members.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("comp").alias(f"c{side}")), side)
-    return fitting(pairs)
 
+def with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("comp", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-def other_pairs(lists: DataFrame, open_lists: DataFrame) -> DataFrame:
-    """All pairs of different components in one list."""
-    rest = lists.join(open_lists.select("key"), "key")
-    x, y = (rest.select("key", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("comp").alias(f"c{s}")) for s in "xy")
-    return fitting(x.join(y, "key").where("x < y"))
+
+def bounded_pairs(stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of stars (hub, node, n, s, o, q, comp, hub_comp): the members outside the hub's component, and the
+    members that one of those could link with (o: overlap with the hub, q: shared shingles beside it; both at most)."""
+    x = stars.where("comp != hub_comp")
+    reach = x.groupBy("hub").agg(F.max("o").alias("most_o"), F.max("q").alias("most_q"), F.min("n").alias("least_n"), F.count(F.lit(1)).alias("others"))
+    y = stars.join(reach, "hub").where(7 * (F.least("o", "most_o") + F.least("q", "most_q")) >= 3 * (F.col("n") + F.col("least_n")))
+    return x, y
+
+
+def other_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(a, b) of one star and different components that the bounds leave."""
+    x, y = (t.select("hub", *(F.col(c).alias(c + side) for c in ("node", "n", "s", "o", "q", "comp")), (F.col("comp") != F.col("hub_comp")).alias("out" + side)) for t, side in ((x, "x"), (y, "y")))
+    both = 3 * (F.col("nx") + F.col("ny"))
+    fits = (F.col("compx") != F.col("compy")) & (~F.col("outy") | (F.col("nodex") < F.col("nodey"))) & sizes_fit() & (7 * F.least("sx", "sy") >= both) & (7 * (F.least("ox", "oy") + F.least("qx", "qy")) >= both)
+    return x.join(y, (x["hub"] == y["hub"]) & fits).select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
 
 
 def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, version (hash of the text), n (size of the set) and `first`, the smallest (doc_id, version)
     of the component, for each row of docs; `first` is null for empty sets."""
     docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
+    places = slices(docs)
     described = written(describe(docs), "shingle-sets")
     nodes = described.where(F.col("node").isNotNull()).select("doc_id", "version", "n", "node")
     heavy = described.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("hits").alias("hits"))
     heavy = np.sort(np.array([r[0] for r in heavy.orderBy(F.desc("hits"), "token").limit(MOST_HEAVY).collect()], np.int64).view(np.uint64))  # MOST_HEAVY numbers at most
 
-    representatives = nodes.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "version", "n")).alias("one")).select("node", "one.*")
-    postings = written(posting_lists(index(docs, heavy)).join(representatives.select("node", "n"), "node"), "postings")
-    free_shuffles(docs.sparkSession)
+    keyed = written(signed(counted(dealt(docs, heavy, places), places), places), "prefixes")
+    postings = keyed.select("node", "n", "s", F.explode("keys").alias("key"))
+    info = keyed.select("node", "n", "s")
+    stars = written(star_pairs(with_components(postings, None), with_components(info, None), 0).drop("comp", "hub_comp"), "stars")
 
-    wanted = postings.select("node").distinct().join(representatives, "node").select("node", F.col("doc_id").alias("own"), F.col("version").alias("own_version"))
+    wanted = stars.select("node").union(stars.select("hub")).distinct()
+    wanted = nodes.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("one")).select("node", F.col("one.doc_id").alias("own"), F.col("one.version").alias("own_version"))
     same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("version") == F.col("own_version"))
-    texts = bucketed(docs.join(wanted.hint("shuffle_hash"), same).select("node", "text"), "node")
-    free_shuffles(docs.sparkSession)
-
-    links, labels, tested, count, final = None, None, None, 0, False
-    for round_ in range(HUB_ROUNDS + 1):
-        lists = postings.withColumn("comp", F.col("node"))
-        if labels is not None:
-            lists = postings.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        turn = F.lit(hash_of_round(round_))
-        open_lists = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("node").bitwiseXOR(turn)).alias("hub")).where("lo != hi").select("key", F.col("hub").bitwiseXOR(turn).alias("hub"))
-        final = final or round_ == HUB_ROUNDS
-        pairs = other_pairs(lists, open_lists) if final else hub_pairs(lists, lists.select("node", "n", "comp").distinct(), open_lists)
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = verify(pairs, texts)
-        links = written(found if links is None else links.union(found), "links")
+    sets = written(set_bytes(docs.join(wanted.hint("shuffle_hash"), same)).dropDuplicates(["node"]), "sets")  # rows repeated in full
+
+    links, labels = None, None
+    link = 7 * F.col("o") >= 3 * (F.col("n") + F.col("m"))
+
+    def linked(pairs):
+        sizes = overlaps(pairs, sets).join(info.select(F.col("node").alias("a"), "n"), "a").join(info.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
+        return sizes.where(link).select("a", "b")
+
+    pairs = could_link(stars.withColumns({"comp": F.col("node"), "hub_comp": F.col("hub")}))
+    known = written(overlaps(pairs, sets), "overlaps")
+    stars = stars.join(known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "o"), ["hub", "node"], "left")
+    stars = stars.withColumn("q", F.col("s") - F.coalesce("o", F.lit(0))).withColumn("verified", F.coalesce("o", F.lit(-1))).withColumn("o", F.coalesce("o", F.least("n", "hub_n", "s", "hub_s")))
+    stars = written(stars, "stars-verified")
+    links = written(stars.where(7 * F.col("verified") >= 3 * (F.col("n") + F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")
+    labels = connected_components(links)
+    n_nodes, before = keyed.count(), 0
+    for turn in range(1, HUB_ROUNDS + 1):
+        now = with_components(stars, labels).join(labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
+        x, y = bounded_pairs(now)
+        size = y.groupBy("hub").agg((F.count(F.lit(1)) * F.first("others")).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
+        final = turn == HUB_ROUNDS or size <= PAIRS_A_NODE * n_nodes or (turn > 1 and links.count() <= (1 + FEW_LINKS) * before)
+        before = links.count()
+        pairs = other_pairs(x, y) if final else could_link(star_pairs(with_components(postings, labels), with_components(info, labels), turn))
+        links = written(links.union(linked(written(pairs, "pairs"))), "links")
         labels = connected_components(links)
-        free_shuffles(docs.sparkSession)
         if final:
             break
-        before, count = count, links.count()
-        final = count - before <= FEW_LINKS * count  # hubs find little more: the rest is verified pair by pair
-    discard(postings)
-    drop_bucketed(texts)
 
-    members = nodes.withColumn("comp", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    members = with_components(nodes, labels)
     # null ids are last, as the largest
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
     smallest = members.where("n > 0").groupBy("comp").agg(F.min(place).alias("first")).select("comp", F.struct("first.doc_id", "first.version").alias("first"))
@@ -244,21 +410,3 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = rows.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("version_") == F.col("own_version")))
     repeat = F.row_number().over(Window.partitionBy("doc_id", "version_").orderBy(F.lit(1)))  # rows repeated in full
     return rows.withColumn("repeat_", repeat).where("repeat_ = 1 OR empty_").select(*docs.columns)
-
-
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """df as a table in the warehouse, in buckets of the key: joins on it then move the other side only."""
-    name = f"candidates_{uuid.uuid4().hex}"
-    df.repartition(slices(df), key).write.bucketBy(slices(df), key).format("parquet").saveAsTable(name)
-    table = df.sparkSession.table(name)
-    table.saved_as_ = name
-    return table
-
-
-def drop_bucketed(table: DataFrame) -> None:
-    table.sparkSession.sql(f"DROP TABLE {table.saved_as_}")
-
-
-def hash_of_round(round_: int) -> int:
-    """Another order of the nodes each round, so that other members become hubs."""
-    return int(mix(np.array([round_ + 1], np.uint64)).view(np.int64)[0])
