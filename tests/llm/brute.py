@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RULES = [
@@ -84,3 +86,27 @@ def unigrams(rows):
     c = Counter(w for own, h in zip(tokens, held) if not h for w in own)
     n, v = sum(c.values()), len(c)
     return [(h, len(own), sum(c[w] > 0 for w in own), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own)) for own, h in zip(tokens, held)]
+
+
+def quality(rows, labels, buckets, threshold):
+    """rows: [(doc_id, text)], labels: [(doc_id, quality, toxic)] -> per row (llr, kept); hashes are XXH64 with seed 42, longs as 8 bytes."""
+    h64 = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
+
+    def grams(text):
+        h = [h64(w.encode()) for w in WORD.findall(text or "")]
+        pairs = [h64(b.to_bytes(8, "little"), h64(a.to_bytes(8, "little"))) for a, b in zip(h, h[1:])]
+        return [x % buckets for x in h + pairs]
+
+    good = {i for i, q, t in labels if q == 1 and not t and i is not None}
+    raw, target = [0] * buckets, [0] * buckets
+    for i, t in rows:
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += i in good
+    share = lambda c, g: (c[g] + 1) / (sum(c) + buckets)
+    out = []
+    for _, t in rows:
+        own = grams(t)
+        llr = sum(math.log(share(target, g) / share(raw, g)) for g in own) / len(own) if own and sum(target) else 0.0
+        out.append((llr, not statistics(t)[-1] and llr >= threshold))
+    return out
