@@ -37,7 +37,7 @@ from .columns import binary_array, discard, row_chunks, slices, small_batches, t
 from .components import connected_components
 from .textkernel import mix, shingle_sets, words
 
-MOST_HEAVY, LOCAL_HEAVY, LOCAL_TOKENS = 1 << 18, 3, 4_000_000
+MOST_HEAVY, LOCAL_HEAVY, LOCAL_TOKENS = 1 << 18, 3, 1_500_000
 HUB_ROUNDS, PAIRS_A_NODE, FEW_LINKS = 16, 512, 0.02
 
 
