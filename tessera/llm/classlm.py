@@ -14,9 +14,10 @@ probability counts all training texts, and nothing depends on how the rows are c
 Vocabulary, word bigrams and classes are Spark tables that grow with the texts; only the table of
 classes x classes goes to tasks.  Texts are packed in chunks (Arrow batches); each chunk sends each of
 its distinct words once, by hash, to be counted, and gets the counts back.  Words are numbered within
-buckets (by hash, about BUCKET words each), so that a bucket's classes are one short row; word bigrams
-are packed in pieces of one pair of buckets.  In each turn a piece meets the classes of its two buckets
-and sends its words' neighbour-class counts to their buckets, where they are added and the words move.
+buckets (by hash, about BUCKET words each, the frequent ones first), so that a bucket's classes are one short row; each
+chunk packs its word bigrams by pair of buckets, and they are added up in pieces.  In each turn a piece meets the classes of
+its two buckets and sends its words' neighbour-class counts to their buckets, where they are added and the words move.
+A turn that lowers the likelihood (words move at once) is taken back and is the last.
 
 Null and empty texts are one end token.  Null ids train (their remainder is unknown).
 Repeated rows are separate texts, scored and counted each; columns beside the id and the
@@ -31,7 +32,8 @@ from .columns import binary_array, discard, free_shuffles, row_chunks, slices, s
 from .textkernel import mix, words
 
 LEAST, CLASSES, ROUNDS, BIGRAM_WEIGHT = 2, 64, 6, 0.9
-BUCKET, PLACES, PIECE = 60_000, 20, 1 << 18  #: words of a bucket (on average), bits of a place in it, word bigrams of a piece
+OFTEN, LATE = 16, 2  #: words of fewer occurrences than OFTEN move in the LATE last turns only, when the others have settled
+BUCKET, PLACES, PIECE = 60_000, 20, 1 << 17  #: words of a bucket (on average), bits of a place in it, word bigrams of a piece
 END = np.uint64(0x5851F42D4C957F2D)  #: stands for the end token, which no word is
 
 
@@ -94,38 +96,53 @@ def unpacked(left: pa.Table, right: pa.Table, names: tuple) -> tuple[dict, list]
     return values, [right.column(n).to_numpy()[order] for n in names]
 
 
-def bigrams(texts: DataFrame, own_words: DataFrame, buckets: int) -> DataFrame:
-    """(a, b, n): each chunk's training bigrams of word ids, the end standing before each text; the bucket after the last has the rarer words (0) and the end (1)."""
+PACKED = "left long, right long, part long, a binary, b binary, n binary"
+
+
+def packed_bigrams(at: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, buckets: int, split: int) -> pa.Table:
+    """Rows of bigrams a, b with counts n, one for each of the ascending values of at: (left * (buckets + 1) + right) * split + part."""
+    edge = np.flatnonzero(np.diff(at, prepend=-1))
+    cuts = list(zip(edge.tolist(), np.append(edge[1:], len(at)).tolist()))
+    pair, low = at[edge] // split, (1 << PLACES) - 1
+    binary = [binary_array([x[c:d].tobytes() for c, d in cuts]) for x in ((a & low).astype("<i4"), (b & low).astype("<i4"), n.astype("<i8"))]
+    return pa.table([pa.array(pair // (buckets + 1)), pa.array(pair % (buckets + 1)), pa.array(at[edge] % split), *binary], ["left", "right", "part", "a", "b", "n"])
+
+
+def bigrams(texts: DataFrame, own_words: DataFrame, buckets: int, split: int) -> DataFrame:
+    """Each chunk's training bigrams of word ids, packed by pair of buckets (and by hash in `split` parts), the end standing
+    before each text; the bucket after the last has the rarer words (0) and the end (1)."""
     rest, end = buckets << PLACES, buckets << PLACES | 1
 
     def run(key, left, right):
+        none = np.zeros(0, np.int64)
         if not left.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, ["a", "b", "n"])
+            return packed_bigrams(none, none, none, none, buckets, split)
         values, (ids,) = unpacked(left, right, ("id",))
         known, token = np.unique(np.append(ids, [rest, end]), return_inverse=True)
         kind = np.append(token[: len(ids)], np.searchsorted(known, end))[values["places"]]
         before = np.concatenate([[np.searchsorted(known, end)], kind[:-1]])[: len(kind)]  # each text ends in the end
         train = np.repeat(~values["held_out"].to_numpy(zero_copy_only=False), values["n_tokens"].to_numpy())
         pair, n = np.unique((before * len(known) + kind)[train], return_counts=True)
-        return pa.table([known[pair // len(known)], known[pair % len(known)], n], ["a", "b", "n"])
+        a, b = known[pair // len(known)], known[pair % len(known)]
+        part = (mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) % np.uint64(split)).astype(np.int64)
+        at = ((a >> PLACES) * (buckets + 1) + (b >> PLACES)) * split + part
+        order = np.argsort(at, kind="stable")
+        return packed_bigrams(at[order], a[order], b[order], n[order], buckets, split)
 
     words_ = own_words.select("chunk", "place", F.coalesce("id", F.lit(rest)).alias("id"))
-    return texts.select("chunk", "held_out", "n_tokens", "places").groupBy("chunk").cogroup(words_.groupBy("chunk")).applyInArrow(run, "a long, b long, n long")
+    return texts.select("chunk", "held_out", "n_tokens", "places").groupBy("chunk").cogroup(words_.groupBy("chunk")).applyInArrow(run, PACKED)
 
 
-def pieces(pairs: DataFrame, buckets: int, most: int) -> DataFrame:
-    """Bigrams added up and packed by pair of buckets (and by hash, so that the `most` rows there may be make pieces of about PIECE)."""
-    split = 1 + most // (PIECE * (buckets + 1) ** 2)
+def pieces(packed: DataFrame) -> DataFrame:
+    """The chunks' bigrams added up, a row for each pair of buckets and part."""
 
     def run(key, table):
-        a, b, n = (table.column(c).to_numpy() for c in "abn")
-        low = (1 << PLACES) - 1
-        pair, where = np.unique((a & low) << PLACES | b & low, return_inverse=True)
-        packed = (pair >> PLACES).astype("<i4"), (pair & low).astype("<i4"), np.bincount(where, n).astype("<i8")
-        return pa.table([pa.array([int(key[0].as_py())]), pa.array([int(key[1].as_py())]), *(binary_array([x.tobytes()]) for x in packed)], ["left", "right", "a", "b", "n"])
+        a, b, n = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("a", "<i4"), ("b", "<i4"), ("n", "<i8")))
+        pair, where = np.unique(a.astype(np.int64) << PLACES | b, return_inverse=True)
+        sums = (pair >> PLACES).astype("<i4"), (pair & ((1 << PLACES) - 1)).astype("<i4"), np.bincount(where, n).astype("<i8")
+        return pa.table([*(pa.array([k.as_py()]) for k in key[:2]), *(binary_array([x.tobytes()]) for x in sums)], ["left", "right", "a", "b", "n"])
 
-    keyed = pairs.select(F.shiftright("a", PLACES).alias("left"), F.shiftright("b", PLACES).alias("right"), F.pmod(F.xxhash64("a", "b"), F.lit(split)).alias("part"), "a", "b", "n")
-    return keyed.groupBy("left", "right", "part").applyInArrow(run, "left long, right long, a binary, b binary, n binary")
+    return packed.groupBy("left", "right", "part").applyInArrow(run, "left long, right long, a binary, b binary, n binary")
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -171,7 +188,12 @@ def turns(bucket: int, places: np.ndarray, turn: int) -> np.ndarray:
     return mix((np.uint64(bucket << PLACES) + places.astype(np.uint64)) * np.uint64(2654435761) + np.uint64(turn // 2)) % np.uint64(2) == turn % 2
 
 
-def votes(packed: DataFrame, classes: DataFrame, total: int, turn: int | None) -> DataFrame:
+def movers(bucket: int, places: np.ndarray, turn: int, rounds: int, often: int) -> np.ndarray:
+    """Those whose turn it is; of the words after the first `often` of a bucket (the rarer ones) only in the last turns."""
+    return turns(bucket, places, turn) & ((places < often) | (turn >= rounds - LATE))
+
+
+def votes(packed: DataFrame, classes: DataFrame, total: int, turn: int | None, rounds: int = 0) -> DataFrame:
     """(bucket, side, at, n): counts of the neighbours' classes of the words that may move (side 0 before, 1 after, 2 the word
     itself; at: place * total + class), and, as bucket -1, class bigrams."""
 
@@ -179,7 +201,7 @@ def votes(packed: DataFrame, classes: DataFrame, total: int, turn: int | None) -
         table = np.zeros(total * total, np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
-                left, right = (batch.column(i)[k].as_py() for i in (0, 1))
+                left, right, often_a, often_b = (batch.column(i)[k].as_py() for i in (0, 1, 7, 8))
                 a, b, of_a, of_b = (np.frombuffer(batch.column(i)[k].as_buffer(), t) for i, t in ((2, "<i4"), (3, "<i4"), (5, "<i2"), (6, "<i2")))
                 n = np.frombuffer(batch.column(4)[k].as_buffer(), "<i8")
                 ca, cb = of_a[a].astype(np.int64), of_b[b].astype(np.int64)
@@ -187,8 +209,8 @@ def votes(packed: DataFrame, classes: DataFrame, total: int, turn: int | None) -
                 if turn is None:
                     continue
                 itself = (a == b) & (left == right)
-                for bucket, side, word, c, which in ((right, 0, b, ca, ~itself), (left, 1, a, cb, ~itself), (left, 2, a, ca * 0, itself)):
-                    which = which & turns(bucket, word, turn) & ((of_a if side else of_b)[word] < total - 2)
+                for bucket, side, word, c, which, of, often in ((right, 0, b, ca, ~itself, of_b, often_b), (left, 1, a, cb, ~itself, of_a, often_a), (left, 2, a, ca * 0, itself, of_a, often_a)):
+                    which = which & movers(bucket, np.arange(len(of)), turn, rounds, often)[word] & (of[word] < total - 2)
                     if which.any():
                         at, where = np.unique(word[which].astype(np.int64) * total + c[which], return_inverse=True)
                         sums = np.bincount(where, n[which]).astype("<i8")
@@ -196,8 +218,10 @@ def votes(packed: DataFrame, classes: DataFrame, total: int, turn: int | None) -
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([3]), binary_array([at.astype("<i4").tobytes()]), binary_array([table[at].astype("<i8").tobytes()])], ["bucket", "side", "at", "n"])
 
-    joined = packed.join(classes.select(F.col("bucket").alias("left"), F.col("of").alias("of_a")), "left").join(classes.select(F.col("bucket").alias("right"), F.col("of").alias("of_b")), "right")
-    return joined.select("left", "right", "a", "b", "n", "of_a", "of_b").mapInArrow(run, "bucket long, side long, at binary, n binary")
+    pairs = packed.select("left", "right").distinct()  # both sides' classes meet by pair, so that the bigrams move once
+    for name, side in (("left", "a"), ("right", "b")):
+        pairs = pairs.join(classes.select(F.col("bucket").alias(name), F.col("of").alias(f"of_{side}"), F.col("often").alias(f"often_{side}")), name)
+    return packed.join(pairs, ["left", "right"]).select("left", "right", "a", "b", "n", "of_a", "of_b", "often_a", "often_b").mapInArrow(run, "bucket long, side long, at binary, n binary")
 
 
 def class_table(found: DataFrame, total: int) -> np.ndarray:
@@ -217,35 +241,49 @@ def class_table(found: DataFrame, total: int) -> np.ndarray:
     return out.reshape(total, total)
 
 
-def moved(found: DataFrame, classes: DataFrame, table: np.ndarray, turn: int) -> DataFrame:
-    """(bucket, of) after the words that may move have moved."""
+def moved(found: DataFrame, classes: DataFrame, table: np.ndarray, turn: int, rounds: int) -> DataFrame:
+    """(bucket, often, of) after the words that may move have moved."""
     total = len(table)
 
-    def settle(bucket, of, counts):
+    def settle(bucket, often, of, counts):
         of = of.copy()
-        mine = np.flatnonzero(turns(bucket, np.arange(len(of)), turn) & (of < total - 2))
+        mine = np.flatnonzero(movers(bucket, np.arange(len(of)), turn, rounds, often) & (of < total - 2))
         for k in range(0, len(mine), 256):
             w = mine[k : k + 256]
-            best, gain = best_classes(counts[0][w], counts[1][w], counts[2][w], of[w].astype(np.int64), table, total - 2)
+            best, gain = best_classes(*(dense(x, w) for x in counts[:2]), dense(counts[2], w)[:, 0], of[w].astype(np.int64), table, total - 2)
             of[w[gain > 1e-6]] = best[gain > 1e-6]
-        return pa.RecordBatch.from_arrays([pa.array([bucket]), binary_array([of.astype("<i2").tobytes()])], ["bucket", "of"])
+        return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([often]), binary_array([of.astype("<i2").tobytes()])], ["bucket", "often", "of"])
+
+    def dense(counts, w):
+        """Rows of w (ascending) from the ascending places * total + class and their counts."""
+        at, n = counts
+        a, b = np.searchsorted(at, [w[0] * total, (w[-1] + 1) * total])
+        out = np.zeros((w[-1] + 1 - w[0], total), np.int64)
+        out.reshape(-1)[at[a:b] - w[0] * total] = n[a:b]
+        return out[w - w[0]]
+
+    def added(parts):
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, n = map(np.concatenate, zip(*parts))
+        at, where = np.unique(at, return_inverse=True)
+        return at.astype(np.int64), np.bincount(where, n).astype(np.int64)
 
     def run(batches):
         bucket = None
         for batch in batches:
-            for key, side, at, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            for key, side, at, n, often in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist()):
                 if side < 0:  # a bucket's classes come before its counts
                     if bucket is not None:
-                        yield settle(bucket, of, counts)
-                    bucket, of = key, np.frombuffer(at.as_buffer(), "<i2")
-                    counts = [np.zeros(len(of) * width, np.int64).reshape(shape) for width, shape in ((total, (-1, total)), (total, (-1, total)), (1, -1))]
+                        yield settle(bucket, many, of, [added(x) for x in parts])
+                    bucket, of, many, parts = key, np.frombuffer(at.as_buffer(), "<i2"), often, [[], [], []]
                 else:
-                    counts[side].reshape(-1)[np.frombuffer(at.as_buffer(), "<i4") // (total if side == 2 else 1)] += np.frombuffer(n.as_buffer(), "<i8")
+                    parts[side].append((np.frombuffer(at.as_buffer(), "<i4"), np.frombuffer(n.as_buffer(), "<i8")))
         if bucket is not None:
-            yield settle(bucket, of, counts)
+            yield settle(bucket, many, of, [added(x) for x in parts])
 
-    rows = found.where("bucket >= 0").unionByName(classes.select("bucket", F.lit(-1).cast("long").alias("side"), F.col("of").alias("at"), F.lit(b"").alias("n")))
-    return rows.repartition(slices(found), "bucket").sortWithinPartitions("bucket", "side").mapInArrow(run, "bucket long, of binary")
+    rows = found.where("bucket >= 0").withColumn("often", F.lit(0).cast("long")).unionByName(classes.select("bucket", F.lit(-1).cast("long").alias("side"), F.col("of").alias("at"), F.lit(b"").alias("n"), "often"))
+    return rows.repartition(slices(found), "bucket").sortWithinPartitions("bucket", "side").mapInArrow(run, "bucket long, often long, of binary")
 
 
 def numbered(kinds: DataFrame, least: int, size: int) -> tuple[DataFrame, int]:
@@ -253,12 +291,13 @@ def numbered(kinds: DataFrame, least: int, size: int) -> tuple[DataFrame, int]:
     words_ = kinds.where(F.col("c") >= least)
     buckets = -(-words_.count() // size)
     bucket = F.pmod(F.xxhash64("h"), F.lit(max(1, buckets)))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("h")) - 1
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("c"), "h")) - 1
     return words_.withColumn("bucket", bucket).withColumn("place", place).select("h", "c", (F.shiftleft(F.col("bucket").cast("long"), PLACES) + F.col("place")).alias("id")), buckets
 
 
 def first_classes(vocabulary: DataFrame, buckets: int, movable: int) -> DataFrame:
-    """(bucket, of): the most frequent words a class each, all others by frequency; then the bucket of the rarer words and the end."""
+    """(bucket, often, of): the most frequent words a class each, all others by frequency; then the bucket of the rarer words and
+    the end.  often: how many words of the bucket, which come first, occur OFTEN or more."""
     spark = vocabulary.sparkSession
     top = {r.id: k for k, r in enumerate(vocabulary.orderBy(F.desc("c"), "h").limit(movable).collect())}  # a row per class
 
@@ -268,21 +307,31 @@ def first_classes(vocabulary: DataFrame, buckets: int, movable: int) -> DataFram
         of = (np.floor(4 * np.log2(c)).astype(np.int64) % movable).astype("<i2")
         for word, k in top.items():
             of[ids == word] = k
-        return pa.table([pa.array([int(ids[0]) >> PLACES]), binary_array([of.tobytes()])], ["bucket", "of"])
+        return pa.table([pa.array([int(ids[0]) >> PLACES]), pa.array([int((c >= OFTEN).sum())]), binary_array([of.tobytes()])], ["bucket", "often", "of"])
+
+    own = vocabulary.withColumn("bucket", F.shiftright("id", PLACES)).groupBy("bucket").applyInArrow(run, "bucket long, often long, of binary")
+    return own.unionByName(spark.createDataFrame([(buckets, 0, np.array([movable, movable + 1], "<i2").tobytes())], "bucket long, often long, of binary"))
+
 
-    own = vocabulary.withColumn("bucket", F.shiftright("id", PLACES)).groupBy("bucket").applyInArrow(run, "bucket long, of binary")
-    return own.unionByName(spark.createDataFrame([(buckets, np.array([movable, movable + 1], "<i2").tobytes())], "bucket long, of binary"))
+def likelihood(table: np.ndarray) -> float:
+    """Of the class bigrams, up to a constant."""
+    return xlogx(table).sum() - xlogx(table.sum(0)).sum() - xlogx(table.sum(1)).sum()
 
 
 def exchange(packed: DataFrame, classes: DataFrame, total: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
-    """(bucket, of) and the class bigrams after `rounds` turns."""
+    """(bucket, often, of) and the class bigrams after `rounds` turns, or before the turn that lowers the likelihood."""
+    before, table = None, None
     for turn in range(rounds if total > 3 else 0):
-        found = written(votes(packed, classes, total, turn), "votes")
-        after = written(moved(found, classes, class_table(found, total), turn), "classes")
-        discard(found, classes)
+        found = written(votes(packed, classes, total, turn, rounds), "votes")
+        now = class_table(found, total)
+        if before is not None and likelihood(now) < likelihood(table):
+            return before, table
+        after = written(moved(found, classes, now, turn, rounds), "classes")
+        discard(found, *([before] if before is not None else []))
         free_shuffles(packed.sparkSession)
-        classes = after
-    return classes, class_table(votes(packed, classes, total, None), total)
+        before, table, classes = classes, now, after
+    now = class_table(votes(packed, classes, total, None), total)
+    return (before, table) if before is not None and likelihood(now) < likelihood(table) else (classes, now)
 
 
 def score(docs: DataFrame, least: int = LEAST, classes: int = CLASSES, rounds: int = ROUNDS, weight: float = BIGRAM_WEIGHT, bucket: int = BUCKET) -> DataFrame:
@@ -296,7 +345,7 @@ def score(docs: DataFrame, least: int = LEAST, classes: int = CLASSES, rounds: i
     named = own_words.join(vocabulary.select("h", "id"), "h", "left")
     most = packed.agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
     free_shuffles(docs.sparkSession)
-    grouped = written(pieces(bigrams(texts, named, buckets), buckets, most), "pieces")
+    grouped = written(pieces(bigrams(texts, named, buckets, 1 + most // (PIECE * (buckets + 1) ** 2))), "pieces")
     free_shuffles(docs.sparkSession)
     movable = max(1, min(classes, vocabulary.count()))
     of, table = exchange(grouped, written(first_classes(vocabulary, buckets, movable), "classes"), movable + 2, rounds)
@@ -317,7 +366,7 @@ def score(docs: DataFrame, least: int = LEAST, classes: int = CLASSES, rounds: i
                 own = np.frombuffer(own.as_buffer(), "<i2")
                 yield pa.RecordBatch.from_arrays([pa.array((key << PLACES) + np.arange(len(own))), pa.array(own.astype(np.int64))], ["id", "class"])
 
-    of_word = vocabulary.join(of.mapInArrow(spread, "id long, class long"), "id").select("h", "class")
+    of_word = vocabulary.join(of.select("bucket", "of").mapInArrow(spread, "id long, class long"), "id").select("h", "class")
     final = written(kinds.join(of_word, "h", "left"), "final")
     named = own_words.join(final, "h", "left").select("chunk", "place", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(movable)).alias("class"))
 

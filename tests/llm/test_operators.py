@@ -193,11 +193,14 @@ def test_class_lm_brute(spark):
         np.add.at(n, (kinds[:-1], kinds[1:]), 1)
     of = np.array([k if k < classes else int(np.floor(4 * np.log2(c[w]))) % classes for k, w in enumerate(frequent)] + [classes, classes + 1])
     grouped = lambda: np.array([[n[np.ix_(of == a, of == b)].sum() for b in range(classes + 2)] for a in range(classes + 2)])
+    reached = []
     for turn in range(rounds):
         table, new = grouped(), of.copy()
+        reached.append(classlm.likelihood(table))
+        assert reached == sorted(reached)
         for k, w in enumerate(frequent):
             bucket, place = divmod(ids[h(w)], 1 << classlm.PLACES)
-            if classlm.turns(bucket, np.array([place]), turn)[0]:
+            if classlm.turns(bucket, np.array([place]), turn)[0] and (c[w] >= classlm.OFTEN or turn >= rounds - classlm.LATE):
                 others = np.arange(end + 1) != k
                 before, after = (np.bincount(of[others], x[others], classes + 2).astype(int) for x in (n[:, k], n[k]))
                 best, gain = classlm.best_class(k, before, after, int(n[k, k]), of, table, classes)
@@ -411,6 +414,20 @@ def test_quality_verdict_separates(spark):
     assert kept == set(range(60))
 
 
+def test_quality_brute(spark):
+    """The likelihood ratio and the verdict, with a bin for a few n-grams each."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"{'abc'[i % 3]}{w}" for w in rng.zipf(1.4, 60) % 90)) for i in range(60)] + [(None, "a1 a2\tb3\na1"), (60, None), (61, "  "), (62, "one")]
+    labels = [(i, int(i % 3 == 0), 0) for i in range(0, 60, 2)] + [(None, 1, 0), (3, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality.judge(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), threshold=-0.05, buckets=256).select("doc_id", "text", "llr", "kept").collect()
+    expected = dict(zip(rows, brute.quality(rows, labels, 256, -0.05)))
+    assert {e[1] for e in expected.values()} == {True, False}
+    for r in got:
+        llr, kept = expected[r.doc_id, r.text]
+        assert abs(r.llr - llr) < 1e-5 and (r.kept == kept or abs(llr + 0.05) < 1e-5)
+
+
 def test_oracles(spark, tmp_path):
     """The queries with SQL, against DuckDB on the small tables."""
     from tessera.llm.queries import ORACLE_SQL, QUERIES
