@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 SQRT2 = math.sqrt(2)
@@ -48,23 +49,22 @@ def forward_dct(v: Column) -> Column:
     return two_passes(v, [[x / 8 for x in row] for row in basis()])
 
 
-def haar(v: Column) -> Column:
-    """Sums and differences of 2 x 2 corners, then 4 x 4, then the whole block, each result laid out in pairs."""
-    def level(half: int):
-        def sums(b: Column) -> Column:
-            out = {(y, x): F.get(b, F.lit(y * 8 + x)) for y in range(8) for x in range(8)}
-            for y in range(half):
-                for x in range(half):
-                    p, q, r, t = (F.get(b, F.lit((y + dy) * 8 + x + dx)) for dy, dx in ((0, 0), (0, half), (half, 0), (half, half)))
-                    out[2 * y, 2 * x], out[2 * y, 2 * x + 1] = p + q + r + t, p + q - r - t
-                    out[2 * y + 1, 2 * x], out[2 * y + 1, 2 * x + 1] = p - q + r - t, p - q - r + t
-            return F.array(*(out[y, x] for y in range(8) for x in range(8)))
-
-        return sums
-
+def haar_map() -> np.ndarray:
+    """64 x 64: corners of 2 x 2, then 4 x 4, then 8 x 8 coefficients become sums and differences, each four a square of four."""
+    sign = np.array([[1, 1], [1, -1]])
+    whole = np.eye(64)
     for half in (1, 2, 4):
-        v = F.get(F.transform(F.array(v), level(half)), F.lit(0))
-    return v
+        level = np.eye(64).reshape(8, 8, 8, 8)
+        y, x, i, j, p, q = np.indices((half, half, 2, 2, 2, 2))
+        level[: 2 * half, : 2 * half] = 0
+        level[2 * y + i, 2 * x + j, y + half * p, x + half * q] = sign[j, p] * sign[i, q]
+        whole = level.reshape(64, 64) @ whole
+    return whole
+
+
+def haar(v: Column) -> Column:
+    """The special transform of sums and differences on an 8 x 8 block."""
+    return F.array(*linear(haar_map().tolist(), [F.get(v, F.lit(k)) for k in range(64)]))
 
 
 def exploded(blocks: DataFrame) -> DataFrame:

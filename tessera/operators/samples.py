@@ -2,22 +2,28 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.functions.bits import orient
+from tessera.functions.bits import orient, wrap32
 from tessera.sources.grids import div
 
 
+#: What each kind of the reversible colour transform adds to its second and to its third channel.
+RCT_ADDS = {0: (None, None), 1: (None, "first"), 2: ("first", None), 3: ("first", "first"), 4: ("mean", None), 5: ("mean", "first")}
+#: Which of the three results becomes which channel, by the order's number (fixed values of the format).
+RCT_ORDERS = [(0, 1, 2), (2, 0, 1), (1, 2, 0), (0, 2, 1), (1, 0, 2), (2, 1, 0)]
+
+
 def inverse_rct(kind: int, order: int, a: Column, b: Column, c: Column) -> list[Column]:
-    """Reversible colour transform: seven kinds, six orders of the outputs."""
-    if kind == 6:
-        t = a - F.shiftright(c, 1)
-        e = c + t
-        f = t - F.shiftright(b, 1)
-        d = f + b
+    """Reversible colour transform: seven kinds, six orders of the outputs; sums wrap at 32 bits."""
+    if kind == 6:  # luma, and two differences: halves rounded up on one side, down on the other
+        half = lambda v: F.shiftright(v, 1)
+        green = wrap32(a + half(c + 1))
+        blue = wrap32(green - c - half(b))
+        out = wrap32(blue + b), green, blue
     else:
-        d = a
-        f = c + a if kind & 1 else c
-        e = b + {0: F.lit(0), 1: a, 2: F.shiftright(a + f, 1)}[kind >> 1]
-    return [(d, e, f), (f, d, e), (e, f, d), (d, f, e), (e, d, f), (f, e, d)][order]
+        second, third = RCT_ADDS[kind]
+        last = wrap32(c + a) if third else c
+        out = a, {None: b, "first": wrap32(b + a), "mean": wrap32(b + F.shiftright(wrap32(a + last), 1))}[second], last
+    return [out[k] for k in RCT_ORDERS[order]]
 
 
 def forward_ycocg(d: Column, e: Column, f: Column) -> list[Column]:

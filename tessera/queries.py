@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions import bits, colour
-from tessera.operators import blocks as B, samples as S, stencils as T
+from tessera.operators import blocks as B, samples as S, stencils as T, tiles
 from tessera.plans.colourplan import BT2100, D65, SRGB, Encoding, Plan
 from tessera.plans.region import Region, source_region
 from tessera.sources.grids import blocks, div, events_grid, fixed, frames, orders_grid, rgb_grid, table
@@ -178,17 +178,16 @@ def _(spark, d):
 @query(
     "palette_lookup",
     f"""WITH {G1}, pal AS (SELECT n_nationkey AS idx, c, (n_nationkey * 37 + c * 91) % 256 AS v FROM nation, (SELECT unnest([0, 1, 2]) AS c)),
+fixed(e, r, g, b) AS (VALUES {", ".join(str((k, *entry)) for k, entry in enumerate(S.DELTAS))}), deltas AS (SELECT e, 0 AS c, r AS v FROM fixed UNION ALL SELECT e, 1, g FROM fixed UNION ALL SELECT e, 2, b FROM fixed),
 i AS (SELECT y, x, c, v - 40 AS i FROM g1, (SELECT unnest([0, 1, 2]) AS c)),
-j AS (SELECT *, i - 25 AS k, (-i - 1) % 143 AS delta FROM i), m AS (SELECT *, CASE WHEN i >= 0 THEN i ELSE ((delta + 1) // 2) % 25 END AS look FROM j)
-SELECT m.y, m.x, CAST(m.c AS INT) AS c, CAST(CASE WHEN i < 0 THEN CASE WHEN delta % 2 = 0 THEN -p.v ELSE p.v END WHEN i < 25 THEN p.v
-WHEN k < 64 THEN (k // CAST(pow(4, m.c) AS BIGINT)) % 4 * 255 // 4 + 32 ELSE ((k - 64) // CAST(pow(5, m.c) AS BIGINT)) % 5 * 255 // 4 END AS BIGINT) AS v
-FROM m LEFT JOIN pal p ON p.idx = look AND p.c = m.c""",
+j AS (SELECT *, i - 25 AS k, (-i - 1) % 143 AS delta FROM i)
+SELECT j.y, j.x, CAST(j.c AS INT) AS c, CAST(CASE WHEN i < 0 THEN CASE WHEN delta % 2 = 0 THEN -d.v ELSE d.v END WHEN i < 25 THEN p.v
+WHEN k < 64 THEN (k // CAST(pow(4, j.c) AS BIGINT)) % 4 * 255 // 4 + 32 ELSE ((k - 64) // CAST(pow(5, j.c) AS BIGINT)) % 5 * 255 // 4 END AS BIGINT) AS v
+FROM j LEFT JOIN pal p ON p.idx = i AND p.c = j.c LEFT JOIN deltas d ON i < 0 AND d.e = (delta + 1) // 2 AND d.c = j.c""",
 )
 def _(spark, d):
     nation = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c"))
-    colours = nation.withColumn("v", (F.col("idx") * 37 + F.col("c") * 91) % 256)
-    deltas = colours.select(F.explode(F.sequence("idx", F.lit(71).cast("long"), F.lit(25).cast("long"))).alias("idx"), "c", "v")  # the SQL's stand-in, not the format's
-    return S.palette(orders_grid(spark, d).withColumn("v", F.col("v") - 40), colours, 25, deltas=deltas)
+    return S.palette(orders_grid(spark, d).withColumn("v", F.col("v") - 40), nation.withColumn("v", (F.col("idx") * 37 + F.col("c") * 91) % 256), 25)
 
 
 # ---- prediction ----
@@ -267,7 +266,12 @@ def _(spark, d):
 
 @query("unsqueeze_rows", f"WITH {G1} SELECT y, x, v FROM g1")
 def _(spark, d):
-    return T.unsqueeze_rows(T.squeeze_rows(orders_grid(spark, d)))
+    return tiles.unsqueeze(T.squeeze_rows(orders_grid(spark, d)))
+
+
+@query("unsqueeze_columns", f"WITH {G1} SELECT y, x, v FROM g1")
+def _(spark, d):
+    return tiles.unsqueeze(T.squeeze_columns(orders_grid(spark, d)), along="y")
 
 
 # ---- stencils and resampling ----
@@ -297,29 +301,92 @@ def _(spark, d):
 SELECT y, 2 * x AS x, {fx('0.25::DOUBLE * p + 0.75::DOUBLE * v')} AS v FROM l UNION ALL SELECT y, 2 * x + 1, {fx('0.75::DOUBLE * v + 0.25::DOUBLE * n')} FROM l""",
 )
 def _(spark, d):
-    return T.chroma_upsample(orders_grid(spark, d)).withColumn("v", fixed(F.col("v")))
+    return tiles.chroma_upsample(orders_grid(spark, d), ("v",), down=False).withColumn("v", fixed(F.col("v")))
+
+
+@query(
+    "chroma_upsample_both",
+    f"""WITH {G1}, l AS (SELECT y, x, v, coalesce(lag(v) OVER r, v) AS p, coalesce(lead(v) OVER r, v) AS n FROM g1 WINDOW r AS (PARTITION BY y ORDER BY x)),
+h AS (SELECT y, 2 * x AS x, 0.25::DOUBLE * p + 0.75::DOUBLE * v AS v FROM l UNION ALL SELECT y, 2 * x + 1, 0.75::DOUBLE * v + 0.25::DOUBLE * n FROM l),
+d AS (SELECT y, x, v, coalesce(lag(v) OVER c, v) AS p, coalesce(lead(v) OVER c, v) AS n FROM h WINDOW c AS (PARTITION BY x ORDER BY y))
+SELECT 2 * y AS y, x, {fx('0.25::DOUBLE * p + 0.75::DOUBLE * v')} AS v FROM d UNION ALL SELECT 2 * y + 1, x, {fx('0.75::DOUBLE * v + 0.25::DOUBLE * n')} FROM d""",
+)
+def _(spark, d):
+    return tiles.chroma_upsample(orders_grid(spark, d), ("v",)).withColumn("v", fixed(F.col("v")))
+
+
+# several images: every thirty rows of the grid are one
+IMAGES = "im AS MATERIALIZED (SELECT o_orderkey // 125 // 30 AS image, o_orderkey // 125 % 30 AS y, o_orderkey % 125 AS x, CAST(floor(o_totalprice) AS BIGINT) AS v, o_custkey AS u, o_orderkey AS k FROM orders), dims AS MATERIALIZED (SELECT image, max(y) + 1 AS high, max(x) + 1 AS wide FROM im GROUP BY image)"
+MIRROR = "CASE WHEN {0} < 0 THEN -{0} - 1 WHEN {0} >= {1} THEN 2 * {1} - 1 - {0} ELSE {0} END"
+SOFT = f"""{IMAGES}, soft AS MATERIALIZED (SELECT image, y, x, v % 16 / 4096::DOUBLE AS a, u % 32 / 1024::DOUBLE AS b, k % 64 / 512::DOUBLE AS c, (image + y // 8 * 3 + x // 8) % 7 * 0.9::DOUBLE AS s FROM im)"""
+
+
+def images(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    g = table(spark, d, "orders").select(div(k, 125).alias("row"), (k % 125).alias("x"), F.floor("o_totalprice").alias("v"), F.col("o_custkey").alias("u"), k.alias("k"))
+    return g.select(div(F.col("row"), 30).alias("image"), (F.col("row") % 30).alias("y"), "x", "v", "u", "k")
 
 
-def _epf_sql() -> str:
-    need = sorted({(dx + px, dy + py) for dx, dy in ((0, 0), (0, -1), (-1, 0), (1, 0), (0, 1)) for px, py in ((0, 0), (0, -1), (-1, 0), (1, 0), (0, 1))})
-    shifted = lambda c, d, w: "coalesce(" + ", ".join([*(f"{'lag' if d < 0 else 'lead'}({c}, {k}) OVER {w}" for k in range(abs(d), 0, -1)), c]) + ")"
-    across = ", ".join(f"{shifted('v', d, 'r')} AS c{d + 2}" for d in range(-2, 3))
-    down = ", ".join(f"{shifted(f'c{dx + 2}', dy, 'k')} AS t{n}" for n, (dx, dy) in enumerate(need))
-    v = {c: f"t{n}" for n, c in enumerate(need)}
-    weights = []
-    for dx, dy in ((0, -1), (-1, 0), (1, 0), (0, 1)):
-        d = " + ".join(f"abs({v[px, py]} - {v[dx + px, dy + py]})" for px, py in ((0, 0), (0, -1), (-1, 0), (1, 0), (0, 1)))
-        weights.append(f"greatest(0.0::DOUBLE, 1 + ({d}) * 0.05::DOUBLE * (6.6::DOUBLE * (0.7071067811865476::DOUBLE - 1) / 4) * CASE WHEN x % 8 IN (0, 7) OR y % 8 IN (0, 7) THEN 2.0::DOUBLE / 3 ELSE 1 END)")
-    names = ["n", "w", "e", "s"]
-    values = [v[c] for c in ((0, -1), (-1, 0), (1, 0), (0, 1))]
-    inner = ", ".join([*(f"{w} AS k{n}" for w, n in zip(weights, names)), *(f"{x} AS v{n}" for x, n in zip(values, names))])
-    out = fx("(v + kn * vn + kw * vw + ke * ve + ks * vs) / (1 + kn + kw + ke + ks)")
-    return f"WITH {G1}, h AS (SELECT y, x, v, {across} FROM g1 WINDOW r AS (PARTITION BY y ORDER BY x)), t AS (SELECT y, x, v, {down} FROM h WINDOW k AS (PARTITION BY x ORDER BY y)), f AS (SELECT y, x, v, {inner} FROM t) SELECT y, x, {out} AS v FROM f"
+def soft(spark: SparkSession, d: str) -> DataFrame:
+    """Channels of small differences, and a sigma for each 8 x 8 block, some below 0.3."""
+    block = F.col("image") + div(F.col("y"), 8) * 3 + div(F.col("x"), 8)
+    return images(spark, d).select("image", "y", "x", (F.col("v") % 16 / 4096).alias("a"), (F.col("u") % 32 / 1024).alias("b"), (F.col("k") % 64 / 512).alias("c"), (block % 7 * 0.9).alias("s"))
 
 
-@query("epf_step", _epf_sql())
+def _epf_step_sql(name: str, source: str, neighbours: list, compared: list, scale: float) -> str:
+    """One step as a table: of every sample, neighbour and compared place the differences of all channels, added up and weighted."""
+    values = lambda cells: "(VALUES " + ", ".join(f"({y}, {x})" for y, x in cells) + ")"
+    at = lambda y, x: f"{MIRROR.format(f'({y})', 'high')} AS {{0}}y, {MIRROR.format(f'({x})', 'wide')} AS {{0}}x"
+    return f"""{name}_c AS MATERIALIZED (SELECT p.image, p.y, p.x, k.y AS ky, k.x AS kx, {at("p.y + k.y + d.y", "p.x + k.x + d.x").format("n")}, {at("p.y + d.y", "p.x + d.x").format("m")}, {at("p.y + k.y", "p.x + k.x").format("k_")}
+FROM {source} p JOIN dims USING (image), {values(neighbours)} k(y, x), {values(compared)} d(y, x)),
+{name}_d AS MATERIALIZED (SELECT c.image, c.y, c.x, k_y, k_x, ky, kx, sum(40 * abs(n.a - m.a) + 5 * abs(n.b - m.b) + 3.5 * abs(n.c - m.c)) AS dist
+FROM {name}_c c JOIN {source} n ON n.image = c.image AND n.y = c.ny AND n.x = c.nx JOIN {source} m ON m.image = c.image AND m.y = c.my AND m.x = c.mx GROUP BY ALL),
+{name}_w AS MATERIALIZED (SELECT p.image, p.y, p.x, any_value(p.s) AS s, any_value(p.a) AS a, any_value(p.b) AS b, any_value(p.c) AS c, sum(w) AS w, sum(w * n.a) AS wa, sum(w * n.b) AS wb, sum(w * n.c) AS wc FROM
+(SELECT p.*, k_y, k_x, greatest(0, 1 + dist * 6.6 * (sqrt(0.5::DOUBLE) - 1) / greatest(p.s, 0.3) * {scale} * CASE WHEN p.x % 8 IN (0, 7) OR p.y % 8 IN (0, 7) THEN 2 / 3::DOUBLE ELSE 1 END) AS w FROM {source} p JOIN {name}_d USING (image, y, x)) p
+JOIN {source} n ON n.image = p.image AND n.y = p.k_y AND n.x = p.k_x GROUP BY p.image, p.y, p.x),
+{name} AS MATERIALIZED (SELECT image, y, x, s, CASE WHEN s < 0.3 THEN a ELSE (a + wa) / (1 + w) END AS a, CASE WHEN s < 0.3 THEN b ELSE (b + wb) / (1 + w) END AS b, CASE WHEN s < 0.3 THEN c ELSE (c + wc) / (1 + w) END AS c FROM {name}_w)"""
+
+
+_CROSS = [(-1, 0), (0, -1), (0, 1), (1, 0)]
+_EPF = {
+    0: ([(-2, 0), (-1, -1), (-1, 0), (-1, 1), (0, -2), (0, -1), (0, 1), (0, 2), (1, -1), (1, 0), (1, 1), (2, 0)], [(0, 0), *_CROSS], 0.9),
+    1: (_CROSS, [(0, 0), *_CROSS], 1.0),
+    2: (_CROSS, [(0, 0)], 6.5),
+}
+for _iterations, _steps in {1: (1,), 2: (1, 2), 3: (0, 1, 2)}.items():
+    _sources = ["soft", *(f"e{k}" for k in _steps)]
+    _sql = ", ".join([f"WITH {SOFT}", *(_epf_step_sql(f"e{k}", source, *_EPF[k]) for k, source in zip(_steps, _sources))])
+
+    @query("epf_step" if _iterations == 1 else f"epf_{_iterations}_steps", f"{_sql} SELECT image, y, x, {', '.join(f'CAST(floor({c} * 1e8 + 0.37) AS BIGINT) AS {c}' for c in 'abc')} FROM {_sources[-1]}")
+    def _(spark, d, iterations=_iterations):
+        out = tiles.epf(soft(spark, d), "s", ("a", "b", "c"), iterations, ("image",))
+        return out.select("image", "y", "x", *(F.floor(F.col(c) * 1e8 + 0.37).alias(c) for c in "abc"))
+
+
+@query(
+    "upsample2",
+    f"""WITH {IMAGES}, up(i, w) AS (SELECT unnest(range(15)), unnest({list(tiles.UP2)})), taps AS (SELECT py, px, dy, dx, CASE WHEN py = 0 THEN dy ELSE 4 - dy END AS i, CASE WHEN px = 0 THEN dx ELSE 4 - dx END AS j
+FROM range(2) a(py), range(2) b(px), range(5) c(dy), range(5) e(dx)), kernel AS MATERIALIZED (SELECT py, px, dy, dx, w FROM taps JOIN up ON up.i = least(taps.i, j) * 5 - least(taps.i, j) * (least(taps.i, j) - 1) // 2 + greatest(taps.i, j) - least(taps.i, j)),
+cells AS MATERIALIZED (SELECT p.image, 2 * p.y + py AS y, 2 * p.x + px AS x, w, {MIRROR.format("(p.y + dy - 2)", "high")} AS ny, {MIRROR.format("(p.x + dx - 2)", "wide")} AS nx FROM im p JOIN dims USING (image), kernel),
+s AS (SELECT c.image, c.y, c.x, sum(w * n.v) AS v, min(n.v) AS least_v, max(n.v) AS most_v FROM cells c JOIN im n ON n.image = c.image AND n.y = c.ny AND n.x = c.nx GROUP BY c.image, c.y, c.x)
+SELECT image, y, x, CAST(floor(greatest(least(v, most_v), least_v) * 100 + 0.5) AS BIGINT) AS v FROM s""",
+)
+def _(spark, d):
+    return tiles.upsample(images(spark, d), ("v",), keys=("image",)).withColumn("v", F.floor(F.col("v") * 100 + 0.5))
+
+
+@query(
+    "lf_smoothing_three",
+    f"""WITH {IMAGES}, cells AS (SELECT image, y, x, v % 4096 / 64::DOUBLE AS a, u % 256 / 16::DOUBLE AS b, k % 512 / 32::DOUBLE AS c FROM im),
+ring AS (SELECT * FROM (VALUES (0, 0, 0.052262735::DOUBLE), (0, 1, 0.2034514), (0, -1, 0.2034514), (1, 0, 0.2034514), (-1, 0, 0.2034514), (1, 1, 0.03348292), (1, -1, 0.03348292), (-1, 1, 0.03348292), (-1, -1, 0.03348292)) r(dy, dx, w)),
+m AS (SELECT p.image, p.y, p.x, sum(w * n.a) AS ma, sum(w * n.b) AS mb, sum(w * n.c) AS mc, count(*) AS places FROM cells p, ring JOIN cells n ON n.image = p.image AND n.y = p.y + dy AND n.x = p.x + dx GROUP BY ALL),
+g AS (SELECT cells.*, ma - a AS da, mb - b AS db, mc - c AS dc, CASE WHEN places = 9 THEN greatest(0, 3 - 4 * greatest(0.5, abs(ma - a) / 30, abs(mb - b) / 20, abs(mc - c) / 25)) ELSE 0 END AS f FROM cells JOIN m USING (image, y, x))
+SELECT image, y, x, {fx('a + f * da')} AS a, {fx('b + f * db')} AS b, {fx('c + f * dc')} AS c FROM g""",
+)
 def _(spark, d):
-    return T.epf_step(orders_grid(spark, d), 4.0, 0.05).withColumn("v", fixed(F.col("v")))
+    cells = images(spark, d).select("image", "y", "x", (F.col("v") % 4096 / 64).alias("a"), (F.col("u") % 256 / 16).alias("b"), (F.col("k") % 512 / 32).alias("c"))
+    out = tiles.lf_smoothing(cells, ("a", "b", "c"), (30.0, 20.0, 25.0), ("image",))
+    return out.select("image", "y", "x", *(fixed(F.col(c)).alias(c) for c in "abc"))
 
 
 @query("upsample_nearest", f"WITH {G1} SELECT y * 2 + dy AS y, x * 2 + dx AS x, v FROM g1, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)")

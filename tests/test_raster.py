@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import blocks as B, samples as S, stencils as T
+from tessera.operators import blocks as B, samples as S, stencils as T, tiles
 from tessera.plans.colourplan import BT2100, D65, DCI, P3, SRGB, Encoding, Plan
 from tessera.plans.region import Region, source_region
 from tessera.queries import ORACLE_SQL, QUERIES
@@ -30,7 +30,7 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", ["hybrid_uint", "half_float", "lehmer_permutation", "toc_permute", "prefix_codes", "rct_orders", "palette_lookup", "pred_select", "pred_avg_all", "ma_tree_contexts", "squeeze_rows", "squeeze_columns", "unsqueeze_rows", "gabor", "lf_smoothing", "epf_step", "dct8_inverse", "dct2_special", "hf_dequant", "blend_blend", "keyframe_counters", "patch_apply", "crop_gabor", "orient_6", "tf_to_pq", "gamut_map", "eetf"])
+@pytest.mark.parametrize("name", ["hybrid_uint", "half_float", "lehmer_permutation", "toc_permute", "prefix_codes", "rct_orders", "palette_lookup", "pred_select", "pred_avg_all", "ma_tree_contexts", "squeeze_rows", "squeeze_columns", "unsqueeze_rows", "unsqueeze_columns", "gabor", "lf_smoothing", "lf_smoothing_three", "epf_step", "epf_3_steps", "upsample2", "chroma_upsample_both", "dct8_inverse", "dct2_special", "hf_dequant", "blend_blend", "keyframe_counters", "patch_apply", "crop_gabor", "orient_6", "tf_to_pq", "gamut_map", "eetf"])
 def test_query(spark, db, name):
     expected = db.sql(ORACLE_SQL[name])
     columns = sorted(expected.columns)
@@ -47,8 +47,81 @@ def grid(spark, values):
 @pytest.mark.parametrize("shape", [(1, 1), (1, 7), (3, 8), (130, 5)])
 def test_squeeze_there_and_back(spark, shape):
     values = np.random.default_rng(0).integers(-300, 300, shape)
-    back = T.unsqueeze_rows(T.squeeze_rows(grid(spark, values)))
-    assert {(r.y, r.x): r.v for r in back.collect()} == {(y, x): int(v) for (y, x), v in np.ndenumerate(values)}
+    for squeeze, along in ((T.squeeze_rows, "x"), (T.squeeze_columns, "y")):
+        back = tiles.unsqueeze(squeeze(grid(spark, values)), along)
+        assert {(r.y, r.x): r.v for r in back.collect()} == {(y, x): int(v) for (y, x), v in np.ndenumerate(values)}
+
+
+def test_unsqueeze_of_a_very_long_row(spark):
+    values = np.random.default_rng(0).integers(-300, 300, (1, 60_001))
+    back = tiles.unsqueeze(T.squeeze_rows(grid(spark, values)))
+    assert [r.v for r in back.orderBy("x").collect()] == values[0].tolist()
+
+
+def reflected(at, size):
+    while not 0 <= at < size:
+        at = -at - 1 if at < 0 else 2 * size - 1 - at
+    return at
+
+
+def plain_epf(image, sigma, iterations):
+    """Sample by sample; image: three channels."""
+    _, height, width = image.shape
+    at = lambda c, y, x: image[c, reflected(y, height), reflected(x, width)]
+    plus = [(0, 0), (0, -1), (0, 1), (-1, 0), (1, 0)]
+    far = [(y, x) for y in range(-2, 3) for x in range(-2, 3) if 1 <= abs(y) + abs(x) <= 2]
+    for neighbours, compared, scale in {1: [(plus[1:], plus, 1)], 2: [(plus[1:], plus, 1), (plus[1:], plus[:1], 6.5)], 3: [(far, plus, 0.9), (plus[1:], plus, 1), (plus[1:], plus[:1], 6.5)]}[iterations]:
+        out = image.copy()
+        for y in range(height):
+            for x in range(width):
+                if sigma[y, x] < 0.3:
+                    continue
+                border = 2 / 3 if {x % 8, y % 8} & {0, 7} else 1
+                total, weights = image[:, y, x].copy(), 1.0
+                for dy, dx in neighbours:
+                    d = sum(s * abs(at(c, y + dy + py, x + dx + px) - at(c, y + py, x + px)) for c, s in enumerate((40, 5, 3.5)) for py, px in compared)
+                    w = max(0, 1 - 6.6 * (1 - 0.5**0.5) / sigma[y, x] * scale * border * d)
+                    total += w * np.array([at(c, y + dy, x + dx) for c in range(3)])
+                    weights += w
+                out[:, y, x] = total / weights
+        image = out
+    return image
+
+
+@pytest.mark.parametrize("iterations", [1, 2, 3])
+def test_epf_of_several_images(spark, iterations, monkeypatch):
+    """Images of several sizes, one smaller than the halo, in tiles of 8 x 8."""
+    rng = np.random.default_rng(iterations)
+    pictures = {k: (rng.random((3, *shape)) / [[[120]], [[30]], [[24]]], np.kron(rng.choice([0.2, 1.5, 4.0], (3, 3)), np.ones((8, 8)))[: shape[0], : shape[1]]) for k, shape in {"a": (19, 17), "b": (2, 3), "c": (1, 12)}.items()}
+    rows = [(k, y, x, *map(float, v[:, y, x]), float(s[y, x])) for k, (v, s) in pictures.items() for y in range(v.shape[1]) for x in range(v.shape[2])]
+    frame = spark.createDataFrame(rows, "image string, y long, x long, a double, b double, c double, s double")
+    whole = tiles.in_tiles
+    monkeypatch.setattr(tiles, "in_tiles", lambda *args, **more: whole(*args, **more, size=8))
+    got = {(r.image, r.y, r.x): (r.a, r.b, r.c) for r in tiles.epf(frame, "s", ("a", "b", "c"), iterations, ("image",)).collect()}
+    assert len(got) == len(rows)
+    changed = 0
+    for k, (v, s) in pictures.items():
+        expected = plain_epf(v, s, iterations)
+        for (y, x), _ in np.ndenumerate(s):
+            assert got[k, y, x] == pytest.approx(expected[:, y, x], abs=1e-12)
+            changed += got[k, y, x] != tuple(v[:, y, x])
+    assert changed > len(rows) / 3
+
+
+@pytest.mark.parametrize("factor", [2, 4, 8])
+def test_upsampling_is_symmetric_and_bounded(spark, factor):
+    n = 5 * factor // 2
+    weights = tuple(np.random.default_rng(factor).random(n * (n + 1) // 2))
+    kernels = tiles.upsampling_kernels(factor, weights)
+    assert (kernels == kernels[::-1, :, ::-1]).all() and (kernels == kernels.transpose(1, 0, 3, 2)).all() and kernels[0, 0, 0, 4] == weights[4]
+    values = np.random.default_rng(1).integers(0, 100, (9, 6))
+    up = {(r.y, r.x): r.v for r in tiles.upsample(grid(spark, values), ("v",), factor, weights).collect()}
+    assert len(up) == values.size * factor**2 and min(up.values()) >= values.min() and max(up.values()) <= values.max()
+
+
+def test_tiles_of_no_samples(spark):
+    none = grid(spark, [[1]]).where("false")
+    assert tiles.upsample(none, ("v",)).count() == 0 and tiles.unsqueeze(T.squeeze_rows(none)).count() == 0
 
 
 @pytest.mark.parametrize("depth", [8, 10, 30])
