@@ -14,6 +14,32 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running_sums(values: Column, block: int = 256) -> Column:
+    """0 and the sums of the first 1, 2, ... values.  Sums are folded in blocks, then over the blocks, so that no fold
+    copies an array longer than its block and the work grows with the length."""
+
+    def fold(numbers: Column) -> Column:
+        return F.aggregate(numbers, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def in_blocks(v: Column, width: int) -> Column:
+        """Arrays of `width` values, by index."""
+        last = F.ceil(F.size(v) / F.lit(width)).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.transform(F.sequence(k * width, F.least(k * width + width, F.size(v)) - 1), lambda i: v[i].cast("long")))
+
+    def spread(sums: Column, width: int, whole) -> Column:
+        """Sums within blocks, each raised by what whole(totals) puts before its block."""
+        before = whole(F.transform(sums, lambda s: F.element_at(s, -1)))
+        lifted = let(before, lambda b: F.transform(sums, lambda s, k: F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda i: s[i] + b[k])))
+        return F.concat(F.flatten(lifted), let(before, lambda b: F.array(F.element_at(b, -1))))
+
+    def levels(v: Column, depth: int) -> Column:
+        if not depth:
+            return fold(v)
+        return let(F.transform(in_blocks(v, block), fold), lambda sums: spread(sums, block, lambda totals: let(totals, lambda t: levels(t, depth - 1))))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, F.array(F.lit(0).cast("long"))).when(F.size(v) <= block, fold(F.transform(v, lambda x: x.cast("long")))).otherwise(levels(v, 1)))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder of the cluster (spark.checkpoint.dir)."""
     ensure_checkpoint_dir(spark)

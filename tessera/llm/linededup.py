@@ -20,7 +20,7 @@ columns are kept; `n_removed` replaces a column of that name.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .columns import let, written
+from .columns import let, running_sums, written
 
 MIN_WORDS = 50
 DOC = ["d", "v"]
@@ -36,17 +36,16 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
         return F.filter(F.transform(trimmed, one), lambda s: s["n"] > 0)
 
     def spans(lines: Column) -> Column:
-        sums = F.aggregate(lines, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["n"])))  # words before each line, and all
+        sums = running_sums(F.transform(lines, lambda s: s["n"]))  # words before each line, and all
         return let(sums, lambda c: F.transform(lines, lambda s, i: F.struct(s["line"].alias("line"), s["h1"].alias("h1"), s["h2"].alias("h2"), forward(c, i).alias("ahead"), backward(c, i).alias("back"))))
 
     def forward(c: Column, i: Column) -> Column:
-        short = F.size(F.filter(F.slice(c, i + 2, min_words), lambda x: x - c[i] < min_words))
-        return F.when(F.element_at(c, -1) - c[i] >= min_words, short + 1)
+        short = F.filter(F.sequence(i + 1, F.least(i + min_words, F.size(c) - 1)), lambda j: c[j] - c[i] < min_words)
+        return F.when(F.element_at(c, -1) - c[i] >= min_words, F.size(short) + 1)
 
     def backward(c: Column, i: Column) -> Column:
-        first = F.greatest(i + 2 - min_words, F.lit(1))
-        short = F.size(F.filter(F.slice(c, first, i + 2 - first), lambda x: c[i + 1] - x < min_words))
-        return F.when(c[i + 1] >= min_words, short + 1)
+        short = F.filter(F.sequence(F.greatest(i + 1 - min_words, F.lit(0)), i), lambda j: c[i + 1] - c[j] < min_words)
+        return F.when(c[i + 1] >= min_words, F.size(short) + 1)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("v"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.select("d", "v", F.posexplode(let(described(F.col("text")), spans)).alias("q", "s")).select("d", "v", "q", "s.*")

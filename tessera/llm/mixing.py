@@ -12,15 +12,31 @@ Other columns are kept; `copy`, `n_copies` and `shuffle_key` replace columns of
 An empty table gives no rows.  Sources beside those named in `weights` get weight 0.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .columns import slices, written
 
 
+LARGE = 400  #: rates from here on start at LARGE_SPAN standard deviations below the mean; what lies before is below double precision
+LARGE_SPAN = 12
+
+
+def first_count(rate: Column) -> Column:
+    """The count of the first threshold."""
+    return F.when(rate > LARGE, F.floor(rate - LARGE_SPAN * F.sqrt(rate)).cast("int")).otherwise(0)
+
+
 def poisson_thresholds(rate: Column) -> Column:
-    """P(X <= j) for j = 0, 1, ... up to where the rest is below double precision."""
-    steps = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int"))
-    start = F.struct((-rate).alias("log_p"), F.array(F.exp(-rate)).alias("cdf"))
+    """P(X <= j) for j = first_count(rate) and on, up to where the rest is below double precision: as many numbers as
+    the distribution is wide, not as its mean is large."""
+    low = first_count(rate)
+    k = low.cast("double")
+    log_factorial = F.when(low > 0, k * F.log(k) - k + 0.5 * F.log(2 * math.pi * k) + 1 / (12 * k) - 1 / (360 * k * k * k)).otherwise(0.0)
+    log_first = k * F.log(rate) - rate - log_factorial
+    steps = F.sequence(low + 1, F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int"))
+    start = F.struct(log_first.alias("log_p"), F.array(F.exp(log_first)).alias("cdf"))
 
     def add(acc: Column, j: Column) -> Column:
         log_p = acc["log_p"] + F.log(rate / j)
@@ -50,11 +66,11 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, temperature:
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 0) -> DataFrame:
     """docs with each row repeated as drawn, and `copy` (from 1), `n_copies`, `shuffle_key`, in shuffled order."""
-    thresholds = written(rates(docs, weights, temperature, epochs).select("source_", poisson_thresholds(F.col("rate")).alias("cdf_")), "thresholds")
+    thresholds = written(rates(docs, weights, temperature, epochs).select("source_", first_count(F.col("rate")).alias("low_"), poisson_thresholds(F.col("rate")).alias("cdf_")), "thresholds")
     id_ = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
     docs = docs.drop("copy", "n_copies", "shuffle_key").withColumn("u_", uniform(F.lit(str(seed)), id_))
     drawn = docs.join(thresholds, F.col("source").eqNullSafe(F.col("source_")))
-    drawn = drawn.withColumn("n_copies", F.size(F.filter("cdf_", lambda c: c <= F.col("u_")))).where("n_copies > 0").drop("u_", "cdf_", "source_")
+    drawn = drawn.withColumn("n_copies", F.col("low_") + F.size(F.filter("cdf_", lambda c: c <= F.col("u_")))).where("n_copies > 0").drop("u_", "cdf_", "low_", "source_")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), id_, F.col("copy").cast("string"))))
     return copies.repartition(slices(docs), "shuffle_key").sortWithinPartitions("shuffle_key")

@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .columns import let, written
+from .columns import let, running_sums, written
 
 
 class Rule(NamedTuple):
@@ -41,20 +41,17 @@ SPAN = "struct<start:bigint,end:bigint>"
 def spans(text: Column, rule: Rule) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end>> in code points.
 
-    The matches and the pieces between them alternate; positions are running lengths.
+    The matches and the pieces between them alternate; positions are running sums of their lengths.
     """
 
     def number(pair: Column) -> Column:
-        pieces = F.arrays_zip(F.slice(pair["between"], 1, F.size(pair["found"])).alias("before"), pair["found"].alias("match"))
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        kept = lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group) if rule.group else m) >= rule.least
+        pieces = F.transform(pair["found"], lambda m, i: F.struct(F.length(pair["between"][i]).alias("gap"), F.length(m).alias("size"), kept(m).alias("kept")))
+        return let(pieces, lambda p: let(running_sums(F.transform(p, lambda x: x["gap"] + x["size"])), lambda ends: placed(p, ends)))
 
-        def step(acc: Column, piece: Column) -> Column:
-            begin = acc["at"] + F.length(piece["before"])
-            end = begin + F.length(piece["match"])
-            kept = F.length(F.regexp_extract(piece["match"], rule.pattern, rule.group) if rule.group else piece["match"]) >= rule.least
-            return F.struct(end.alias("at"), F.when(kept, F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
-
-        return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    def placed(pieces: Column, ends: Column) -> Column:
+        spans_ = F.transform(pieces, lambda x, i: F.struct((ends[i] + x["gap"]).alias("start"), ends[i + 1].alias("end"), x["kept"].alias("kept")))
+        return F.transform(F.filter(spans_, lambda x: x["kept"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
     found = F.struct(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("found"), F.split(text, rule.pattern, -1).alias("between"))
     return F.when(text.rlike(rule.pattern), let(found, number)).otherwise(F.array().cast(f"array<{SPAN}>"))

@@ -15,10 +15,11 @@ import pytest
 import tiktoken
 from conftest import DOCS, PASSAGE
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, classlm, jaccard, linededup, mixing, pretokenize, quality, rpforest, secrets, tokenfile, warc
-from tessera.llm.columns import shared_dir
+from tessera.llm.columns import running_sums, shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -321,6 +322,34 @@ def test_poisson_inversion(spark):
             assert cdf[2] == pytest.approx(sum(exp(-rate) * rate**j / factorial(j) for j in range(3)))
 
 
+def test_poisson_of_large_rates(spark):
+    """A tiny source in a large corpus: thresholds as many as the distribution is wide, and the same numbers."""
+    from math import exp, lgamma, log
+
+    rows = spark.createDataFrame([(r,) for r in (399.0, 401.0, 5000.0, 2e5)], "rate double")
+    for rate, low, cdf in rows.select("rate", mixing.first_count(rows.rate), mixing.poisson_thresholds(rows.rate)).collect():
+        middle = int(rate) - low
+        steps = [exp(j * log(rate) - rate - lgamma(j + 1)) for j in range(low + middle - 3, low + middle + 1)]
+        assert len(cdf) < 24 * rate**0.5 + 500 and cdf[-1] == pytest.approx(1.0, abs=1e-6) and cdf[0] < 1e-12
+        assert [b - a for a, b in zip(cdf[middle - 4 :], cdf[middle - 3 : middle + 1])] == pytest.approx(steps, rel=1e-6)
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 256, 257, 70_000):
+        values = np.random.default_rng(n).integers(-5, 9, n).tolist()
+        got = spark.createDataFrame([(values,)], "v array<int>").select(running_sums(F.col("v"), 256)).first()[0]
+        assert got == [0, *np.cumsum(values).tolist()]
+
+
+def test_folds_of_very_long_texts(spark):
+    """A text of 40,000 matches, and one of 40,000 lines."""
+    text = "\n".join(f"deadbeefdeadbeef{k:04x} and a word" for k in range(40_000))
+    df = spark.createDataFrame([(1, text), (2, text[: len(text) // 2])], "doc_id long, text string")
+    found = {r.doc_id: r for r in secrets.scan(df, shared_dir(spark, "long")).selectExpr("doc_id", "size(findings) AS n", "get(findings, 39999) AS last").collect()}
+    assert found[1].n == 40_000 and text[found[1].last.start : found[1].last.end] == f"deadbeefdeadbeef{39_999:04x}"
+    assert {r.doc_id: r.n_removed for r in linededup.dedup(df).collect()} == {1: 0, 2: 20_000}
+
+
 # 8
 
 
