@@ -12,7 +12,7 @@ its class, and (c + 0.5) / (N_rest + 0.5 (V_rest + 1)) in the class of the rarer
 probability counts all training texts, and nothing depends on how the rows are cut.
 
 Vocabulary, word bigrams and classes are Spark tables that grow with the texts; only the table of
-classes x classes goes to tasks.  Texts are packed in chunks (Arrow batches); each chunk sends each of
+classes x classes goes to tasks.  Texts are packed in chunks; each chunk sends each of
 its distinct words once, by hash, to be counted, and gets the counts back.  Words are numbered within
 buckets (by hash, about BUCKET words each, the frequent ones first), so that a bucket's classes are one short row; each
 chunk packs its word bigrams by pair of buckets, and they are added up in pieces.  In each turn a piece meets the classes of
@@ -33,7 +33,7 @@ from .textkernel import mix, words
 
 LEAST, CLASSES, ROUNDS, BIGRAM_WEIGHT = 2, 64, 6, 0.9
 OFTEN, LATE = 16, 2  #: words of fewer occurrences than OFTEN move in the LATE last turns only, when the others have settled
-BUCKET, PLACES, PIECE = 60_000, 20, 1 << 17  #: words of a bucket (on average), bits of a place in it, word bigrams of a piece
+BUCKET, PLACES, PIECE, CHUNK = 60_000, 20, 1 << 17, 8 << 20  #: words of a bucket (on average), bits of a place in it, word bigrams of a piece, bytes of a chunk
 END = np.uint64(0x5851F42D4C957F2D)  #: stands for the end token, which no word is
 
 
@@ -64,13 +64,18 @@ def one(values) -> pa.Array:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """A row per Arrow batch: its texts' sizes, its distinct words with their training counts, and each token's word (-1: the end)."""
+    """A row per chunk (an Arrow batch, or CHUNK bytes of it): its texts' sizes, its distinct words with their training counts, and each token's word (-1: the end)."""
+
+    def pieces_of(batches):
+        for batch in batches:
+            for a, b in row_chunks(text_buffer(batch.column(1))[1], CHUNK):
+                yield batch.slice(a, b - a)
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(pieces_of(batches)):
             own, rows = tokens(batch.column(1))
             word = own != END
             values, where, count = np.unique(own[word], return_inverse=True, return_counts=True)
@@ -336,7 +341,7 @@ def exchange(packed: DataFrame, classes: DataFrame, total: int, rounds: int) ->
 
 def score(docs: DataFrame, least: int = LEAST, classes: int = CLASSES, rounds: int = ROUNDS, weight: float = BIGRAM_WEIGHT, bucket: int = BUCKET) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for each row of docs."""
-    packed = written(chunks(with_parts(small_batches(docs, 8192, 4 << 20))), "chunks")
+    packed = written(chunks(with_parts(small_batches(docs))), "chunks")
     own_words = packed.select("chunk", F.posexplode(F.arrays_zip("h", "seen")).alias("place", "x")).select("chunk", "place", F.col("x.h").alias("h"), F.col("x.seen").alias("seen"))
     kinds = written(own_words.groupBy("h").agg(F.sum("seen").alias("c")).where("c > 0"), "counts")
     vocabulary, buckets = numbered(kinds, least, bucket)

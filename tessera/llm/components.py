@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from .columns import written
+from .columns import discard, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         up = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("root"), F.least("a", "low").alias("up"))
-        up = written(up, "parents")
+        first = written(up, "parents")
+        up = first
         for _ in range(2):
             above = up.select(F.col("root").alias("up"), F.col("up").alias("above"))
             up = up.join(above, "up").select("root", F.col("above").alias("up"))
@@ -28,6 +29,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         ends = edges
         for side in ("a", "b"):
             ends = ends.join(up.select(F.col("root").alias(side), F.col("up").alias(f"{side}_up")), side)
-        edges = written(ends.where("a_up != b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), "edges")
-        labels = written(moved, "labels")
+        left = written(ends.where("a_up != b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), "edges")
+        after = written(moved, "labels")
+        discard(first, up, edges, labels)
+        edges, labels = left, after
+    discard(edges)
     return labels

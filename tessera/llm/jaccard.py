@@ -37,7 +37,7 @@ from .columns import binary_array, discard, row_chunks, slices, small_batches, t
 from .components import connected_components
 from .textkernel import mix, shingle_sets, words
 
-MOST_HEAVY, LOCAL_HEAVY, LOCAL_TOKENS = 1 << 18, 3, 1_500_000
+MOST_HEAVY, LOCAL_HEAVY, LOCAL_TOKENS, PACK_TOKENS = 1 << 18, 3, 1_500_000, 500_000
 HUB_ROUNDS, PAIRS_A_NODE, FEW_LINKS = 16, 512, 0.02
 
 
@@ -161,7 +161,7 @@ def dealt(docs: DataFrame, heavy: np.ndarray, places: int) -> DataFrame:
             fresh = np.array([s > 0 and x not in known and not known.add(x) for x, s in zip(nodes.tolist(), sizes.tolist())], bool)  # copies once a task
             waiting.append((flat[np.repeat(fresh, sizes)], sizes[fresh], nodes[fresh]))
             count += int(sizes[fresh].sum())
-            if count >= LOCAL_TOKENS:
+            if count >= PACK_TOKENS:
                 yield from pack(waiting)
                 waiting, count = [], 0
             if len(known) > 1 << 20:
@@ -362,7 +362,6 @@ def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("version") == F.col("own_version"))
     sets = written(set_bytes(docs.join(wanted.hint("shuffle_hash"), same)).dropDuplicates(["node"]), "sets")  # rows repeated in full
 
-    links, labels = None, None
     link = 7 * F.col("o") >= 3 * (F.col("n") + F.col("m"))
 
     def linked(pairs):
@@ -371,23 +370,25 @@ def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     pairs = could_link(stars.withColumns({"comp": F.col("node"), "hub_comp": F.col("hub")}))
     known = written(overlaps(pairs, sets), "overlaps")
-    stars = stars.join(known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "o"), ["hub", "node"], "left")
-    stars = stars.withColumn("q", F.col("s") - F.coalesce("o", F.lit(0))).withColumn("verified", F.coalesce("o", F.lit(-1))).withColumn("o", F.coalesce("o", F.least("n", "hub_n", "s", "hub_s")))
-    stars = written(stars, "stars-verified")
-    links = written(stars.where(7 * F.col("verified") >= 3 * (F.col("n") + F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")
+    found = stars.join(known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "o"), ["hub", "node"], "left")
+    found = found.withColumn("q", F.col("s") - F.coalesce("o", F.lit(0))).withColumn("verified", F.coalesce("o", F.lit(-1))).withColumn("o", F.coalesce("o", F.least("n", "hub_n", "s", "hub_s")))
+    found = written(found, "stars-verified")
+    links = written(found.where(7 * F.col("verified") >= 3 * (F.col("n") + F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")
     labels = connected_components(links)
     n_nodes, before = keyed.count(), 0
     for turn in range(1, HUB_ROUNDS + 1):
-        now = with_components(stars, labels).join(labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
+        now = with_components(found, labels).join(labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
         x, y = bounded_pairs(now)
         size = y.groupBy("hub").agg((F.count(F.lit(1)) * F.first("others")).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
         final = turn == HUB_ROUNDS or size <= PAIRS_A_NODE * n_nodes or (turn > 1 and links.count() <= (1 + FEW_LINKS) * before)
         before = links.count()
-        pairs = other_pairs(x, y) if final else could_link(star_pairs(with_components(postings, labels), with_components(info, labels), turn))
-        links = written(links.union(linked(written(pairs, "pairs"))), "links")
-        labels = connected_components(links)
+        pairs = written(other_pairs(x, y) if final else could_link(star_pairs(with_components(postings, labels), with_components(info, labels), turn)), "pairs")
+        more = written(links.union(linked(pairs)), "links")
+        discard(pairs, links, labels)
+        links, labels = more, connected_components(more)
         if final:
             break
+    discard(keyed, stars, sets, known, found, links)
 
     members = with_components(nodes, labels)
     # null ids are last, as the largest
