@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.functions.bits import orient, wrap32
+from tessera.functions.bits import orient, wrap32, zigzag
 from tessera.sources.grids import div
 
 
@@ -26,6 +26,29 @@ def inverse_rct(kind: int, order: int, a: Column, b: Column, c: Column) -> list[
     return [out[k] for k in RCT_ORDERS[order]]
 
 
+def from_residual(token: Column, prediction: Column, multiplier: Column | int = 1, offset: Column | int = 0) -> Column:
+    """A sample from its unsigned residual token; sums wrap at 32 bits."""
+    return wrap32(zigzag(token) * multiplier + offset + prediction)
+
+
+def to_float(v: Column, depth: int) -> Column:
+    """Integer samples to [0, 1]."""
+    return v / float((1 << depth) - 1)
+
+
+def modular_xyb(y: Column, x: Column, b: Column, factors: tuple[float, float, float]) -> list[Column]:
+    """x, y, b from integer channels in the order y, x, b - y; factors: those of the low frequencies, for 128 steps each."""
+    both = F.least(F.greatest(b + y, F.lit(-(1 << 31))), F.lit((1 << 31) - 1))
+    return [v * (f / 128) for v, f in zip((x, y, both), factors)]
+
+
+def with_peak(grid: DataFrame, luminance: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """`peak`: each image's largest luminance, 0 at least; a row for each image is joined back."""
+    named = grid if keys else grid.withColumn("one_", F.lit(0))
+    top = named.groupBy(*(keys or ("one_",))).agg(F.greatest(F.max(luminance), F.lit(0.0)).alias("peak"))
+    return named.join(top, list(keys or ("one_",))).drop("one_")
+
+
 def forward_ycocg(d: Column, e: Column, f: Column) -> list[Column]:
     """What kind 6 undoes."""
     b = d - f

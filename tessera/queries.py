@@ -169,6 +169,22 @@ def _(spark, d):
     return rgb_grid(spark, d).select("y", "x", out.alias("v"))
 
 
+@query("residual_samples", f"WITH {EV}, t AS (SELECT y, x, v * 1048576 AS u, v FROM ev) SELECT y, x, (((xor(u >> 1, -(u & 1)) * 3 + 7 + v) + 2147483648) & 4294967295) - 2147483648 AS v FROM t")
+def _(spark, d):
+    return events_grid(spark, d).select("y", "x", S.from_residual(F.col("v") * 1048576, F.col("v"), 3, 7).alias("v"))
+
+
+@query("modular_to_float", f"WITH {G1} SELECT y, x, {fx('v / 255::DOUBLE')} AS v FROM g1")
+def _(spark, d):
+    return orders_grid(spark, d).select("y", "x", fixed(S.to_float(F.col("v"), 8)).alias("v"))
+
+
+@query("modular_xyb", f"WITH {RGB} SELECT y, x, {fx('b / (32 * 128)::DOUBLE')} AS a, {fx('a / (4 * 128)::DOUBLE')} AS b, {fx('(c + a) / (2 * 128)::DOUBLE')} AS c FROM rgb")
+def _(spark, d):
+    out = S.modular_xyb(*map(F.col, "abc"), tuple(B.LF_FACTORS.values()))
+    return rgb_grid(spark, d).select("y", "x", *(fixed(v).alias(n) for v, n in zip(out, "abc")))
+
+
 @query("rct_roundtrip", f"WITH {RGB} SELECT y, x, a, b, c FROM rgb")
 def _(spark, d):
     there = rgb_grid(spark, d).select("y", "x", *(c.alias(n) for c, n in zip(S.forward_ycocg(*map(F.col, "abc")), "abc")))
@@ -662,6 +678,24 @@ def _(spark, d):
     return unit(spark, d).groupBy(div(F.col("y"), 16).alias("strip")).agg(fixed(F.max(y)).alias("peak"))
 
 
+def _tone_map_sql() -> str:
+    lb, lw, lmin, lmax = (colour._pq_number(v / 4000, 4000) for v in (0, 4000, 0, 250))
+    span = lw - lb
+    low, high = (lmin - lb) / span, (lmax - lb) / span
+    k = 1.5 * high - 0.5
+    return f"""WITH {UNIT}, a0 AS (SELECT y, x, a, b, c, {_Y} AS lum, {_Y} * 0.4::DOUBLE AS u FROM c3),
+a1 AS (SELECT *, ((CASE WHEN u = 0 THEN 0 ELSE {_PQ} END) - {lb!r}::DOUBLE) / {span!r}::DOUBLE AS e FROM a0), a2 AS (SELECT *, (e - {k!r}::DOUBLE) / {1 - k!r}::DOUBLE AS t FROM a1),
+a3 AS (SELECT * EXCLUDE (e), CASE WHEN e < {k!r}::DOUBLE THEN e ELSE (2 * pow(t, 3) - 3 * t * t + 1) * {k!r}::DOUBLE + (pow(t, 3) - 2 * t * t + t) * {1 - k!r}::DOUBLE + (-2 * pow(t, 3) + 3 * t * t) * {high!r}::DOUBLE END AS e FROM a2),
+a4 AS (SELECT y, x, a, b, c, lum, greatest((e + pow(1 - e, 4) * {low!r}::DOUBLE) * {span!r}::DOUBLE + {lb!r}::DOUBLE, 0) AS u FROM a3),
+a5 AS (SELECT y, x, a, b, c, {_UNPQ} * 2.5::DOUBLE * 16 / CASE WHEN abs(lum) <= 1e-7 THEN 1 ELSE lum END AS ratio FROM a4)
+SELECT y, x, {", ".join(fx(f"{c} * ratio") + f" AS {c}" for c in "abc")} FROM a5"""
+
+
+@query("tone_map", _tone_map_sql())
+def _(spark, d):
+    return three(unit(spark, d), colour.tone_map([F.col(c) for c in "abc"], _LUMA, 4000.0, 250.0))
+
+
 def _eetf_sql() -> str:
     lb, lw, lmin, lmax = (colour._pq_number(v / 4000, 4000) for v in (0, 4000, 0, 250))
     span = lw - lb

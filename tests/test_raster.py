@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import colour
 from tessera.operators import blocks as B, samples as S, stencils as T, tiles
 from tessera.plans.colourplan import BT2100, D65, DCI, P3, SRGB, Encoding, Plan
 from tessera.plans.region import Region, source_region
@@ -30,7 +31,7 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", ["hybrid_uint", "half_float", "lehmer_permutation", "toc_permute", "prefix_codes", "rct_orders", "palette_lookup", "pred_select", "pred_avg_all", "ma_tree_contexts", "squeeze_rows", "squeeze_columns", "unsqueeze_rows", "unsqueeze_columns", "gabor", "lf_smoothing", "lf_smoothing_three", "epf_step", "epf_3_steps", "upsample2", "chroma_upsample_both", "dct8_inverse", "dct2_special", "hf_dequant", "blend_blend", "keyframe_counters", "patch_apply", "crop_gabor", "orient_6", "tf_to_pq", "gamut_map", "eetf"])
+@pytest.mark.parametrize("name", ["hybrid_uint", "half_float", "lehmer_permutation", "toc_permute", "prefix_codes", "rct_orders", "palette_lookup", "pred_select", "pred_avg_all", "ma_tree_contexts", "squeeze_rows", "squeeze_columns", "unsqueeze_rows", "unsqueeze_columns", "gabor", "lf_smoothing", "lf_smoothing_three", "epf_step", "epf_3_steps", "tone_map", "residual_samples", "modular_xyb", "upsample2", "chroma_upsample_both", "dct8_inverse", "dct2_special", "hf_dequant", "blend_blend", "keyframe_counters", "patch_apply", "crop_gabor", "orient_6", "tf_to_pq", "gamut_map", "eetf"])
 def test_query(spark, db, name):
     expected = db.sql(ORACLE_SQL[name])
     columns = sorted(expected.columns)
@@ -243,3 +244,20 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_tone_map_to_each_images_peak(spark):
+    """Each image's largest luminance, given to all its samples, is the curve's upper end."""
+    luma = [0.2, 0.7, 0.1]
+    rows = [(image, y, x, *(v / 100 * (image + 1) for v in (3 * y + x, 2 * x + 1, 5 * y + 2))) for image in range(2) for y in range(4) for x in range(4)]
+    frame = spark.createDataFrame(rows, "image int, y long, x long, a double, b double, c double")
+    luminance = sum(w * F.col(c) for w, c in zip(luma, "abc"))
+    peaks = {k: max(sum(w * v for w, v in zip(luma, r[3:])) for r in rows if r[0] == k) for k in range(2)}
+    found = S.with_peak(frame, luminance, ("image",))
+    mapped = lambda peak: [v.alias(n) for v, n in zip(colour.tone_map([F.col(c) for c in "abc"], luma, 1000.0, 100.0, peak=peak), "rgb")]
+    got = {r[:3]: r[3:] for r in map(tuple, found.select("image", "y", "x", *mapped(F.col("peak"))).collect())}
+    for k, peak in peaks.items():
+        for r in frame.where(F.col("image") == k).select("image", "y", "x", *mapped(F.lit(peak))).collect():
+            assert got[tuple(r)[:3]] == pytest.approx(tuple(r)[3:])
+    brightest = max(sum(w * v for w, v in zip(luma, got[r[:3]])) for r in rows if r[0] == 1)
+    assert brightest == pytest.approx(1.0, abs=1e-3)  # the display's own brightest
