@@ -39,7 +39,7 @@ def valid(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     """v and its k + 1 smallest ids; a first selection on 32 salts spreads a vector that many rows have."""
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(32)))
+    rows = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(32)))
     for keys in (["v", "salt"], ["v"]):
         rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("place") <= k + 1)
     return rows.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
@@ -152,12 +152,16 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
         x, ids = matrix(left.column("v").combine_chunks()), left.column("ids").combine_chunks()
         owner, flat = np.repeat(np.arange(len(x)), ids.value_lengths().to_numpy()), ids.flatten().to_numpy()
         out = []
+        repeats = len(np.unique(flat)) < len(flat)  # ids that have several vectors
         asked_, points = right.column("query_id").to_numpy(), matrix(right.column("q").combine_chunks())
         for a in range(0, len(asked_), 256):
             scores = points[a : a + 256] @ x.T
             for i, line in enumerate(scores):
                 line = line[owner]
                 other = np.flatnonzero(flat != asked_[a + i])
+                if repeats:
+                    other = other[np.lexsort((flat[other], -line[other]))]
+                    other = other[np.unique(flat[other], return_index=True)[1]]  # each id's best vector
                 if len(other) > k:  # ties at the edge stay until ids decide
                     other = other[line[other] >= np.partition(line[other], -k)[-k]]
                 best = other[np.lexsort((flat[other], -line[other]))][:k]

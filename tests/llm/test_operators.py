@@ -296,6 +296,23 @@ def test_forest(spark):
     assert rpforest.search(df.where("false"), df).count() == 0
 
 
+def test_forest_of_repeated_rows(spark):
+    """Rows repeated in full, and ids with several vectors, cost no neighbour."""
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-3, 4, (40, 4)).astype(float) + 0.5
+    rows = [(i % 30, v.tolist()) for i, v in enumerate(vectors)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in rpforest.search(df, df.where("vec_id IN (0, 15)"), k=8).collect()}
+    for q in (0, 15):
+        own = [np.array(v) for i, v in rows[:40] if i == q]
+        best = {}
+        for i, v in rows[:40]:
+            if i != q:
+                best[i] = max(best.get(i, -1e9), *(float(x @ np.array(v)) for x in own), -1e9)
+        expected = sorted(best.items(), key=lambda e: (-e[1], e[0]))[:8]
+        assert [got[q, k + 1] for k in range(8)] == expected
+
+
 # 7
 
 
