@@ -39,6 +39,7 @@ from .textkernel import mix, shingle_sets, words
 
 MOST_HEAVY, LOCAL_HEAVY, LOCAL_TOKENS, PACK_TOKENS = 1 << 18, 3, 1_500_000, 500_000
 HUB_ROUNDS, PAIRS_A_NODE, FEW_LINKS = 16, 512, 0.02
+STAR_SALTS = 16  #: a large star's members are dealt to so many tasks; the few outside the hub's component go to all of them
 
 
 def sets_of(texts: pa.Array):
@@ -339,7 +340,8 @@ def other_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     x, y = (t.select("hub", *(F.col(c).alias(c + side) for c in ("node", "n", "s", "o", "q", "comp")), (F.col("comp") != F.col("hub_comp")).alias("out" + side)) for t, side in ((x, "x"), (y, "y")))
     both = 3 * (F.col("nx") + F.col("ny"))
     fits = (F.col("compx") != F.col("compy")) & (~F.col("outy") | (F.col("nodex") < F.col("nodey"))) & sizes_fit() & (7 * F.least("sx", "sy") >= both) & (7 * (F.least("ox", "oy") + F.least("qx", "qy")) >= both)
-    return x.join(y, (x["hub"] == y["hub"]) & fits).select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
+    x, y = x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(STAR_SALTS - 1)))), y.withColumn("salt", F.pmod(F.xxhash64("nodey"), F.lit(STAR_SALTS)).cast("int"))
+    return x.join(y, (x["hub"] == y["hub"]) & (x["salt"] == y["salt"]) & fits).select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
 
 
 def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
