@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .columns import binary_array, discard, free_shuffles, row_chunks, slices, small_batches, text_buffer, written
 from .textkernel import mix, words
 
-LEAST, CLASSES, ROUNDS, BIGRAM_WEIGHT = 2, 64, 6, 0.9
+LEAST, CLASSES, ROUNDS, BIGRAM_WEIGHT = 2, 64, 6, 0.9  #: CLASSES: 254 at most, so that a class is one byte
 OFTEN, LATE = 16, 2  #: words of fewer occurrences than OFTEN move in the LATE last turns only, when the others have settled
 BUCKET, PLACES, PIECE, CHUNK = 60_000, 20, 1 << 17, 8 << 20  #: words of a bucket (on average), bits of a place in it, word bigrams of a piece, bytes of a chunk
 END = np.uint64(0x5851F42D4C957F2D)  #: stands for the end token, which no word is
@@ -101,6 +101,15 @@ def unpacked(left: pa.Table, right: pa.Table, names: tuple) -> tuple[dict, list]
     return values, [right.column(n).to_numpy()[order] for n in names]
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of one rank together: they compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
+def from_planes(data, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
 PACKED = "left long, right long, part long, a binary, b binary, n binary"
 
 
@@ -109,7 +118,7 @@ def packed_bigrams(at: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray,
     edge = np.flatnonzero(np.diff(at, prepend=-1))
     cuts = list(zip(edge.tolist(), np.append(edge[1:], len(at)).tolist()))
     pair, low = at[edge] // split, (1 << PLACES) - 1
-    binary = [binary_array([x[c:d].tobytes() for c, d in cuts]) for x in ((a & low).astype("<i4"), (b & low).astype("<i4"), n.astype("<i8"))]
+    binary = [binary_array([planes(x[c:d]) for c, d in cuts]) for x in ((a & low).astype("<i4"), (b & low).astype("<i4"), n.astype("<i4"))]
     return pa.table([pa.array(pair // (buckets + 1)), pa.array(pair % (buckets + 1)), pa.array(at[edge] % split), *binary], ["left", "right", "part", "a", "b", "n"])
 
 
@@ -142,10 +151,10 @@ def pieces(packed: DataFrame) -> DataFrame:
     """The chunks' bigrams added up, a row for each pair of buckets and part."""
 
     def run(key, table):
-        a, b, n = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("a", "<i4"), ("b", "<i4"), ("n", "<i8")))
+        a, b, n = (np.concatenate([from_planes(x.as_buffer(), "<i4") for x in table.column(c)]) for c in "abn")
         pair, where = np.unique(a.astype(np.int64) << PLACES | b, return_inverse=True)
         sums = (pair >> PLACES).astype("<i4"), (pair & ((1 << PLACES) - 1)).astype("<i4"), np.bincount(where, n).astype("<i8")
-        return pa.table([*(pa.array([k.as_py()]) for k in key[:2]), *(binary_array([x.tobytes()]) for x in sums)], ["left", "right", "a", "b", "n"])
+        return pa.table([*(pa.array([k.as_py()]) for k in key[:2]), *(binary_array([planes(x)]) for x in sums)], ["left", "right", "a", "b", "n"])
 
     return packed.groupBy("left", "right", "part").applyInArrow(run, "left long, right long, a binary, b binary, n binary")
 
@@ -207,8 +216,8 @@ def votes(packed: DataFrame, classes: DataFrame, total: int, turn: int | None, r
         for batch in batches:
             for k in range(batch.num_rows):
                 left, right, often_a, often_b = (batch.column(i)[k].as_py() for i in (0, 1, 7, 8))
-                a, b, of_a, of_b = (np.frombuffer(batch.column(i)[k].as_buffer(), t) for i, t in ((2, "<i4"), (3, "<i4"), (5, "<i2"), (6, "<i2")))
-                n = np.frombuffer(batch.column(4)[k].as_buffer(), "<i8")
+                a, b, n = (from_planes(batch.column(i)[k].as_buffer(), t) for i, t in ((2, "<i4"), (3, "<i4"), (4, "<i8")))
+                of_a, of_b = (np.frombuffer(batch.column(i)[k].as_buffer(), "u1") for i in (5, 6))
                 ca, cb = of_a[a].astype(np.int64), of_b[b].astype(np.int64)
                 table += np.bincount(ca * total + cb, n, total * total).astype(np.int64)
                 if turn is None:
@@ -219,9 +228,9 @@ def votes(packed: DataFrame, classes: DataFrame, total: int, turn: int | None, r
                     if which.any():
                         at, where = np.unique(word[which].astype(np.int64) * total + c[which], return_inverse=True)
                         sums = np.bincount(where, n[which]).astype("<i8")
-                        yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([side]), binary_array([at.astype("<i4").tobytes()]), binary_array([sums.tobytes()])], ["bucket", "side", "at", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([side]), binary_array([planes(at.astype("<i4"))]), binary_array([planes(sums)])], ["bucket", "side", "at", "n"])
         at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([3]), binary_array([at.astype("<i4").tobytes()]), binary_array([table[at].astype("<i8").tobytes()])], ["bucket", "side", "at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([3]), binary_array([planes(at.astype("<i4"))]), binary_array([planes(table[at].astype("<i8"))])], ["bucket", "side", "at", "n"])
 
     pairs = packed.select("left", "right").distinct()  # both sides' classes meet by pair, so that the bigrams move once
     for name, side in (("left", "a"), ("right", "b")):
@@ -236,7 +245,7 @@ def class_table(found: DataFrame, total: int) -> np.ndarray:
         table = np.zeros(total * total, np.int64)
         for batch in batches:
             for at, n in zip(batch.column(0), batch.column(1)):
-                table[np.frombuffer(at.as_buffer(), "<i4")] += np.frombuffer(n.as_buffer(), "<i8")
+                table[from_planes(at.as_buffer(), "<i4")] += from_planes(n.as_buffer(), "<i8")
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["at", "n"])
 
@@ -257,7 +266,7 @@ def moved(found: DataFrame, classes: DataFrame, table: np.ndarray, turn: int, ro
             w = mine[k : k + 256]
             best, gain = best_classes(*(dense(x, w) for x in counts[:2]), dense(counts[2], w)[:, 0], of[w].astype(np.int64), table, total - 2)
             of[w[gain > 1e-6]] = best[gain > 1e-6]
-        return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([often]), binary_array([of.astype("<i2").tobytes()])], ["bucket", "often", "of"])
+        return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([often]), binary_array([of.astype("u1").tobytes()])], ["bucket", "often", "of"])
 
     def dense(counts, w):
         """Rows of w (ascending) from the ascending places * total + class and their counts."""
@@ -281,9 +290,9 @@ def moved(found: DataFrame, classes: DataFrame, table: np.ndarray, turn: int, ro
                 if side < 0:  # a bucket's classes come before its counts
                     if bucket is not None:
                         yield settle(bucket, many, of, [added(x) for x in parts])
-                    bucket, of, many, parts = key, np.frombuffer(at.as_buffer(), "<i2"), often, [[], [], []]
+                    bucket, of, many, parts = key, np.frombuffer(at.as_buffer(), "u1"), often, [[], [], []]
                 else:
-                    parts[side].append((np.frombuffer(at.as_buffer(), "<i4"), np.frombuffer(n.as_buffer(), "<i8")))
+                    parts[side].append((from_planes(at.as_buffer(), "<i4"), from_planes(n.as_buffer(), "<i8")))
         if bucket is not None:
             yield settle(bucket, many, of, [added(x) for x in parts])
 
@@ -309,13 +318,13 @@ def first_classes(vocabulary: DataFrame, buckets: int, movable: int) -> DataFram
     def run(key, table):
         table = table.sort_by("id")
         ids, c = table.column("id").to_numpy(), table.column("c").to_numpy()
-        of = (np.floor(4 * np.log2(c)).astype(np.int64) % movable).astype("<i2")
+        of = (np.floor(4 * np.log2(c)).astype(np.int64) % movable).astype("u1")
         for word, k in top.items():
             of[ids == word] = k
         return pa.table([pa.array([int(ids[0]) >> PLACES]), pa.array([int((c >= OFTEN).sum())]), binary_array([of.tobytes()])], ["bucket", "often", "of"])
 
     own = vocabulary.withColumn("bucket", F.shiftright("id", PLACES)).groupBy("bucket").applyInArrow(run, "bucket long, often long, of binary")
-    return own.unionByName(spark.createDataFrame([(buckets, 0, np.array([movable, movable + 1], "<i2").tobytes())], "bucket long, often long, of binary"))
+    return own.unionByName(spark.createDataFrame([(buckets, 0, np.array([movable, movable + 1], "u1").tobytes())], "bucket long, often long, of binary"))
 
 
 def likelihood(table: np.ndarray) -> float:
@@ -368,7 +377,7 @@ def score(docs: DataFrame, least: int = LEAST, classes: int = CLASSES, rounds: i
     def spread(batches):
         for batch in batches:
             for key, own in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(own.as_buffer(), "<i2")
+                own = np.frombuffer(own.as_buffer(), "u1")
                 yield pa.RecordBatch.from_arrays([pa.array((key << PLACES) + np.arange(len(own))), pa.array(own.astype(np.int64))], ["id", "class"])
 
     of_word = vocabulary.join(of.select("bucket", "of").mapInArrow(spread, "id long, class long"), "id").select("h", "class")
