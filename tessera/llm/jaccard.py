@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .columns import binary_array, discard, row_chunks, slices, small_batches, text_buffer, written
+from .columns import binary_array, discard, free_shuffles, row_chunks, slices, small_batches, text_buffer, written
 from .components import connected_components
 from .textkernel import mix, shingle_sets, words
 
@@ -355,6 +355,7 @@ def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     heavy = np.sort(np.array([r[0] for r in heavy.orderBy(F.desc("hits"), "token").limit(MOST_HEAVY).collect()], np.int64).view(np.uint64))  # MOST_HEAVY numbers at most
 
     keyed = written(signed(counted(dealt(docs, heavy, places), places), places), "prefixes")
+    free_shuffles(docs.sparkSession)  # the packed shingles, the largest shuffle, before the texts move
     postings = keyed.select("node", "n", "s", F.explode("keys").alias("key"))
     info = keyed.select("node", "n", "s")
     stars = written(star_pairs(with_components(postings, None), with_components(info, None), 0).drop("comp", "hub_comp"), "stars")
