@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classlm, jaccard, linededup, mixing, quality, rpforest, secrets, tokenfile, warc
+from . import bpe, classlm, crosstoken, jaccard, linededup, mixing, periodic, quality, rpforest, secrets, tokenfile, urlrules, warc
 from .columns import shared_dir
 
 
@@ -64,7 +64,37 @@ def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "n_copies", "shuffle_key", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_ledger, op3_token_files, op4_class_lm, op5_line_dedup, op6_rp_forest, op7_poisson_mixing, op8_ngram_jaccard_join, op9_warc_histories, op10_quality_rules)}
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where crc32(doc_id) % 10 = 0, the words from a on repeat with period p (see the contract of the query)."""
+    word = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    drawn = docs.select("doc_id", "text", F.when(crc % 10 == 0, F.floor(crc / 10).cast("long")).alias("g"), F.when(crc % 10 == 0, word).alias("words"))
+    turned = F.expr("transform(words, (w, i) -> IF(i < a, w, words[int(a + (i - a) % p)]))")
+    sized = drawn.withColumn("a", F.expr("IF(size(words) > 0, g % size(words), NULL)")).withColumn("p", F.expr("1 + (size(words) - a) div (3 + g % 8)"))
+    return sized.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(turned, " ")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select(
+        "doc_id", "n_runs", (-F.col("r.start")).alias("start"), F.col("r.length").alias("length"), (-F.col("r.period")).alias("period"),
+        F.expr("1000 * r.length div -r.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urlrules.rules_table(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_ledger, op3_token_files, op4_class_lm, op5_line_dedup, op6_rp_forest, op7_poisson_mixing, op8_ngram_jaccard_join, op9_warc_histories, op10_quality_rules, op11_periodic_runs, op12_url_filters, op13_token_alignment)}
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
 
@@ -102,6 +132,12 @@ q AS (SELECT *, octet_length(encode(html)) AS n, array_to_string(list_reverse(st
 r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM q)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to,
 url_key, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS capture FROM r""",
+    "op12_url_filters": f"""WITH rules(verdict, host, path) AS (VALUES {", ".join(map(str, map(tuple, urlrules.RULES)))}),
+p AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+b AS (SELECT q.page_id, q.host, q.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS v
+  FROM q LEFT JOIN rules r ON (q.host = r.host OR ends_with(q.host, '.' || r.host)) AND starts_with(q.path, r.path) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM b""",
     "op7_poisson_mixing": """
 WITH sizes AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY source),
 rates AS (SELECT source, CASE WHEN size > 0 THEN sqrt(size) / sum(sqrt(size)) OVER () * sum(size) OVER () / size ELSE 0 END AS rate FROM sizes),

@@ -33,7 +33,7 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{14,}", 18),
     Rule("hex", r"[0-9a-f]{16,}", 16),
 )
-PEM = Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 1)
+PEM = Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, version=2)  #: no repeated group: Java recurses for each repetition
 
 SPAN = "struct<start:bigint,end:bigint>"
 

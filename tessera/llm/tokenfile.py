@@ -137,7 +137,7 @@ class LibraryTokenizer:
     an added token (like an end-of-text mark) go through it whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_cached: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -146,7 +146,7 @@ class LibraryTokenizer:
         # printable bytes stand for themselves, the others for the code points from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.spelled = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}
-        self.cache = SliceCache(self._encode_many, 600_000)
+        self.cache = SliceCache(self._encode_many, most_cached)
 
     def _encode_many(self, keys: list[bytes]):
         """The library's BPE model on each slice, its bytes spelled as the byte-level alphabet spells them."""
@@ -155,14 +155,14 @@ class LibraryTokenizer:
         lengths = np.fromiter(map(len, found), np.int32, len(found))
         return lengths, np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
 
-    def encode(self, texts: pa.Array):
-        """The ids of each text, as numpy arrays."""
+    def encode(self, texts: pa.Array, plain: bool = False):
+        """The ids of each text, as numpy arrays; plain: the strings of added tokens are plain text."""
         data, offsets = text_buffer(texts)
         for a, b in row_chunks(offsets):
             part = data[offsets[a] : offsets[b]]
             raw, own = part.tobytes(), offsets[a : b + 1] - offsets[a]
             ids, rows, _, _ = encode_rows(part, own, self.cache)
-            whole = any(x in raw for x in self.added)
+            whole = not plain and any(x in raw for x in self.added)
             for i in range(b - a):
                 if whole and any(x in raw[own[i] : own[i + 1]] for x in self.added):
                     yield np.array(self.library.encode(raw[own[i] : own[i + 1]].decode(), add_special_tokens=False).ids, np.uint32)
