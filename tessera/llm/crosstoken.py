@@ -15,8 +15,7 @@ each task has added up its own.
 * Links beyond those meet their counts in a join by link, which Spark may split, and are added up by text.
 
 Where neither tokenizer joins a character and the space behind it, texts are cut there before
-encoding: every distinct piece is encoded and aligned once in a while and remembered (CACHED pieces, of LONGEST bytes at
-most).  The model of B is asked whether that holds (no normalisation, no token with a space behind another
+encoding with B: every distinct piece is encoded once in a while and remembered (CACHED pieces).  The model of B is asked whether that holds (no normalisation, no token with a space behind another
 character); if it does not, texts are encoded whole.
 
 Null and empty texts, and those whose bytes B does not give back (a U+2581 in the text), have no tokens:
@@ -31,17 +30,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .columns import binary_array, small_batches, written
+from .columns import binary_array, row_chunks, small_batches, text_buffer, written
+from .pretokenize import SliceCache, encode_rows
 from .tokenfile import LibraryTokenizer
 
-CACHED, LONGEST = 200_000, 64
+CHUNK, CACHED = 1 << 19, 200_000
+SMALL, MOST_HELD = 32, 64 << 20  #: longer pieces count; beyond so many bytes of them the memory is emptied
 MOST_HOT = 1 << 17  #: links that all tasks get with their counts (two megabytes)
 FLUSH = 1 << 20  #: different links that a task adds up at a time
 IDENTITY, OTHER = 0, 1
 
-#: A space behind a character that is no white space of either tokenizer.  The bytes excluded end the
-#: UTF-8 forms of U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+2581 and U+3000.
-_CUT = re.compile(rb"(?<=[^\x09-\x0D\x1C-\x20\x80-\x8A\x9F\xA0\xA8\xA9\xAF]) |(?<=\xC3[\x80-\xBF]) ")
+#: Bytes behind which a space is no cut: ASCII white space, and the last bytes of the UTF-8 forms of U+0085, U+00A0,
+#: U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+2581 and U+3000 (unless 0xC3 precedes them).
+_NO_CUT = np.zeros(256, bool)
+_NO_CUT[[*range(0x09, 0x0E), *range(0x1C, 0x21), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
 
 
 class Aligner:
@@ -50,22 +52,23 @@ class Aligner:
     def __init__(self, a_file: str, b_file: str):
         import sentencepiece
 
-        self.a = LibraryTokenizer(a_file, 100_000)
+        self.a = LibraryTokenizer(a_file, CACHED)
         shown = {v: k for k, v in self.a.spelled.items()} | {c: c for c in range(256) if c not in self.a.spelled}
         a_bytes = [b""] * self.a.vocabulary
         for token, i in self.a.library.get_vocab(with_added_tokens=False).items():
             a_bytes[i] = bytes(shown[ord(c)] for c in token)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
-        b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         of_bytes: dict[bytes, int] = {}
-        for i in sorted(range(len(b_bytes)), key=self.b.is_byte):  # a piece before the byte of the same value
-            if b_bytes[i]:
-                of_bytes.setdefault(b_bytes[i], i)
+        for i in sorted(range(len(self.b_bytes)), key=self.b.is_byte):  # a piece before the byte of the same value
+            if self.b_bytes[i]:
+                of_bytes.setdefault(self.b_bytes[i], i)
         self.identity = np.array([of_bytes.get(x, -1) for x in a_bytes], np.int64)
-        self.b_bytes = b_bytes
-        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (a_bytes, b_bytes))
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (a_bytes, self.b_bytes))
+        #: how ids are written: of A inside and at the end of a group, then of B
+        self.spelled = [b"%d%s" % (i, mark) for ids, marks in ((a_bytes, (b",", b"|")), (self.b_bytes, (b",", b";"))) for mark in marks for i in range(len(ids))]
         self.cuts = self._independent()
-        self._clear()
+        self.cache, self.held = SliceCache(self._b_many, CACHED), 0
 
     def _piece(self, i: int) -> bytes:
         if self.b.is_byte(i):
@@ -74,77 +77,76 @@ class Aligner:
 
     def _independent(self) -> bool:
         """B neither changes a text nor has a token with a space behind another character."""
-        probe = "ﬁ ０  xé é\t 　."
+        probe = "ﬁ ０  xé é\t 　."
         same = b"".join(self.b_bytes[i] for i in self.b.encode(probe)) == b" " + probe.encode()
         return same and not any(re.search(rb"[^ ] ", x) for x in self.b_bytes) and not any(self.b.is_unused(i) for i in range(len(self.b_bytes)))
 
-    def _clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.groups: list[bytes] = []
-        self.numbers: list[tuple[int, int, int]] = []  # tokens of A, of B, 1 if the bytes agree
-        self.links: list[np.ndarray] = []
-
-    def _b_ids(self, pieces: list[bytes]) -> list[list[int]]:
+    def _b_many(self, pieces: list[bytes]):
+        """Ids of B of pieces with their first space."""
         found = self.b.encode([x[1:].decode() for x in pieces], num_threads=1)
-        return [[self.b.piece_to_id("▁")] if x == b" " else ids for x, ids in zip(pieces, found)]
-
-    def _align(self, pieces: list[bytes]):
-        """For each piece (one space first): its groups as text, the numbers, and its links a << 32 | b."""
-        for piece, a, b in zip(pieces, self.a.encode(pa.array(pieces, pa.large_string()), plain=True), self._b_ids(pieces)):
-            b = np.array(b, np.int64)
-            a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-            if b"".join(map(self.b_bytes.__getitem__, b.tolist())) != piece or int(a_ends[-1]) != len(piece):
-                yield b"", (0, 0, 0), np.zeros(0, np.int64)
-                continue
-            _, i, j = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-            x, y = a.tolist(), b.tolist()
-            if len(i) == len(x) == len(y):  # one token of each in every group
-                text = ";".join(f"{p}|{q}" for p, q in zip(x, y))
-            else:
-                low = zip([0, *(i + 1).tolist()], (i + 1).tolist(), [0, *(j + 1).tolist()], (j + 1).tolist())
-                text = ";".join(f"{','.join(map(str, x[p:q]))}|{','.join(map(str, y[r:s]))}" for p, q, r, s in low)
-            yield text.encode(), (len(x), len(y), 1), (a[i].astype(np.int64) << 32) | b[j]
-
-    def _slots(self, pieces: list[bytes]) -> list[int]:
-        found = list(map(self.slot.get, pieces))
-        if None in found:
-            new = list(dict.fromkeys(x for x, k in zip(pieces, found) if k is None))
-            self.slot.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
-            for text, numbers, links in self._align(new):
-                self.groups.append(text)
-                self.numbers.append(numbers)
-                self.links.append(links)
-            found = list(map(self.slot.__getitem__, pieces))
-        return found
-
-    def pieces(self, text: bytes) -> list[bytes]:
-        if not self.cuts:
-            return [text]
-        at = [0, *(m.start() for m in _CUT.finditer(text)), len(text)]
-        return [text[x:y] for x, y in zip(at, at[1:])]
-
-    def describe(self, text: bytes):
-        """n_a, n_b, groups_sha256 and all links of a text."""
-        none = 0, 0, "", np.zeros(0, np.int64)
-        if not text:
-            return none
-        if len(self.slot) > CACHED:
-            self._clear()
-        pieces = self.pieces(b" " + text)
-        long = {k: next(self._align([x])) for k, x in enumerate(pieces) if len(x) > LONGEST}
-        slots = iter(self._slots([x for x in pieces if len(x) <= LONGEST] if long else pieces))
-        if long:
-            own = [long[k] if k in long else self._at(next(slots)) for k in range(len(pieces))]
-        else:
-            own = list(map(self._at, slots))
-        groups, numbers, links = zip(*own)
-        n_a, n_b, good = map(sum, zip(*numbers))
-        if good < len(pieces):
-            return none
-        return n_a, n_b, hashlib.sha256(b";".join(groups)).hexdigest(), np.concatenate(links)
-
-    def _at(self, k: int):
-        return self.groups[k], self.numbers[k], self.links[k]
+        found = [[self.b.piece_to_id("▁")] if x == b" " else ids for x, ids in zip(pieces, found)]
+        lengths = np.fromiter(map(len, found), np.int32, len(found))
+        return lengths, np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+
+    def _b_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of B and their offsets in rows laid end to end, each with its first space."""
+        starts = offsets[:-1][np.diff(offsets) > 0]
+        if self.cuts and len(data):
+            space = np.flatnonzero(data == 0x20)
+            space = space[space > 1]
+            before = data[space - 1]
+            space = space[~_NO_CUT[before] | (data[space - 2] == 0xC3) & (before >= 0x80)]
+            starts = np.union1d(starts, space)
+        raw, edges = data.tobytes(), [*starts.tolist(), len(data)]
+        pieces = [raw[x:y] for x, y in zip(edges, edges[1:])]
+        self.held += sum(len(x) for x in pieces if len(x) > SMALL)
+        if self.held > MOST_HELD:
+            self.cache._clear()
+            self.held = 0
+        ids, lengths = self.cache.encode(pieces)
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, offsets)]
+
+    def aligned(self, texts: pa.Array):
+        """Chunk by chunk, for each text: tokens of A, tokens of B, groups as written; all links a << 32 | b, and their offsets."""
+        text, ends = text_buffer(texts)
+        for low, high in row_chunks(ends, CHUNK):
+            own = ends[low : high + 1] - ends[low]
+            offsets = own + np.concatenate([[0], np.cumsum(np.diff(own) > 0)])
+            data = np.full(offsets[-1], 0x20, np.uint8)
+            rest = np.ones(len(data), bool)
+            rest[offsets[:-1][np.diff(own) > 0]] = False
+            data[rest] = text[ends[low] : ends[high]]
+            a, a_rows, _, _ = encode_rows(data, offsets, self.a.cache)
+            b, b_rows = self._b_ids(data, offsets)
+            yield self._groups(*self._agreeing(data.tobytes(), offsets, a.astype(np.int64), a_rows, b.astype(np.int64), b_rows))
+
+    def _agreeing(self, raw: bytes, offsets, a, a_rows, b, b_rows):
+        """Without the tokens of rows whose bytes B does not give back."""
+        spell = self.b_bytes.__getitem__
+        if b"".join(map(spell, b.tolist())) == raw:
+            return a, a_rows, b, b_rows
+        good = np.array([b"".join(map(spell, b[p:q].tolist())) == raw[x:y] for p, q, x, y in zip(b_rows, b_rows[1:], offsets, offsets[1:])], bool)
+        out = []
+        for ids, rows in ((a, a_rows), (b, b_rows)):
+            sizes = np.diff(rows)
+            out += [ids[np.repeat(good, sizes)], np.concatenate([[0], np.cumsum(sizes * good)])]
+        return out
+
+    def _groups(self, a, a_rows, b, b_rows):
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.zeros(int(a_ends[-1]) + 1 if len(a) else 1, bool)
+        ends[a_ends] = True
+        j = np.flatnonzero(ends[b_ends])  # tokens of B, then of A, that end a group
+        i = np.searchsorted(a_ends, b_ends[j])
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[i], last_b[j] = 1, 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        written_out = np.empty(len(a) + len(b), np.int64)  # a group's tokens of A, then its tokens of B
+        written_out[np.arange(len(a)) + np.concatenate([[0], j + 1])[group_a]] = a + last_a * len(self.a_sizes)
+        written_out[np.arange(len(b)) + (i + 1)[group_b]] = 2 * len(self.a_sizes) + b + last_b * len(self.b_sizes)
+        spell, rows = self.spelled.__getitem__, (a_rows + b_rows).tolist()
+        groups = [b"".join(map(spell, written_out[x:y].tolist()))[:-1] for x, y in zip(rows, rows[1:])]
+        return np.diff(a_rows), np.diff(b_rows), groups, (a[i] << 32) | b[j], np.searchsorted(i, a_rows)
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -171,16 +173,16 @@ def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
         both, row = aligner(a_file, b_file), TaskContext.get().partitionId() << 40
         same, others, waiting = np.zeros(len(both.identity), np.int64), [], 0
         for batch in batches:
-            texts, made = batch.column(1), []
-            for k in range(len(texts)):
-                own = texts[k].as_buffer() if texts[k].is_valid else None
-                n_a, n_b, groups, links = both.describe(own.to_pybytes() if own is not None else b"")
-                found, times = np.unique(links, return_counts=True)
-                ident = both.identity[found >> 32] == (found & 0xFFFFFFFF)
-                same[found[ident] >> 32] += times[ident]
-                others.append((found[~ident], times[~ident]))
-                waiting += len(others[-1][0])
-                made.append((n_a, n_b, len(links), groups, found.tobytes(), times.astype("<u4").tobytes()))
+            made = []
+            for n_a, n_b, groups, links, stops in both.aligned(batch.column(1)):
+                for k, (x, y) in enumerate(zip(stops.tolist(), stops[1:].tolist())):
+                    found, times = np.unique(links[x:y], return_counts=True)
+                    ident = both.identity[found >> 32] == (found & 0xFFFFFFFF)
+                    same[found[ident] >> 32] += times[ident]
+                    others.append((found[~ident], times[~ident]))
+                    waiting += len(others[-1][0])
+                    digest = hashlib.sha256(groups[k]).hexdigest() if groups[k] else ""
+                    made.append((int(n_a[k]), int(n_b[k]), y - x, digest, found.tobytes(), times.astype("<u4").tobytes()))
             if waiting > FLUSH:
                 others = [summed(others)]
                 waiting = len(others[0][0])
@@ -188,9 +190,9 @@ def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
                     yield counts(OTHER, *others[0])
                     others, waiting = [], 0
             columns = list(zip(*made)) or [[]] * 6
-            rows = [pa.array(np.arange(row, row + len(texts))), batch.column(0).cast(pa.int64()), *(pa.array(columns[i], pa.int64()) for i in range(3)), pa.array(columns[3], pa.string()), binary_array(list(columns[4])), binary_array(list(columns[5]))]
-            row += len(texts)
-            yield table(rows + [None] * 3, len(texts))
+            rows = [pa.array(np.arange(row, row + len(made))), batch.column(0).cast(pa.int64()), *(pa.array(columns[i], pa.int64()) for i in range(3)), pa.array(columns[3], pa.string()), binary_array(list(columns[4])), binary_array(list(columns[5]))]
+            row += len(made)
+            yield table(rows + [None] * 3, len(made))
         at = np.flatnonzero(same)
         yield counts(IDENTITY, at, same[at])
         yield counts(OTHER, *summed(others))

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, classlm, crosstoken, jaccard, linededup, mixing, periodic, quality, rpforest, secrets, tokenfile, urlrules, warc
-from .columns import shared_dir
+from .columns import let, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,12 +66,17 @@ def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planted(docs: DataFrame) -> DataFrame:
     """doc_id and text; where crc32(doc_id) % 10 = 0, the words from a on repeat with period p (see the contract of the query)."""
-    word = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     crc = F.crc32(F.col("doc_id").cast("string"))
-    drawn = docs.select("doc_id", "text", F.when(crc % 10 == 0, F.floor(crc / 10).cast("long")).alias("g"), F.when(crc % 10 == 0, word).alias("words"))
-    turned = F.expr("transform(words, (w, i) -> IF(i < a, w, words[int(a + (i - a) % p)]))")
-    sized = drawn.withColumn("a", F.expr("IF(size(words) > 0, g % size(words), NULL)")).withColumn("p", F.expr("1 + (size(words) - a) div (3 + g % 8)"))
-    return sized.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(turned, " ")).alias("text"))
+    g = F.floor(crc / 10).cast("long")
+
+    def turned(words):
+        """The words once, then a and p: otherwise each element would cut the text again."""
+        drawn = F.struct(words.alias("w"), (g % F.size(words)).alias("a"))
+        sized = let(drawn, lambda d: F.struct(d["w"].alias("w"), d["a"].alias("a"), (1 + F.floor((F.size(d["w"]) - d["a"]) / (3 + g % 8))).alias("p")))
+        return let(sized, lambda d: F.array_join(F.transform(d["w"], lambda w, i: F.when(i < d["a"], w).otherwise(F.get(d["w"], (d["a"] + (i - d["a"]) % d["p"]).cast("int")))), " "))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return docs.select("doc_id", F.when((crc % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), let(words, turned)).otherwise(F.col("text")).alias("text"))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,13 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import sentencepiece
 from brute import WORD
 from conftest import DOCS
 from hypothesis import given, settings, strategies as st
@@ -185,12 +188,15 @@ def test_url_query_equals_its_sql(spark, tmp_path):
 # 13
 
 
-def plain_alignment(rows):
-    import sentencepiece
-
+@lru_cache(1)
+def tokenizers():
     a = Tokenizer.from_file(A)
     a.encode_special_tokens = True
-    b = sentencepiece.SentencePieceProcessor(model_file=B)
+    return a, sentencepiece.SentencePieceProcessor(model_file=B)
+
+
+def plain_alignment(rows, models=None):
+    a, b = models or tokenizers()
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in shown)}
 
@@ -241,13 +247,14 @@ def test_alignment(spark, docs, no_docs, hot):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from(list("ab 's.é漢😀 　\x1f\u2003Ãà▁\n\t1")), max_size=24))
-def test_pieces_align_as_whole_texts(text):
+@given(st.lists(st.text(st.sampled_from(list("ab 's.é漢😀 　\x1f\u2003Ãà▁\n\t1")), max_size=24), max_size=4))
+def test_pieces_align_as_whole_texts(texts):
     own = crosstoken.aligner(A, B)
     assert own.cuts
-    n_a, n_b, digest, links = own.describe(text.encode())
-    (_, a, b, groups, n_links, _, _, expected), = plain_alignment([(1, text)])
-    assert (n_a, n_b, len(links), digest) == (a, b, n_links, expected) and groups == n_links
+    found = []
+    for n_a, n_b, groups, links, stops in own.aligned(pa.array(texts, pa.string())):
+        found += [(x, y, int(n), int(n), hashlib.sha256(g).hexdigest() if g else "") for x, y, g, n in zip(n_a.tolist(), n_b.tolist(), groups, np.diff(stops))]
+    assert found == [(*r[1:5], r[7]) for r in plain_alignment(list(enumerate(texts)), tokenizers())]
 
 
 def test_identity_map_has_the_same_bytes():
