@@ -212,13 +212,17 @@ def plain_alignment(rows, models=None):
         if not text or b"".join(t for _, t in x) != whole or b"".join(t for _, t in y) != whole:
             x = y = []
         ends = [np.cumsum([len(t) for _, t in z]).tolist() if z else [] for z in (x, y)]
-        shared, groups, links = sorted(set(ends[0]) & set(ends[1])), [], []
-        low = 0
-        for e in shared:
-            own = [[i for (i, _), stop in zip(z, s) if low < stop <= e] for z, s in zip((x, y), ends)]
+        groups, links = [], []
+        at = [0, 0]
+        for e in sorted(set(ends[0]) & set(ends[1])):
+            own = []
+            for k, z in enumerate((x, y)):
+                low = at[k]
+                while at[k] < len(z) and ends[k][at[k]] <= e:
+                    at[k] += 1
+                own.append([i for i, _ in z[low : at[k]]])
             groups.append("|".join(",".join(map(str, g)) for g in own))
             links.append((own[0][-1], own[1][-1]))
-            low = e
         count.update(links)
         links_of.append(links)
         out.append((len(x), len(y), len(groups), len(links), hashlib.sha256(";".join(groups).encode()).hexdigest() if x else ""))
