@@ -15,7 +15,7 @@ each task has added up its own.
 * Links beyond those meet their counts in a join by link, which Spark may split, and are added up by text.
 
 Where neither tokenizer joins a character and the space behind it, texts are cut there before
-encoding with B: every distinct piece is encoded once in a while and remembered (CACHED pieces).  The model of B is asked whether that holds (no normalisation, no token with a space behind another
+encoding: every distinct piece is encoded once in a while and remembered (CACHED pieces).  The model of B is asked whether that holds (no normalisation, no token with a space behind another
 character); if it does not, texts are encoded whole.
 
 Null and empty texts, and those whose bytes B does not give back (a U+2581 in the text), have no tokens:
@@ -34,7 +34,7 @@ from .columns import binary_array, row_chunks, small_batches, text_buffer, writt
 from .pretokenize import SliceCache, encode_rows
 from .tokenfile import LibraryTokenizer
 
-CHUNK, CACHED = 1 << 19, 200_000
+CHUNK, CACHED = 1 << 19, 400_000
 SMALL, MOST_HELD = 32, 64 << 20  #: longer pieces count; beyond so many bytes of them the memory is emptied
 MOST_HOT = 1 << 17  #: links that all tasks get with their counts (two megabytes)
 FLUSH = 1 << 20  #: different links that a task adds up at a time
@@ -52,7 +52,7 @@ class Aligner:
     def __init__(self, a_file: str, b_file: str):
         import sentencepiece
 
-        self.a = LibraryTokenizer(a_file, CACHED)
+        self.a = LibraryTokenizer(a_file, CACHED // 4)
         shown = {v: k for k, v in self.a.spelled.items()} | {c: c for c in range(256) if c not in self.a.spelled}
         a_bytes = [b""] * self.a.vocabulary
         for token, i in self.a.library.get_vocab(with_added_tokens=False).items():
@@ -68,7 +68,7 @@ class Aligner:
         #: how ids are written: of A inside and at the end of a group, then of B
         self.spelled = [b"%d%s" % (i, mark) for ids, marks in ((a_bytes, (b",", b"|")), (self.b_bytes, (b",", b";"))) for mark in marks for i in range(len(ids))]
         self.cuts = self._independent()
-        self.cache, self.held = SliceCache(self._b_many, CACHED), 0
+        self.cache, self.held = SliceCache(self._encode_many, CACHED), 0
 
     def _piece(self, i: int) -> bytes:
         if self.b.is_byte(i):
@@ -81,15 +81,23 @@ class Aligner:
         same = b"".join(self.b_bytes[i] for i in self.b.encode(probe)) == b" " + probe.encode()
         return same and not any(re.search(rb"[^ ] ", x) for x in self.b_bytes) and not any(self.b.is_unused(i) for i in range(len(self.b_bytes)))
 
-    def _b_many(self, pieces: list[bytes]):
-        """Ids of B of pieces with their first space."""
-        found = self.b.encode([x[1:].decode() for x in pieces], num_threads=1)
+    def _encode_many(self, pieces: list[bytes]):
+        """For each piece the number of its ids and the ids: of A, then of B, which count from the end of A's vocabulary."""
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
+        a, rows, _, _ = encode_rows(np.frombuffer(b"".join(pieces), np.uint8), offsets, self.a.cache)
+        found = self.b.encode([x[1:].decode() for x in pieces], num_threads=1)  # B puts the first space itself
         found = [[self.b.piece_to_id("▁")] if x == b" " else ids for x, ids in zip(pieces, found)]
-        lengths = np.fromiter(map(len, found), np.int32, len(found))
-        return lengths, np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-
-    def _b_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of B and their offsets in rows laid end to end, each with its first space."""
+        a_sizes, b_sizes = np.diff(rows), np.fromiter(map(len, found), np.int64, len(found))
+        ends = np.cumsum(a_sizes + b_sizes)
+        flat = np.empty(int(ends[-1]), np.uint32)
+        of_b = np.zeros(len(flat), bool)
+        of_b[np.repeat(ends - np.cumsum(b_sizes), b_sizes) + np.arange(int(b_sizes.sum()))] = True
+        flat[~of_b] = a
+        flat[of_b] = np.fromiter((i for ids in found for i in ids), np.uint32, int(b_sizes.sum())) + np.uint32(len(self.a_sizes))
+        return (a_sizes + b_sizes).astype(np.int32), flat
+
+    def _ids(self, data: np.ndarray, offsets: np.ndarray):
+        """Ids of A and their offsets in rows laid end to end, each with its first space; then those of B."""
         starts = offsets[:-1][np.diff(offsets) > 0]
         if self.cuts and len(data):
             space = np.flatnonzero(data == 0x20)
@@ -99,12 +107,17 @@ class Aligner:
             starts = np.union1d(starts, space)
         raw, edges = data.tobytes(), [*starts.tolist(), len(data)]
         pieces = [raw[x:y] for x, y in zip(edges, edges[1:])]
-        self.held += sum(len(x) for x in pieces if len(x) > SMALL)
+        sizes = np.diff(edges)
+        self.held += int(sizes[sizes > SMALL].sum())
         if self.held > MOST_HELD:
             self.cache._clear()
             self.held = 0
         ids, lengths = self.cache.encode(pieces)
-        return ids, np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, offsets)]
+        ids = ids.astype(np.int64)
+        of_b = ids >= len(self.a_sizes)
+        rows = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, offsets)]
+        b_rows = np.concatenate([[0], np.cumsum(of_b)])[rows]
+        return ids[~of_b], rows - b_rows, ids[of_b] - len(self.a_sizes), b_rows
 
     def aligned(self, texts: pa.Array):
         """Chunk by chunk, for each text: tokens of A, tokens of B, groups as written; all links a << 32 | b, and their offsets."""
@@ -116,9 +129,7 @@ class Aligner:
             rest = np.ones(len(data), bool)
             rest[offsets[:-1][np.diff(own) > 0]] = False
             data[rest] = text[ends[low] : ends[high]]
-            a, a_rows, _, _ = encode_rows(data, offsets, self.a.cache)
-            b, b_rows = self._b_ids(data, offsets)
-            yield self._groups(*self._agreeing(data.tobytes(), offsets, a.astype(np.int64), a_rows, b.astype(np.int64), b_rows))
+            yield self._groups(*self._agreeing(data.tobytes(), offsets, *self._ids(data, offsets)))
 
     def _agreeing(self, raw: bytes, offsets, a, a_rows, b, b_rows):
         """Without the tokens of rows whose bytes B does not give back."""
