@@ -1,8 +1,8 @@
 """Registered queries of variable-size blocks, with DuckDB SQL that computes the same from the definitions."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.operators import varblocks as V
+from tessera.operators import blockinfo as I, varblocks as V
 from tessera.queries import fx, query
 from tessera.sources.grids import fixed, table
 
@@ -87,3 +87,48 @@ def _(spark, d):
     lines = e.where(F.size("four") == 4).select("line", size(0).alias("h"), size(1).alias("w"), F.flatten(F.transform("four", lambda x: x["e"])).alias("v"))
     found = V.line_transform(lines).select("line", F.posexplode("v").alias("n", "v"))
     return found.select("line", F.col("n").cast("long").alias("n"), fixed(F.col("v")).alias("v"))
+
+
+# ---- block metadata: the lines of a supplier and one eighth of the orders are the blocks of a group ----
+
+_MIXES = ((0, 1, 2, 3), (0, 6, 8, 12), (4, 4, 4, 4), (0, 7, 0, 0))  # one cell; one column; squares of 2 x 2, and rows of two, some of which do not fit
+_LUT = tuple(k / 7 for k in range(8))
+_LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+_PLACED = f"""WITH RECURSIVE {_KINDS},
+li AS (SELECT *, l_suppkey * 8 + l_orderkey % 8 AS g FROM lineitem),
+b AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY {", ".join(_LINE_ORDER)}) AS idx, [{", ".join(map(str, (list(m) for m in _MIXES)))}][g % 4 + 1][(l_orderkey + l_linenumber) % 4 + 1] AS kind, l_linenumber - CASE WHEN l_orderkey % 997 = 0 THEN 9 ELSE 0 END AS mul FROM li),
+st AS (SELECT DISTINCT g, 3 + g % 3 AS bh, 6 + g % 5 * 8 AS bw, 0::BIGINT AS idx, 0 AS kind, 0::BIGINT AS hf_mul, 0::BIGINT AS y, 0::BIGINT AS x, NULL::VARCHAR AS error, list_transform(range(6 + g % 5 * 8), lambda k: 0::BIGINT) AS sky FROM li
+  UNION ALL SELECT g, bh, bw, idx, kind, CASE WHEN e IS NULL THEN mul + 1 END, CASE WHEN e IS NULL THEN y END, CASE WHEN e IS NULL THEN x END, e, sky[:x] || list_transform(range(w), lambda k: y + h) || sky[x + w + 1:] FROM (
+    SELECT *, CASE WHEN mul < 0 THEN 'multiplier' WHEN x % 32 + w > 32 OR y % 32 + h > 32 THEN 'border' WHEN len(list_filter(sky[x + 1:x + w], lambda t: t > y)) > 0 THEN 'overlap' WHEN x + w > bw OR y + h > bh THEN 'outside' END AS e FROM (
+      SELECT st.g, bh, bw, b.idx, b.kind, b.mul, h, w, sky, list_min(sky) AS y, list_position(sky, list_min(sky)) - 1 AS x FROM st JOIN b ON st.g = b.g AND b.idx = st.idx + 1 JOIN kinds ON kinds.kind = b.kind WHERE error IS NULL AND list_min(sky) < bh))),
+placed AS (SELECT g, idx - 1 AS idx, kind, hf_mul, y, x, error FROM st WHERE idx > 0 UNION ALL
+  SELECT g, NULL, NULL, NULL, NULL, NULL, 'short' FROM (SELECT g, bh, arg_max(sky, idx) AS sky, count(error) AS wrong FROM st GROUP BY g, bh) WHERE wrong = 0 AND list_min(sky) < bh)"""
+
+
+def placed_blocks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks laid on the groups' grids, and the groups."""
+    lines, g = table(spark, d, "lineitem").withColumn("g", F.col("l_suppkey") * 8 + F.col("l_orderkey") % 8), F.col("g")
+    at = Window.partitionBy("g").orderBy(*_LINE_ORDER)
+    mix = F.get(F.array(*(F.array(*map(F.lit, m)) for m in _MIXES)), (g % 4).cast("int"))
+    mul = F.col("l_linenumber") - F.when(F.col("l_orderkey") % 997 == 0, 9).otherwise(0)
+    blocks = lines.select("g", (F.row_number().over(at) - 1).alias("idx"), F.get(mix, ((F.col("l_orderkey") + F.col("l_linenumber")) % 4).cast("int")).alias("kind"), mul.alias("mul"))
+    groups = lines.select("g").distinct().select("g", (3 + g % 3).cast("int").alias("bh"), (6 + g % 5 * 8).cast("int").alias("bw"))
+    return I.place(blocks, groups, ("g",)), groups
+
+
+@query("block_places", f"{_PLACED} SELECT g, idx, CAST(kind AS INT) AS kind, CAST(hf_mul AS BIGINT) AS hf_mul, CAST(y AS INT) AS y, CAST(x AS INT) AS x, error FROM placed")
+def _(spark, d):
+    return placed_blocks(spark, d)[0].withColumnsRenamed({"by": "y", "bx": "x"})
+
+
+@query(
+    "block_sigma",
+    f"""{_PLACED}, cells AS (SELECT g, y + dy AS cy, x + dx AS cx, idx, kind, hf_mul, dy = 0 AND dx = 0 AS first FROM placed JOIN kinds USING (kind), unnest(range(h)) a(dy), unnest(range(w)) c(dx) WHERE error IS NULL)
+SELECT g, CAST(cy AS BIGINT) AS cy, CAST(cx AS BIGINT) AS cx, idx, CAST(kind AS INT) AS kind, first, {fx("0.46 * 65536.0 / (1000 + g) / hf_mul * ((cy * 7 + cx * 3 + g) % 8) / 7.0")} AS sigma FROM cells""",
+)
+def _(spark, d):
+    placed, groups = placed_blocks(spark, d)
+    sharp = groups.select("g", "bw", F.explode(F.sequence(F.lit(0), F.col("bh") - 1)).alias("cy")).select("g", "cy", F.explode(F.sequence(F.lit(0), F.col("bw") - 1)).alias("cx"))
+    sharp = sharp.withColumn("sharpness", (F.col("cy") * 7 + F.col("cx") * 3 + F.col("g")) % 8)
+    found = I.sigmas(I.cells(placed, ("g",)), sharp, ("g",), 0.46, F.col("g") + 1000, _LUT)
+    return found.select("g", F.col("cy").cast("long").alias("cy"), F.col("cx").cast("long").alias("cx"), "idx", "kind", "first", fixed(F.col("sigma")).alias("sigma"))
