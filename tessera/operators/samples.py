@@ -70,12 +70,15 @@ DELTAS = [
 ]
 
 
-def palette(grid: DataFrame, colours: DataFrame, size: int, depth: int = 8, channels: int = 3, deltas: DataFrame | None = None) -> DataFrame:
-    """Indices to colours: the palette (idx, c, v), beyond it two implicit colour cubes, below 0 the
-    format's deltas and their negatives (deltas: another table of 72 entries (idx, c, v) in their place).  Both are joined
-    as one table; the format bounds its size."""
-    if deltas is None:
-        deltas = grid.sparkSession.createDataFrame([(k, c, v) for k, entry in enumerate(DELTAS) for c, v in enumerate(entry)], "idx long, c int, v long")
+def palette(grid: DataFrame, colours: DataFrame, size: int, depth: int = 8, channels: int = 3, deltas: DataFrame | None = None, keys: tuple[str, ...] = (), n_deltas: int | None = None) -> DataFrame:
+    """Indices to colours: the palette (keys, idx, c, v), beyond it two implicit colour cubes, below 0 the
+    format's deltas and their negatives (deltas: another table of 72 entries (idx, c, v) in their place).
+
+    keys: images, each with its palette.  n_deltas: entries below are deltas; the column `delta` tells their samples,
+    which still lack the prediction (predicted_deltas)."""
+    if deltas is None:  # an inline table, of which Spark knows the size
+        rows = ", ".join(f"({k}, {c}, {v})" for k, entry in enumerate(DELTAS) for c, v in enumerate(entry))
+        deltas = grid.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(idx, c, v)")
     top = (1 << depth) - 1
     spread = grid.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))))
     i = F.col("v")
@@ -85,10 +88,15 @@ def palette(grid: DataFrame, colours: DataFrame, size: int, depth: int = 8, chan
     delta = (-i - 1) % 143
     look = F.when(i >= 0, i).otherwise(-1 - div(delta + 1, 2))
     shifted = F.col("v") * (1 << max(min(depth, 24) - 8, 0))
-    entries = colours.select(F.col("idx").alias("look"), "c", F.col("v").alias("colour")).unionAll(deltas.select(-1 - F.col("idx"), "c", shifted))
-    found = spread.withColumn("look", look).join(entries, ["look", "c"], "left")
-    value = F.when(i < 0, F.when(F.col("c") >= 3, 0).when(delta % 2 == 0, -F.col("colour")).otherwise(F.col("colour"))).when(i < size, F.col("colour")).when(k < 64, small).otherwise(large)
-    return found.select("y", "x", "c", value.alias("v"))
+    own = colours.select(*keys, F.col("idx").alias("look"), "c", F.col("v").alias("colour"))
+    implicit = deltas.select((-1 - F.col("idx")).alias("look"), "c", shifted.alias("implicit_"))
+    if keys:
+        found = spread.withColumn("look", look).join(own, [*keys, "look", "c"], "left").join(implicit, ["look", "c"], "left")
+        colour = F.coalesce("implicit_", "colour")
+    else:
+        found, colour = spread.withColumn("look", look).join(own.unionAll(implicit), ["look", "c"], "left"), F.col("colour")
+    value = F.when(i < 0, F.when(F.col("c") >= 3, 0).when(delta % 2 == 0, -colour).otherwise(colour)).when(i < size, colour).when(k < 64, small).otherwise(large)
+    return found.select(*keys, "y", "x", "c", value.alias("v"), *([(i < n_deltas).alias("delta")] if n_deltas is not None else []))
 
 
 def blend(mode: str, b: Column, n: Column, ab: Column, an: Column, clamp: bool = False) -> Column:
@@ -124,11 +132,11 @@ def apply_patches(grid: DataFrame, patches: DataFrame) -> DataFrame:
     return grid.join(total, ["y", "x"], "left").select("y", "x", (F.col("v") + F.coalesce("add", F.lit(0))).alias("v"))
 
 
-def oriented(grid: DataFrame, code: int, width: int, height: int) -> DataFrame:
-    """Samples at their output coordinates; width, height: of the output.  (x, y) -> source is its own kind of inverse for all but 6 and 8."""
+def oriented(grid: DataFrame, code: int, width: Column | int, height: Column | int) -> DataFrame:
+    """Samples at their output coordinates; width, height: of the output, numbers or columns.  (x, y) -> source is its own kind of inverse for all but 6 and 8."""
     inverse = {6: 8, 8: 6}.get(code, code)
     w, h = (height, width) if code > 4 else (width, height)  # the grid's own size
-    x, y = orient(inverse, F.col("x"), F.col("y"), F.lit(w), F.lit(h))
+    x, y = orient(inverse, F.col("x"), F.col("y"), F.lit(w), F.lit(h))  # lit leaves columns as they are
     return grid.select(y.alias("y"), x.alias("x"), "v")
 
 

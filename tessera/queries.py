@@ -248,15 +248,10 @@ def _(spark, d):
     return orders_grid(spark, d).select("y", "x", F.sum(bits.zigzag(F.col("v"))).over(row).alias("v"))
 
 
-TEND = (
-    "CASE WHEN a >= b AND b >= c THEN CASE WHEN t1 + (t1 & 1) > 2 * (b - c) THEN 2 * (b - c) ELSE t1 END WHEN a <= b AND b <= c THEN CASE WHEN t2 - (t2 & 1) < 2 * (b - c) THEN 2 * (b - c) ELSE t2 END ELSE 0 END"
-)
-
-
 def tend(source: str) -> str:
-    """Tables that add `t` = tendency(a, b, c) to a table."""
-    return f"""s1 AS (SELECT *, (4 * a - 3 * c - b + 6) // 12 AS u1, (4 * a - 3 * c - b - 6) // 12 AS u2 FROM {source}),
-s2 AS (SELECT *, CASE WHEN u1 - (u1 & 1) > 2 * (a - b) THEN 2 * (a - b) + 1 ELSE u1 END AS t1, CASE WHEN u2 + (u2 & 1) < 2 * (a - b) THEN 2 * (a - b) - 1 ELSE u2 END AS t2 FROM s1), s3 AS (SELECT *, {TEND} AS t FROM s2)"""
+    """Tables that add `t` = tendency(a, b, c) to a table: rising triples are negated to falling ones, whose slope is the least of its three bounds."""
+    return f"""s1 AS (SELECT *, CASE WHEN a < c THEN -1 ELSE 1 END AS up FROM {source}), s2 AS (SELECT *, up * (a - b) AS drop1, up * (b - c) AS drop2 FROM s1),
+s3 AS (SELECT *, CASE WHEN drop1 < 0 OR drop2 < 0 THEN 0 ELSE up * list_min([(4 * drop1 + 3 * drop2 + 6) // 12, 1 + 2 * drop1, 2 * drop2]) END AS t FROM s2)"""
 
 
 @query("tendency", f"WITH {RGB}, {tend('rgb')} SELECT y, x, CAST(t AS BIGINT) AS v FROM s3")
@@ -580,8 +575,9 @@ for _code, (_x, _y) in ORIENTED.items():
     @query(f"orient_{_code}", f"WITH {G1}, s AS (SELECT max(y) AS my FROM g1) SELECT {_x} AS x, {_y} AS y, v FROM g1, s")
     def _(spark, d, code=_code):
         g = orders_grid(spark, d)
-        height = g.agg(F.max("y")).first()[0] + 1
-        return S.oriented(g, code, *((height, 125) if code > 4 else (125, height)))
+        size = g.agg(F.lit(0).alias("one_"), (F.max("y") + 1).alias("height_"))  # one row
+        height = F.col("height_")
+        return S.oriented(g.withColumn("one_", F.lit(0)).join(F.broadcast(size), "one_"), code, *((height, 125) if code > 4 else (125, height)))
 
 
 @query("quantise", f"WITH {RGB} SELECT y, x, " + ", ".join(f"CAST(floor(least(greatest({c} / 200.0::DOUBLE * 255 + 0.5, 0), 255)) AS BIGINT) AS {c}" for c in "abc") + " FROM rgb")
