@@ -1,9 +1,9 @@
-"""Registered queries of frames and patches: every user's events are the frames of an animation, or the patches of a frame."""
+"""Registered queries of frames, patches and delta palettes: every user's events are the frames of an animation, or the patches of a frame."""
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tessera.operators import compose as C
-from tessera.queries import SECTIONS, fx, query, sections
+from tessera.operators import compose as C, recurrence as R, samples as S
+from tessera.queries import PREDICTED, SECTIONS, fx, query, sections
 from tessera.sources.grids import div, fixed, table
 
 HEIGHT, WIDTH = 5, 6
@@ -108,3 +108,34 @@ def _(spark, d):
     first, size = F.col("place") == 0, F.col("size")
     tokens = sections(spark, d).select("image", F.lit(0).alias("patch"), F.col("place").alias("target"), F.when(first, size % 1000).otherwise(size % 64).alias("y"), F.when(first, size % 777).otherwise(size % 97).alias("x"))
     return C.patch_targets(tokens).drop("patch")
+
+
+# ---- delta palettes: 120 orders are an image of 10 columns, with a palette of its own ----
+
+_RESOLVED = f"""g AS (SELECT o_orderkey // 120 AS image, o_orderkey % 120 AS k, CAST(floor(o_totalprice) AS BIGINT) % 256 - 40 AS i FROM orders),
+fixed(e, r, g, b) AS (VALUES {", ".join(str((k, *entry)) for k, entry in enumerate(S.DELTAS))}), deltas AS (SELECT e, 0 AS c, r AS v FROM fixed UNION ALL SELECT e, 1, g FROM fixed UNION ALL SELECT e, 2, b FROM fixed),
+j AS (SELECT image, k, c, i, i - 25 AS beyond, (-i - 1) % 143 AS d FROM g, (SELECT unnest([0, 1, 2]) AS c)),
+dv AS (SELECT image, k, j.c, i < 6 AS delta, CASE WHEN i < 0 THEN CASE WHEN d % 2 = 0 THEN -deltas.v ELSE deltas.v END WHEN i < 25 THEN (image * 13 + i * 37 + j.c * 91) % 256
+  WHEN beyond < 64 THEN (beyond // CAST(pow(4, j.c) AS BIGINT)) % 4 * 255 // 4 + 32 ELSE ((beyond - 64) // CAST(pow(5, j.c) AS BIGINT)) % 5 * 255 // 4 END AS v FROM j LEFT JOIN deltas ON i < 0 AND e = (d + 1) // 2 AND deltas.c = j.c)"""
+
+
+def delta_sql(predicted: str) -> str:
+    return f"""WITH RECURSIVE {_RESOLVED},
+st AS (SELECT DISTINCT image, c, -1::BIGINT AS k, []::BIGINT[] AS h FROM dv
+  UNION ALL SELECT image, c, k, list_append(h, CASE WHEN delta THEN v + ({predicted}) ELSE v END) FROM (
+    SELECT *, CASE WHEN y > 0 AND x < 9 THEN h[k - 8] ELSE n END AS ne, CASE WHEN y > 0 AND x < 8 THEN h[k - 7] WHEN y > 0 AND x < 9 THEN h[k - 8] ELSE n END AS nee, CASE WHEN x > 0 AND y > 0 THEN h[k - 10] ELSE w END AS nw, CASE WHEN y > 1 THEN h[k - 19] ELSE n END AS nn, CASE WHEN x > 1 THEN h[k - 1] ELSE w END AS ww FROM (
+      SELECT *, CASE WHEN y > 0 THEN h[k - 9] ELSE w END AS n FROM (
+        SELECT dv.image, dv.c, dv.k, h, delta, v, dv.k // 10 AS y, dv.k % 10 AS x, CASE WHEN dv.k % 10 > 0 THEN h[dv.k] WHEN dv.k >= 10 THEN h[dv.k - 9] ELSE 0 END AS w
+        FROM st JOIN dv ON dv.image = st.image AND dv.c = st.c AND dv.k = st.k + 1))))
+SELECT image, CAST(c AS INT) AS c, k // 10 AS y, k % 10 AS x, h[k + 1] AS v FROM st WHERE k >= 0"""
+
+
+for _name in ("gradient", "avg_all", "select"):
+
+    @query(f"delta_palette_{_name}", delta_sql(PREDICTED[_name]))
+    def _(spark, d, predictor=_name):
+        k = F.col("o_orderkey")
+        grid = table(spark, d, "orders").select(div(k, 120).alias("image"), div(k % 120, 10).alias("y"), (k % 10).alias("x"), (F.floor("o_totalprice") % 256 - 40).alias("v"))
+        entries = grid.select("image").distinct().select("image", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("idx")).select("image", "idx", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c"))
+        colours = entries.withColumn("v", (F.col("image") * 13 + F.col("idx") * 37 + F.col("c") * 91) % 256)
+        return R.predicted_deltas(S.palette(grid, colours, 25, keys=("image",), n_deltas=6), predictor)
