@@ -187,8 +187,8 @@ def lf_smoothing(grid: DataFrame, channels: tuple[str, ...], scales: tuple[float
 # ---- recurrences along rows or columns ----
 
 
-def unsqueeze(squeezed: DataFrame, along: str = "x", strip: int = 64) -> DataFrame:
-    """The inverse of a squeeze along x or y: (y, x, average, residual) to (y, x, v).  Each second sample feeds the next pair's
+def unsqueeze(squeezed: DataFrame, along: str = "x", strip: int = 64, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The inverse of a squeeze along x or y: (keys, y, x, average, residual) to (keys, y, x, v).  Each second sample feeds the next pair's
     tendency, so a line is one recurrence; lines go to tasks in strips and advance side by side."""
     across = "y" if along == "x" else "x"
 
@@ -214,7 +214,9 @@ def unsqueeze(squeezed: DataFrame, along: str = "x", strip: int = 64) -> DataFra
             out[2 * k + 1] = before = first - gap
         at, row = np.nonzero(np.arange(len(out))[:, None] < length)
         places = {along: at, across: lines[row]}
-        return pa.table([pa.array(places["y"]), pa.array(places["x"]), pa.array(out[at, row])], ["y", "x", "v"])
+        heads = [pa.array([k.as_py()]).cast(table.schema.field(n).type).take(pa.array(np.zeros(len(at), np.int32))) for n, k in zip(keys, key)]
+        return pa.table([*heads, pa.array(places["y"]), pa.array(places["x"]), pa.array(out[at, row])], [*keys, "y", "x", "v"])
 
-    lines = squeezed.select("y", "x", "average", "residual", F.floor(F.col(across) / strip).alias("strip_"))
-    return lines.groupBy("strip_").applyInArrow(run, "y long, x long, v long")
+    kinds = dict(squeezed.dtypes)
+    lines = squeezed.select(*keys, "y", "x", "average", "residual", F.floor(F.col(across) / strip).alias("strip_"))
+    return lines.groupBy(*keys, "strip_").applyInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "y long, x long, v long"]))
