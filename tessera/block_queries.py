@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.operators import blockinfo as I, varblocks as V
+from tessera.operators import blockinfo as I, matrices as M, varblocks as V
 from tessera.queries import fx, query
 from tessera.sources.grids import fixed, table
 
@@ -132,3 +132,46 @@ def _(spark, d):
     sharp = sharp.withColumn("sharpness", (F.col("cy") * 7 + F.col("cx") * 3 + F.col("g")) % 8)
     found = I.sigmas(I.cells(placed, ("g",)), sharp, ("g",), 0.46, F.col("g") + 1000, _LUT)
     return found.select("g", F.col("cy").cast("long").alias("cy"), F.col("cx").cast("long").alias("cx"), "idx", "kind", "first", fixed(F.col("sigma")).alias("sigma"))
+
+
+# ---- dequantisation matrices ----
+
+_BAND_ROWS = ", ".join(f"({s}, {c}, {g}, {k}, {v!r}::DOUBLE)" for (s, g), channels in sorted(M.default_lists().items()) for c, values in enumerate(channels) for k, v in enumerate(values))
+_PARAM_ROWS = ", ".join(f"({s}, {c}, {[float(v) for v in values]}::DOUBLE[])" for s, channels in M.PARAMS.items() for c, values in enumerate(channels))
+_LOW, _HIGH = M.AFV_FREQUENCIES[2], M.AFV_FREQUENCIES[15]
+
+
+def _banded(grid: str, distance: str, top: str) -> str:
+    """The interpolated value of a grid's bands at a distance."""
+    return f"(SELECT list_extract(l, 1 + CAST(floor(({distance}) / ({top}) * (len(l) - 1)) AS INT)) * pow(list_extract(l, 2 + CAST(floor(({distance}) / ({top}) * (len(l) - 1)) AS INT)) / list_extract(l, 1 + CAST(floor(({distance}) / ({top}) * (len(l) - 1)) AS INT)), ({distance}) / ({top}) * (len(l) - 1) - floor(({distance}) / ({top}) * (len(l) - 1))) FROM (SELECT l{grid} AS l))"
+
+
+_DIAGONAL = "sqrt(2::DOUBLE) + 1e-6::DOUBLE"
+
+
+@query(
+    "dequant_matrices",
+    f"""WITH {_KINDS}, bands(s, c, g, k, v) AS (VALUES {_BAND_ROWS}), params(s, c, p) AS (VALUES {_PARAM_ROWS}), sets(kind, s) AS (VALUES {", ".join(map(str, enumerate(M.SET_OF_KIND)))}),
+shapes(s, mh, mw) AS (VALUES {", ".join(f"({s}, {h}, {w})" for s, (h, w) in enumerate(M.SHAPES))}),
+lev AS (SELECT s, c, g, list(level ORDER BY k) AS l FROM (SELECT s, c, g, k, product(CASE WHEN k = 0 THEN v WHEN v > 0 THEN 1 + v ELSE 1 / (1 - v) END) OVER (PARTITION BY s, c, g ORDER BY k) AS level FROM bands) GROUP BY ALL),
+b AS (SELECT vec_id AS block, kind, vec_id // 64 % 3 AS c, h, w, s, mh, mw, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings JOIN kinds ON kind = {_MIXED} JOIN sets USING (kind) JOIN shapes USING (s)),
+pl AS (SELECT *, CASE WHEN h > w THEN n % (8 * w) ELSE n // (8 * w) END AS y, CASE WHEN h > w THEN n // (8 * w) ELSE n % (8 * w) END AS x FROM b),
+j AS (SELECT pl.*, l0.l AS l0, l1.l AS l1, l2.l AS l2, p, list_extract([{", ".join(map(str, M.AFV_FREQUENCIES))}]::DOUBLE[], CAST(y // 2 * 4 + x // 2 + 1 AS INT)) AS f FROM pl LEFT JOIN lev l0 ON l0.s = pl.s AND l0.c = pl.c AND l0.g = 0 LEFT JOIN lev l1 ON l1.s = pl.s AND l1.c = pl.c AND l1.g = 1 LEFT JOIN lev l2 ON l2.s = pl.s AND l2.c = pl.c AND l2.g = 2 LEFT JOIN params ON params.s = pl.s AND params.c = pl.c),
+m AS (SELECT block, kind, c, n, v, CASE
+  WHEN y = 0 AND x = 0 AND s IN ({M.HORNUSS}, {M.DCT2}, {M.AFV}) THEN 1
+  WHEN s = {M.HORNUSS} THEN CASE WHEN y + x = 1 THEN p[2] WHEN y = 1 AND x = 1 THEN p[3] ELSE p[1] END
+  WHEN s = {M.DCT2} THEN p[1 + CASE WHEN greatest(y, x) < 2 THEN 0 WHEN greatest(y, x) < 4 THEN 2 ELSE 4 END + CASE WHEN least(y, x) >= CASE WHEN greatest(y, x) < 2 THEN 1 WHEN greatest(y, x) < 4 THEN 2 ELSE 4 END THEN 1 ELSE 0 END]
+  WHEN s = {M.DCT4} THEN {_banded("0", "sqrt(pow(x // 2 / 3.0::DOUBLE, 2) + pow(y // 2 / 3.0::DOUBLE, 2))", _DIAGONAL)}
+  WHEN s = {M.DCT4X8} THEN {_banded("0", "sqrt(pow(x / 7.0::DOUBLE, 2) + pow(y // 2 / 3.0::DOUBLE, 2))", _DIAGONAL)}
+  WHEN s = {M.AFV} THEN CASE WHEN y = 1 AND x = 0 THEN p[1] WHEN y = 0 AND x = 1 THEN p[2] WHEN y = 2 AND x = 0 THEN p[3] WHEN y = 0 AND x = 2 THEN p[4] WHEN y = 2 AND x = 2 THEN p[5]
+    WHEN y % 2 = 1 THEN {_banded("0", "sqrt(pow(x / 7.0::DOUBLE, 2) + pow(y // 2 / 3.0::DOUBLE, 2))", _DIAGONAL)} WHEN x % 2 = 1 THEN {_banded("1", "sqrt(pow(x // 2 / 3.0::DOUBLE, 2) + pow(y // 2 / 3.0::DOUBLE, 2))", _DIAGONAL)} ELSE {_banded("2", f"f - {_LOW}", f"{_HIGH} - {_LOW} + 1e-6::DOUBLE")} END
+  ELSE {_banded("0", "sqrt(pow(x / (mw - 1.0::DOUBLE), 2) + pow(y / (mh - 1.0::DOUBLE), 2))", _DIAGONAL)} END AS weight FROM j)
+SELECT block, CAST(kind AS INT) AS kind, c AS channel, n, {fx("floor(v * 1000000) * (1 / weight)")} AS v FROM m""",
+)
+def _(spark, d):
+    """Embeddings as quantised coefficients of blocks of all kinds, and what the format's matrices make of them."""
+    made = M.matrices(*M.default_tables(spark))
+    coefficients = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.floor(v * 1000000).cast("double"))
+    blocks = table(spark, d, "embeddings").select(F.col("vec_id").alias("block"), F.expr(_MIXED).cast("int").alias("kind"), F.floor(F.col("vec_id") / 64).alias("channel"), coefficients.alias("v")).withColumn("channel", F.col("channel") % 3)
+    found = M.dequantised(blocks, made).select("block", "kind", "channel", F.posexplode("v").alias("n", "v"))
+    return found.select("block", "kind", "channel", F.col("n").cast("long").alias("n"), fixed(F.col("v")).alias("v"))
