@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tessera.operators import compose as C, recurrence as R, samples as S
+from tessera.operators import compose as C, noise as N, recurrence as R, samples as S
 from tessera.queries import PREDICTED, SECTIONS, fx, query, sections
 from tessera.sources.grids import div, fixed, table
 
@@ -139,3 +139,57 @@ for _name in ("gradient", "avg_all", "select"):
         entries = grid.select("image").distinct().select("image", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("idx")).select("image", "idx", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c"))
         colours = entries.withColumn("v", (F.col("image") * 13 + F.col("idx") * 37 + F.col("c") * 91) % 256)
         return R.predicted_deltas(S.palette(grid, colours, 25, keys=("image",), n_deltas=6), predictor)
+
+
+# ---- noise: 400 orders are a frame of 20 columns ----
+
+_WORD = "18446744073709551616::UHUGEINT"
+
+
+def _times(p: str, by: int) -> str:
+    return f"CAST(CAST({p} AS UHUGEINT) * {by}::UHUGEINT % {_WORD} AS UBIGINT)"
+
+
+def _scrambled(z: str) -> str:
+    """The generator's mixing of 64 bits; each step binds its argument once."""
+    first = f"list_transform([{z}], lambda u: {_times('xor(u, u >> 30)', int(N.MIX1))})"
+    return f"list_transform(list_transform({first}, lambda u: {_times('xor(u, u >> 27)', int(N.MIX2))}), lambda u: xor(u, u >> 31))[1]"
+
+
+def _seeded(high: str, low: str) -> str:
+    return _scrambled(f"CAST((CAST({high} AS UHUGEINT) * 4294967296::UHUGEINT + CAST({low} AS UHUGEINT) + {int(N.GOLDEN)}::UHUGEINT) % {_WORD} AS UBIGINT)")
+
+
+def _mirrored(at: str, size: str) -> str:
+    return f"CASE WHEN {at} < 0 THEN -({at}) - 1 WHEN {at} >= {size} THEN 2 * {size} - 1 - ({at}) ELSE {at} END"
+
+
+def _strength(v: str) -> str:
+    scaled = f"greatest(({v}) * 3.0::DOUBLE, 0)"
+    low = f"least(CAST(floor({scaled}) AS BIGINT), 7)"
+    return f"((lut[least({low} + 1, 7) + 1] - lut[{low} + 1]) * ({scaled} - {low}) + lut[{low} + 1])"
+
+
+@query(
+    "noise_frames",
+    f"""WITH RECURSIVE g AS (SELECT o_orderkey // 400 AS image, o_orderkey % 400 // 20 AS y, o_orderkey % 20 AS x, CAST(floor(o_totalprice) AS BIGINT) % 256 / 255.0::DOUBLE - 0.5 AS gx, o_custkey % 256 / 100.0::DOUBLE AS gy, o_orderkey % 256 / 255.0::DOUBLE AS gb FROM orders),
+dims AS (SELECT image, max(y) + 1 AS h, max(x) + 1 AS w FROM g GROUP BY image),
+grp AS (SELECT image, h, w, y0, x0, least(h - y0, 16) AS gh, least(w - x0, 16) AS gw FROM dims, unnest([0, 16]) a(y0), unnest([0, 16]) b(x0) WHERE y0 < h AND x0 < w),
+ln AS (SELECT image, y0, x0, gh, gw, 0 AS lane, {_seeded("image * 3", "image % 2")} AS a, {_seeded("x0", "y0")} AS b FROM grp UNION ALL SELECT image, y0, x0, gh, gw, lane + 1, {_scrambled("a")}, {_scrambled("b")} FROM ln WHERE lane < 7),
+st AS (SELECT image, y0, x0, gh, gw, lane, -1 AS k, a, b, 0::UBIGINT AS r FROM ln
+  UNION ALL SELECT image, y0, x0, gh, gw, lane, k + 1, b, xor(xor(s, b), xor(s >> 18, b >> 5)), CAST((CAST(a AS UHUGEINT) + CAST(b AS UHUGEINT)) % {_WORD} AS UBIGINT) FROM (SELECT *, xor(a, {_times("a", 1 << 23)}) AS s FROM st WHERE k + 1 < 3 * gh)),
+u AS (SELECT image, k // gh AS c, y0 + k % gh AS y, x0 + lane * 2 + part AS x, 1 + ((CASE WHEN part = 0 THEN r % 4294967296 ELSE r >> 32 END) >> 9)::DOUBLE / 8388608 AS n FROM st, unnest([0, 1]) t(part) WHERE k >= 0 AND lane * 2 + part < gw),
+f AS (SELECT image, y, x, max(CASE WHEN c = 0 THEN n END) AS n0, max(CASE WHEN c = 1 THEN n END) AS n1, max(CASE WHEN c = 2 THEN n END) AS n2 FROM u GROUP BY ALL),
+around AS (SELECT f.image, f.y, f.x, {_mirrored("f.y + dy", "h")} AS sy, {_mirrored("f.x + dx", "w")} AS sx FROM f JOIN dims USING (image), unnest(range(-2, 3)) a(dy), unnest(range(-2, 3)) b(dx)),
+s AS (SELECT a.image, a.y, a.x, sum(0.16::DOUBLE * f.n0) AS s0, sum(0.16::DOUBLE * f.n1) AS s1, sum(0.16::DOUBLE * f.n2) AS s2 FROM around a JOIN f ON f.image = a.image AND f.y = a.sy AND f.x = a.sx GROUP BY ALL),
+m AS (SELECT image, y, x, s0 - 4 * n0 AS n0, s1 - 4 * n1 AS n1, s2 - 4 * n2 AS n2 FROM s JOIN f USING (image, y, x)),
+l AS (SELECT *, list_transform(range(8), lambda k: (image % 5 + k)::DOUBLE / 10) AS lut FROM g JOIN m USING (image, y, x)),
+pq AS (SELECT *, 0.22::DOUBLE * {_strength("gy + gx")} * (0.0078125::DOUBLE * n0 + 0.9921875::DOUBLE * n2) AS p, 0.22::DOUBLE * {_strength("gy - gx")} * (0.0078125::DOUBLE * n1 + 0.9921875::DOUBLE * n2) AS q FROM l)
+SELECT image, y, x, {fx("gx + 0.25 * (p + q) + p - q")} AS x_, {fx("gy + p + q")} AS y_, {fx("gb + 0.9 * (p + q)")} AS b_ FROM pq""",
+)
+def _(spark, d):
+    k = F.col("o_orderkey")
+    grid = table(spark, d, "orders").select(div(k, 400).alias("image"), div(k % 400, 20).alias("y"), (k % 20).alias("x"), (F.floor("o_totalprice") % 256 / 255.0 - 0.5).alias("x_"), (F.col("o_custkey") % 256 / 100.0).alias("y_"), (k % 256 / 255.0).alias("b_"))
+    lut = F.array(*(((F.col("image") % 5 + i) / 10.0) for i in range(8)))
+    frames = grid.groupBy("image").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")).withColumns({"visible": F.col("image") * 3, "invisible": F.col("image") % 2, "lut": lut})
+    return N.with_noise(grid, frames, correlation=(0.25, 0.9), group=16).select("image", "y", "x", *(fixed(F.col(c)).alias(c) for c in ("x_", "y_", "b_")))
