@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tessera.operators import compose as C, noise as N, recurrence as R, samples as S
+from tessera.operators import compose as C, frontmove as M, noise as N, recurrence as R, samples as S
 from tessera.queries import PREDICTED, SECTIONS, fx, query, sections
 from tessera.sources.grids import div, fixed, table
 
@@ -193,3 +193,20 @@ def _(spark, d):
     lut = F.array(*(((F.col("image") % 5 + i) / 10.0) for i in range(8)))
     frames = grid.groupBy("image").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")).withColumns({"visible": F.col("image") * 3, "invisible": F.col("image") % 2, "lut": lut})
     return N.with_noise(grid, frames, correlation=(0.25, 0.9), group=16).select("image", "y", "x", *(fixed(F.col(c)).alias(c) for c in ("x_", "y_", "b_")))
+
+
+# ---- move to front ----
+
+
+@query(
+    "move_to_front_inverse",
+    """WITH RECURSIVE t AS (SELECT user_id AS owner, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, CAST(floor(value * 100) AS BIGINT) % 7 * (event_id % 3) AS v FROM events),
+st AS (SELECT DISTINCT owner, -1::BIGINT AS place, -1::BIGINT AS v, range(256) AS l FROM t
+  UNION ALL SELECT st.owner, t.place, st.l[t.v + 1], [st.l[t.v + 1]] || st.l[:t.v] || st.l[t.v + 2:] FROM st JOIN t ON t.owner = st.owner AND t.place = st.place + 1)
+SELECT owner, place, CAST(v AS INT) AS v FROM st WHERE place >= 0""",
+)
+def _(spark, d):
+    """Every user's events are tokens; blocks of 16 and levels of 4 of them, so that all levels have work."""
+    at = Window.partitionBy("user_id").orderBy("event_id")
+    tokens = table(spark, d, "events").select(F.col("user_id").alias("owner"), (F.row_number().over(at) - 1).cast("long").alias("place"), (F.floor(F.col("value") * 100) % 7 * (F.col("event_id") % 3)).alias("v"))
+    return M.undone(tokens, block=16, fan=4)
