@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tessera.operators import compose as C, frontmove as M, noise as N, recurrence as R, samples as S
+from tessera.operators import compose as C, frontmove as M, noise as N, recurrence as R, samples as S, splines as P
 from tessera.queries import PREDICTED, SECTIONS, fx, query, sections
 from tessera.sources.grids import div, fixed, table
 
@@ -210,3 +210,65 @@ def _(spark, d):
     at = Window.partitionBy("user_id").orderBy("event_id")
     tokens = table(spark, d, "events").select(F.col("user_id").alias("owner"), (F.row_number().over(at) - 1).cast("long").alias("place"), (F.floor(F.col("value") * 100) % 7 * (F.col("event_id") % 3)).alias("v"))
     return M.undone(tokens, block=16, fan=4)
+
+
+# ---- splines: one eighth of a user's events are the points of a curve on a canvas of 24 x 16 ----
+
+
+def _lerp(a: str, b: str, start: str, stop: str) -> str:
+    return f"({a} + ({b} - {a}) * ((t - {start}) / ({stop} - {start})))"
+
+
+def _curve_sql(c: str) -> str:
+    a = [_lerp(f"{c}{j}", f"{c}{j + 1}", f"t{j}", f"t{j + 1}") for j in range(3)]
+    b = [_lerp(a[j], a[j + 1], f"t{j}", f"t{j + 2}") for j in range(2)]
+    return f"CASE WHEN step = 0 THEN {c}1 ELSE {_lerp(b[0], b[1], 't1', 't2')} END AS {c}"
+
+
+def _wave_sql(kind: int) -> str:
+    """Coefficient k of a kind: ((spline * 7 + k * 3 + kind * 5) % 13 - 6) / (10 * (k + 1)), the sigma's first 0.6 more."""
+    first = f"((image * 7 + spline * 3 + {kind} * 5) % 13 - 6) / 10.0::DOUBLE" if kind < 3 else "0.6::DOUBLE"
+    return f"({first} + list_sum(list_transform(range(1, 32), lambda k: sqrt(2::DOUBLE) * (((image * 7 + spline * 3 + k * 3 + {kind} * 5) % 13 - 6) / ({10 if kind < 3 else 100}.0::DOUBLE * (k + 1))) * cos(k * (pi() / 32) * (spot + 0.5)))))"
+
+
+_ERF = f"sign({{0}}) * (1 - 1 / pow(1 + abs({{0}}) * ({P.ERF[0]}::DOUBLE + abs({{0}}) * ({P.ERF[1]}::DOUBLE + abs({{0}}) * ({P.ERF[2]}::DOUBLE + abs({{0}}) * {P.ERF[3]}::DOUBLE))), 4))"
+
+
+@query(
+    "spline_drawn",
+    f"""WITH e AS (SELECT user_id AS image, event_id % 8 AS spline, event_id AS k, (event_id * 11 % 16)::DOUBLE AS y, (event_id * 7 % 24)::DOUBLE AS x FROM events),
+own AS (SELECT * FROM (SELECT *, coalesce(lag(y) OVER o = y AND lag(x) OVER o = x, false) AS again FROM e WINDOW o AS (PARTITION BY image, spline ORDER BY k)) WHERE NOT again),
+p0 AS (SELECT image, spline, row_number() OVER o - 1 AS i, lag(y) OVER o AS ya, y AS y1, lead(y) OVER o AS y2, lead(y, 2) OVER o AS yd, lag(x) OVER o AS xa, x AS x1, lead(x) OVER o AS x2, lead(x, 2) OVER o AS xd FROM own WINDOW o AS (PARTITION BY image, spline ORDER BY k)),
+p1 AS (SELECT *, coalesce(ya, 2 * y1 - y2) AS y0, coalesce(yd, 2 * y2 - y1) AS y3, coalesce(xa, 2 * x1 - x2) AS x0, coalesce(xd, 2 * x2 - x1) AS x3 FROM p0),
+p2 AS (SELECT *, 0::DOUBLE AS t0, pow(pow(y1 - y0, 2) + pow(x1 - x0, 2), 0.25) AS t1, pow(pow(y2 - y1, 2) + pow(x2 - x1, 2), 0.25) AS g2, pow(pow(y3 - y2, 2) + pow(x3 - x2, 2), 0.25) AS g3 FROM p1),
+p3 AS (SELECT *, t1 + g2 AS t2, t1 + g2 + g3 AS t3, unnest(CASE WHEN x2 IS NULL THEN [0] ELSE range(16) END) AS step FROM p2),
+ln AS (SELECT image, spline, i * 16 + step AS n, {_curve_sql("y")}, {_curve_sql("x")} FROM (SELECT *, t1 + step / 16.0::DOUBLE * (t2 - t1) AS t FROM p3)),
+pc AS (SELECT *, lag(y) OVER o AS yb, lag(x) OVER o AS xb, lead(n) OVER o IS NULL AS final, coalesce(sqrt(pow(y - lag(y) OVER o, 2) + pow(x - lag(x) OVER o, 2)), 0) AS size FROM ln WINDOW o AS (PARTITION BY image, spline ORDER BY n)),
+l1 AS (SELECT *, sum(size) OVER (PARTITION BY image, spline ORDER BY n) AS stop FROM pc),
+l2 AS (SELECT *, coalesce(lag(stop) OVER o, 0) AS start, max(stop) OVER (PARTITION BY image, spline) AS arc FROM l1 WINDOW o AS (PARTITION BY image, spline ORDER BY n)),
+dots AS (SELECT image, spline, 0 AS dot, y, x, 1::DOUBLE AS length, arc FROM l2 WHERE yb IS NULL
+  UNION ALL SELECT image, spline, k, yb + (y - yb) * ((k - start) / (stop - start)), xb + (x - xb) * ((k - start) / (stop - start)), 1, arc FROM (SELECT *, unnest(range(CAST(floor(start) AS BIGINT) + 1, CAST(floor(stop) AS BIGINT) + 1)) AS k FROM l2)
+  UNION ALL SELECT image, spline, CAST(floor(stop) AS BIGINT) + 1, y, x, stop - floor(stop), arc FROM l2 WHERE final),
+lit AS (SELECT *, {_wave_sql(0)} * length AS vx, {_wave_sql(1)} * length AS vy, {_wave_sql(2)} * length AS vb, {_wave_sql(3)} AS sigma FROM (SELECT *, 31.0::DOUBLE * CASE WHEN arc > 0 THEN least(1.0, dot / arc) ELSE 1.0 END AS spot FROM dots)),
+re AS (SELECT *, sqrt(2 * (3 * ln(10::DOUBLE) + greatest(0.01, vx, vy, vb))) * abs(sigma) AS reach FROM lit WHERE sigma <> 0),
+px AS (SELECT *, unnest(range(greatest(0, CAST(floor(x - reach + 0.5) AS BIGINT)), least(24, CAST(floor(x + reach + 1.5) AS BIGINT)))) AS qx FROM re), py AS (SELECT *, unnest(range(greatest(0, CAST(floor(y - reach + 0.5) AS BIGINT)), least(16, CAST(floor(y + reach + 1.5) AS BIGINT)))) AS qy FROM px),
+s AS (SELECT *, 0.5 * sqrt(pow(qx - x, 2) + pow(qy - y, 2)) AS far FROM py),
+f AS (SELECT image, qy AS y, qx AS x, sum(vx * soft) AS ax, sum(vy * soft) AS ay, sum(vb * soft) AS ab FROM (
+  SELECT *, 0.25 * sigma * pow({_ERF.format("((far + sqrt(0.125::DOUBLE)) / sigma)")} - {_ERF.format("((far - sqrt(0.125::DOUBLE)) / sigma)")}, 2) AS soft FROM s) GROUP BY ALL),
+g AS (SELECT image, y, x FROM (SELECT DISTINCT user_id AS image FROM events), unnest(range(16)) a(y), unnest(range(24)) b(x))
+SELECT g.image, g.y, g.x, {fx("coalesce(ax, 0) + (g.y + g.x) / 40.0::DOUBLE")} AS x_, {fx("coalesce(ay, 0)")} AS y_, {fx("coalesce(ab, 0)")} AS b_ FROM g LEFT JOIN f USING (image, y, x)""",
+)
+def _(spark, d):
+    e = F.col("event_id")
+    points = table(spark, d, "events").select(F.col("user_id").alias("image"), (e % 8).alias("spline"), e.alias("k"), (e * 11 % 16).alias("y"), (e * 7 % 24).alias("x"))
+
+    def coefficients(kind: int):
+        value = lambda k: ((F.col("image") * 7 + F.col("spline") * 3 + k * 3 + kind * 5) % 13 - 6) / ((10.0 if kind < 3 else 100.0) * (k + 1))
+        return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.when((k == 0) & F.lit(kind == 3), 0.6).otherwise(value(k)))
+
+    splines = points.select("image", "spline").distinct().select("image", "spline", *(coefficients(k).alias(c) for k, c in enumerate(("x_dct", "y_dct", "b_dct", "sigma_dct"))))
+    images = points.select("image").distinct()
+    grid = images.select("image", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("y")).select("image", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("x"))
+    grid = grid.select("image", "y", "x", ((F.col("y") + F.col("x")) / 40.0).alias("x_"), F.lit(0.0).alias("y_"), F.lit(0.0).alias("b_"))
+    found = P.drawn(grid, points, splines, images.select("image", F.lit(16).alias("height"), F.lit(24).alias("width")))
+    return found.select("image", "y", "x", *(fixed(F.col(c)).alias(c) for c in ("x_", "y_", "b_")))
