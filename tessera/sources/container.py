@@ -52,16 +52,27 @@ def boxes(images: DataFrame) -> DataFrame:
 
 def codestreams(images: DataFrame) -> DataFrame:
     """(image_id, codestream, problem): the bare file, the one `jxlc` box, or the `jxlp` parts in order;
-    part numbers must count from 0 in file order, the last part is marked by the top bit."""
+    part numbers must count from 0 in file order, and the top bit marks the last part and no other."""
     bare = images.where(kind(F.col("bytes")) == "bare").select("image_id", F.col("bytes").alias("codestream"), F.lit(None).cast("string").alias("problem"))
     parts = boxes(images).where(F.col("type").isin("jxlc", "jxlp"))
     number = F.conv(F.hex(F.substring("payload", 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit(0x7FFFFFFF))
     w = Window.partitionBy("image_id").orderBy("box_seq")
-    parts = parts.withColumns({"place": F.row_number().over(w) - 1, "number": F.when(F.col("type") == "jxlp", number).otherwise(0)})
+    top = F.conv(F.hex(F.substring("payload", 1, 1)), 16, 10).cast("int") >= 128
+    parts = parts.withColumns({"place": F.row_number().over(w) - 1, "number": F.when(F.col("type") == "jxlp", number).otherwise(0), "last": F.when(F.col("type") == "jxlp", top).otherwise(True), "final": F.lead("box_seq").over(w).isNull()})
     body = F.when(F.col("type") == "jxlp", F.expr("substring(payload, 5)")).otherwise(F.col("payload"))
-    whole = parts.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("place", body.alias("body")))).alias("parts"), F.bool_and(F.col("place") == F.col("number")).alias("ordered"))
+    whole = parts.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("place", body.alias("body")))).alias("parts"), F.bool_and(F.col("place") == F.col("number")).alias("ordered"), F.bool_and(F.col("last") == F.col("final")).alias("ended"))
     joined = F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["body"]))
-    return bare.union(whole.select("image_id", joined.alias("codestream"), F.when(~F.col("ordered"), "parts out of order")))
+    return bare.union(whole.select("image_id", joined.alias("codestream"), F.when(~F.coalesce("ordered", F.lit(False)), "parts out of order").when(~F.coalesce("ended", F.lit(False)), "last part is missing or not the last")))
+
+
+def side_boxes(found: DataFrame) -> DataFrame:
+    """(image_id, box_seq, type, payload, problem) of all boxes but the codestream's, the signature and the file type.  A `brob` box has the type that stands in
+    its first four bytes; its payload stays as it is, and the problem says so: `compressed`, or for a type that must not be, `may not be compressed`."""
+    packed, inner = F.col("type") == "brob", F.decode(F.substring("payload", 1, 4), "iso-8859-1")
+    barred = inner.startswith("jxl") | inner.isin("brob", "jbrd")
+    problem = F.when(packed, F.when(F.length("payload") < 4, "cut short").when(barred, "may not be compressed").otherwise("compressed"))
+    rows = found.where(~F.col("type").isin("jxlc", "jxlp", "JXL ", "ftyp"))
+    return rows.select("image_id", "box_seq", F.when(packed, inner).otherwise(F.col("type")).alias("type"), F.when(packed, F.expr("substring(payload, 5)")).otherwise(F.col("payload")).alias("payload"), problem.alias("problem"))
 
 
 def first_box(found: DataFrame, name: str) -> DataFrame:

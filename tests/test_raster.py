@@ -209,6 +209,12 @@ def test_containers(spark):
     assert set(found) == {"bare", "one", "parts", "wrong"}
     assert all(bytes(found[k].codestream) == SAMPLE and found[k].problem is None for k in ("bare", "one", "parts")) and found["wrong"].problem
     assert [tuple(r) for r in container.exif(container.boxes(images)).collect()] == [("one", 4, bytearray(b"tiff"))]
+    ends = [("none", head + part(0, SAMPLE)), ("early", head + part(1 << 31, SAMPLE[:5]) + part(1, SAMPLE[5:])), ("once", head + part(1 << 31, SAMPLE))]
+    problems = {r.image_id: r.problem for r in container.codestreams(spark.createDataFrame(ends, "image_id string, bytes binary")).collect()}
+    assert problems["none"] and problems["early"] and problems["once"] is None
+    side = spark.createDataFrame([("a", head + box(b"brob", b"Exifdata") + box(b"brob", b"jxlcdata") + box(b"brob", b"Ex") + box(b"xml ", b"<x/>") + box(b"jxlc", SAMPLE))], "image_id string, bytes binary")
+    found_side = [(r.box_seq, r.type, bytes(r.payload), r.problem) for r in container.side_boxes(container.boxes(side)).orderBy("box_seq").collect()]
+    assert found_side == [(1, "Exif", b"data", "compressed"), (2, "jxlc", b"data", "may not be compressed"), (3, "Ex", b"", "cut short"), (4, "xml ", b"<x/>", None)]
     sizes = container.sizes(container.codestreams(images).where("problem IS NULL"))
     assert {(r.width, r.height) for r in sizes.collect()} == {(240, 135)}
 
