@@ -37,7 +37,7 @@ from .columns import binary_array, discard, free_shuffles, row_chunks, slices, s
 from .components import connected_components
 from .textkernel import mix, shingle_sets, words
 
-MOST_HEAVY, LOCAL_HEAVY, LOCAL_TOKENS, PACK_TOKENS = 1 << 18, 3, 1_500_000, 500_000
+MOST_HEAVY, LOCAL_HEAVY, LOCAL_TOKENS, PACK_TOKENS = 1 << 18, 3, 1_000_000, 250_000
 HUB_ROUNDS, PAIRS_A_NODE, FEW_LINKS = 16, 512, 0.02
 STAR_SALTS = 16  #: a large star's members are dealt to so many tasks; the few outside the hub's component go to all of them
 
@@ -347,7 +347,7 @@ def other_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
 def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, version (hash of the text), n (size of the set) and `first`, the smallest (doc_id, version)
     of the component, for each row of docs; `first` is null for empty sets."""
-    docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
+    docs = small_batches(docs, 1024, 2 << 20).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
     places = slices(docs)
     described = written(describe(docs), "shingle-sets")
     nodes = described.where(F.col("node").isNotNull()).select("doc_id", "version", "n", "node")
