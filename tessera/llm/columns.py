@@ -1,5 +1,6 @@
 """Small helpers that the operators share: text buffers, shared folders, let-binding."""
 
+import ctypes
 import gc
 import posixpath
 import uuid
@@ -102,6 +103,17 @@ def small_batches(df: DataFrame, rows: int = 2048, size: int = 4 << 20) -> DataF
     return df
 
 
+def giving_back(batches):
+    """The batches; at their end the worker, which waits for its next task, gives the memory that it no longer needs back to the system."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n+1 offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .columns import binary_array, discard, free_shuffles, row_chunks, slices, small_batches, text_buffer, written
+from .columns import binary_array, discard, free_shuffles, giving_back, row_chunks, slices, small_batches, text_buffer, written
 from .components import connected_components
 from .textkernel import mix, shingle_sets, words
 
@@ -85,7 +85,7 @@ def describe(docs: DataFrame) -> DataFrame:
     def table(columns, n):
         return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else c for c in columns], ["doc_id", "version", "n", "node", "token", "hits"])
 
-    return docs.mapInArrow(run, "doc_id long, version long, n long, node long, token long, hits long")
+    return docs.mapInArrow(lambda batches: giving_back(run(batches)), "doc_id long, version long, n long, node long, token long, hits long")
 
 
 def least_overlap(n: int) -> int:
@@ -184,7 +184,7 @@ def dealt(docs: DataFrame, heavy: np.ndarray, places: int) -> DataFrame:
         tokens = flat[dark][np.argsort(dark_owner, kind="stable")]
         yield packed_rows((nodes[order].view(np.uint64) % np.uint64(places)).astype(np.int64), HEAD, nodes[order], np.bincount(dark_owner, minlength=len(nodes)), tokens, sizes[order].astype("<u4"))
 
-    return docs.select("text").mapInArrow(run, PACKED)
+    return docs.select("text").mapInArrow(lambda batches: giving_back(run(batches)), PACKED)
 
 
 def at_places(rows: DataFrame, places: int, finish, schema: str) -> DataFrame:
@@ -206,7 +206,7 @@ def at_places(rows: DataFrame, places: int, finish, schema: str) -> DataFrame:
         if own:
             yield from finish(at, own)
 
-    return rows.repartitionById(places, "place").sortWithinPartitions("place").mapInArrow(run, schema)
+    return rows.repartitionById(places, "place").sortWithinPartitions("place").mapInArrow(lambda batches: giving_back(run(batches)), schema)
 
 
 def joined(own: list, side: int) -> tuple[np.ndarray, ...]:
@@ -283,7 +283,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             o = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(o, pa.int64())], ["a", "b", "o"])
 
-    return both.select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long, o long")
+    return both.select("a", "b", "own_a", "own_b").mapInArrow(lambda batches: giving_back(run(batches)), "a long, b long, o long")
 
 
 def set_bytes(texts: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def set_bytes(texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), binary_array([x.astype("<u8").tobytes() for x in sets_of(batch.column(1))])], ["node", "own"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, own binary")
+    return texts.select("node", "text").mapInArrow(lambda batches: giving_back(run(batches)), "node long, own binary")
 
 
 def sizes_fit(x: str = "nx", y: str = "ny") -> Column:
