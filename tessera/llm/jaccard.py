@@ -23,6 +23,8 @@ drop most before they are made: sets share no more shingles than either shares w
 no more than the lesser overlap with the hub and the lesser number of shared shingles beside the hub.
 All other pairs are verified, so the components are exact.  While too many pairs would have to be compared with the
 bounds (PAIRS_A_NODE for each node), rounds with other hubs come first as long as they find links (HUB_ROUNDS at most).
+If there are still too many, as where many texts share fragments without linking, pairs of a star give way to pairs that
+share a token combination, of as many tokens as make its list short (combinations.py); these are verified likewise.
 
 Null and empty texts and texts without words have empty sets and link with nothing.
 Repeated rows are nodes of equal sets.  A null id counts as larger than any other.
@@ -34,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .columns import binary_array, discard, free_shuffles, giving_back, row_chunks, slices, small_batches, text_buffer, written
+from .combinations import combined_pairs
 from .components import connected_components
 from .textkernel import mix, shingle_sets, words
 
@@ -385,7 +388,10 @@ def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         size = y.groupBy("hub").agg((F.count(F.lit(1)) * F.first("others")).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
         final = turn == HUB_ROUNDS or size <= PAIRS_A_NODE * n_nodes or (turn > 1 and links.count() <= (1 + FEW_LINKS) * before)
         before = links.count()
-        pairs = written(other_pairs(x, y) if final else could_link(star_pairs(with_components(postings, labels), with_components(info, labels), turn)), "pairs")
+        if final and size > PAIRS_A_NODE * n_nodes:
+            pairs = combined_pairs(sets, x.select("node", "n", "comp").union(y.select("node", "n", "comp")).distinct())
+        else:
+            pairs = written(other_pairs(x, y) if final else could_link(star_pairs(with_components(postings, labels), with_components(info, labels), turn)), "pairs")
         more = written(links.union(linked(pairs)), "links")
         discard(pairs, links, labels)
         links, labels = more, connected_components(more)

@@ -18,7 +18,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, classlm, jaccard, linededup, mixing, pretokenize, quality, rpforest, secrets, tokenfile, warc
+from tessera.llm import bpe, classlm, combinations, jaccard, linededup, mixing, pretokenize, quality, rpforest, secrets, tokenfile, warc
 from tessera.llm.columns import running_sums, shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -414,6 +414,35 @@ def test_jaccard_brute(spark, monkeypatch, heavy):
         assert (r.n_shingles, r.component_id) == expected[r.doc_id]
 
 
+@pytest.mark.parametrize("long, saving", [(32, 4), (0, 0)])
+def test_jaccard_combinations(spark, monkeypatch, long, saving):
+    """Pages of one template that share blocks without linking, groups among them; few pairs, or all lists extended to the end."""
+    monkeypatch.setattr(jaccard, "PAIRS_A_NODE", -1)
+    monkeypatch.setattr(combinations, "LONG", long)
+    monkeypatch.setattr(combinations, "SAVING", saving)
+    made, plain = [], combinations.combined_pairs
+
+    def counting(*a):
+        pairs = plain(*a)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "combined_pairs", counting)
+    rng = np.random.default_rng(7)
+    common = " ".join(f"t{i}" for i in range(60))
+    rows = []
+    for _ in range(400):
+        picked = rng.integers(8, size=5)
+        rows.append((len(rows), " ".join([common, *(f"b{k}v{v}w{w}" for k, v in enumerate(picked) for w in range(24 - 9 * (v == 0)))])))
+    expected = brute.components(rows)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == expected
+    assert 1 < len({c for _, c in expected.values()}) < 400
+    assert len(made) == 1
+    if long:
+        assert made[0] < 400 * 40  # all pairs: 79,800
+
+
 # 9
 
 
