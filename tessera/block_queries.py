@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.operators import blockinfo as I, matrices as M, varblocks as V
+from tessera.operators import blockinfo as I, matrices as M, orders as O, varblocks as V
 from tessera.queries import fx, query
 from tessera.sources.grids import fixed, table
 
@@ -175,3 +175,24 @@ def _(spark, d):
     blocks = table(spark, d, "embeddings").select(F.col("vec_id").alias("block"), F.expr(_MIXED).cast("int").alias("kind"), F.floor(F.col("vec_id") / 64).alias("channel"), coefficients.alias("v")).withColumn("channel", F.col("channel") % 3)
     found = M.dequantised(blocks, made).select("block", "kind", "channel", F.posexplode("v").alias("n", "v"))
     return found.select("block", "kind", "channel", F.col("n").cast("long").alias("n"), fixed(F.col("v")).alias("v"))
+
+
+_SHAPES = ", ".join(f"({k}, {h}, {w})" for k, (h, w) in enumerate(O.SHAPES))
+
+
+@query(
+    "coefficient_orders",
+    f"""WITH shapes(order_id, h, w) AS (VALUES {_SHAPES}),
+cells AS (SELECT order_id, h, w, n, n // w AS y, n % w AS x, n % w + (n // w) * (w // h) AS line FROM shapes, unnest(range(h * w)) t(n)),
+o AS (SELECT order_id, y, x, row_number() OVER (PARTITION BY order_id ORDER BY CASE WHEN y < h // 8 AND x < w // 8 THEN n - 100000 ELSE line END, CASE WHEN line % 2 = 0 THEN x ELSE -x END) - 1 AS place FROM cells),
+e AS (SELECT vec_id AS block, vec_id % 13 AS order_id, vec_id % 3 AS channel, place, embedding[place + 1]::DOUBLE AS v FROM embeddings, unnest(range(64)) t(place))
+SELECT block, CAST(e.order_id AS INT) AS order_id, CAST(channel AS INT) AS channel, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, {fx("v")} AS v
+FROM e JOIN o ON o.order_id = e.order_id AND o.place = CASE WHEN channel = 1 THEN xor(e.place, 1) ELSE e.place END""",
+)
+def _(spark, d):
+    """The first 64 coefficients of blocks of all shapes, laid out by coded orders: channel 1 swaps neighbours."""
+    natural = O.natural_orders(spark)
+    swapped = natural.select("order_id", F.lit(1).alias("channel"), "place", F.col("place").bitwiseXOR(F.lit(1)).alias("source"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("block"), (F.col("vec_id") % 13).cast("int").alias("order_id"), (F.col("vec_id") % 3).cast("int").alias("channel"), F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 64)).alias("place", "v"))
+    found = O.placed(e.withColumn("place", F.col("place").cast("long")), O.coded_orders(natural, swapped))
+    return found.select("block", "order_id", "channel", "y", "x", fixed(F.col("v")).alias("v"))
