@@ -20,15 +20,19 @@ Missing samples of a frame are 0, those of a reference leave the base as it is.
 that nothing was saved to is a canvas of zeros.  Images without frames give no row; frames of unknown images are dropped.
 """
 
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.bits import zigzag
+from tessera.sources.grids import large
 
 TILE, SLOTS = 128, 4
+WRITTEN = 1 << 16  #: samples that are written at a time
 OUT = "image {image}, {layer}c int, y long, x long, v double"
 
 
@@ -101,6 +105,13 @@ def packed(samples: DataFrame, layer: str, size: int) -> DataFrame:
     return at.groupBy("image", layer, "ty", "tx").agg(F.collect_list(cell).alias("cells"))
 
 
+@lru_cache(64)
+def places(shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Channel, row and column of each sample of an array."""
+    c, y, x = np.indices(shape).reshape(3, -1)
+    return c.astype(np.int32), y, x
+
+
 def folded(layers: DataFrame, layer: str, fold, size: int, out_layer: str | None = None) -> DataFrame:
     """layers: a row for each layer and tile with the image's columns and `cells`; fold(tile) is a generator that gets
     rows as dicts with the arrays `new` and `there` (channels x rows x columns) and gives arrays to write out, or None."""
@@ -109,32 +120,43 @@ def folded(layers: DataFrame, layer: str, fold, size: int, out_layer: str | None
     names = ["image", *([out_layer] if out_layer else []), "c", "y", "x", "v"]
     types = [layers.schema["image"].dataType, *([layers.schema[layer].dataType] if out_layer else [])]
 
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_type
+    def table(made: list) -> pa.RecordBatch:
+        """The arrays (image, layer, ty, tx, array) as samples."""
+        sizes = [found.size for *_, found in made]
+        own = pa.array(np.repeat(np.arange(len(made), dtype=np.int32), sizes))
+        heads = [pa.array([m[k] for m in made], to_arrow_type(t)).take(own) for k, t in enumerate(types)]
+        c, y, x = (np.concatenate(v) for v in zip(*(places(m[-1].shape) for m in made)))
+        ty, tx = (np.repeat([m[k] * size for m in made], sizes) for k in (2, 3))
+        return pa.RecordBatch.from_arrays([*heads, pa.array(c), pa.array(y + ty), pa.array(x + tx), pa.array(np.concatenate([m[-1].reshape(-1) for m in made]))], names)
 
-        at, own = None, None
+    def run(batches):
+        at, own, made, held = None, None, [], 0
         for batch in batches:
-            cells, rest = batch.column(batch.schema.get_field_index("cells")), batch.drop_columns(["cells"])
-            for k in range(batch.num_rows):
-                row = rest.slice(k, 1).to_pylist()[0]
+            cells, rows = batch.column(batch.schema.get_field_index("cells")), batch.drop_columns(["cells"]).to_pylist()
+            there, ends = cells.is_valid().to_numpy(zero_copy_only=False), cells.offsets.to_numpy()
+            columns = [cells.values.field(n).to_numpy(zero_copy_only=False) for n in ("c", "y", "x", "v")]
+            for k, row in enumerate(rows):
                 key = row["image"], row["ty"], row["tx"]
                 if key != at:
                     at, own = key, fold(row)
                     next(own)
-                height, width = min(size, row["height_"] - row["ty"] * size), min(size, row["width_"] - row["tx"] * size)
-                new, there = np.zeros((row["channels_"], height, width)), np.zeros((row["channels_"], height, width), bool)
-                if cells[k].is_valid:
-                    flat = cells[k].values
-                    c, y, x, v = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("c", "y", "x", "v"))
-                    good = (c >= 0) & (c < row["channels_"])
-                    place = c[good], y[good] - row["ty"] * size, x[good] - row["tx"] * size
-                    new[place], there[place] = v[good], True
-                found = own.send(row | {"new": new, "there": there})
+                top, left = row["ty"] * size, row["tx"] * size
+                shape = row["channels_"], min(size, row["height_"] - top), min(size, row["width_"] - left)
+                row["new"], row["there"] = np.zeros(shape), np.zeros(shape, bool)
+                if there[k]:
+                    c, y, x, v = (column[ends[k] : ends[k + 1]] for column in columns)
+                    good = (c >= 0) & (c < shape[0])
+                    place = c[good], y[good] - top, x[good] - left
+                    row["new"][place], row["there"][place] = v[good], True
+                found = own.send(row)
                 if found is not None:
-                    c, y, x = np.indices(found.shape).reshape(3, -1)
-                    values = [pa.array(c.astype(np.int32)), pa.array(y + row["ty"] * size), pa.array(x + row["tx"] * size), pa.array(found.reshape(-1))]
-                    keys = [row["image"], *([row[layer]] if out_layer else [])]
-                    yield pa.RecordBatch.from_arrays([*(pa.repeat(pa.scalar(v, to_arrow_type(t)), found.size) for v, t in zip(keys, types)), *values], names)
+                    made.append((row["image"], row[layer], row["ty"], row["tx"], found))
+                    held += found.size
+                    if held >= WRITTEN:
+                        yield table(made)
+                        made, held = [], 0
+        if made:
+            yield table(made)
 
     dealt = layers.repartition("image", "ty", "tx").sortWithinPartitions("image", "ty", "tx", layer)
     return dealt.mapInArrow(run, schema)
@@ -164,11 +186,11 @@ def compose(frames: DataFrame, samples: DataFrame, images: DataFrame, size: int
     slot save_as.  Frames that are no normal ones, and those that replace the whole canvas, are taken as they are."""
     canvas = canvas_of(images)
     info = frames.select("image", "frame_idx", "kind", F.col("y0").cast("long").alias("y0"), F.col("x0").cast("long").alias("x0"), F.col("height").cast("long").alias("h_"), F.col("width").cast("long").alias("w_"), "duration", "is_last", "save_as", "blending")
-    info = info.join(canvas, "image").withColumn("channels_", F.col("colours") + F.size("blending") - 1)
-    placed = samples.join(info.select("image", "frame_idx", "y0", "x0", "h_", "w_", "height_", "width_"), ["image", "frame_idx"])
+    info = info.join(large(canvas), "image").withColumn("channels_", F.col("colours") + F.size("blending") - 1)
+    placed = samples.join(large(info.select("image", "frame_idx", "y0", "x0", "h_", "w_", "height_", "width_")), ["image", "frame_idx"])
     placed = placed.where(inside("h_", "w_")).withColumns({"y": F.col("y") + F.col("y0"), "x": F.col("x") + F.col("x0")}).where(inside())
     tiles = tiles_of(images.select("image", "height", "width"), size).select("image", "ty", "tx")
-    layers = info.join(tiles, "image").join(packed(placed.select("image", "frame_idx", "c", "y", "x", "v"), "frame_idx", size), ["image", "frame_idx", "ty", "tx"], "left")
+    layers = info.join(large(tiles), "image").join(large(packed(placed.select("image", "frame_idx", "c", "y", "x", "v"), "frame_idx", size)), ["image", "frame_idx", "ty", "tx"], "left")
 
     def fold(first: dict):
         slots: list = [None] * SLOTS

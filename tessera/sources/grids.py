@@ -16,6 +16,12 @@ def div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
 
 
+def large(rows: DataFrame) -> DataFrame:
+    """rows to be joined by sorting: they grow with the input.  Spark guesses their size by the compressed file behind them, which may be
+    below the limit of a broadcast where the rows themselves, sent through the driver, are beyond its memory."""
+    return rows.hint("merge")
+
+
 def orders_grid(spark: SparkSession, sf_dir: str, width: int = 125) -> DataFrame:
     """y, x, v: an 8-bit channel."""
     k = F.col("o_orderkey")

@@ -162,3 +162,19 @@ def test_targets_are_running_sums(spark):
     rows = [("a", 0, 0, 10, 20), ("a", 0, 1, 3, 4), ("a", 0, 2, 0, 1), ("a", 1, 0, 7, 8), ("b", 0, 5, 1, 1)]
     found = C.patch_targets(spark.createDataFrame(rows, "image string, patch int, target int, y long, x long"))
     assert {(r.image, r.patch, r.target): (r.y, r.x) for r in found.collect()} == {("a", 0, 0): (10, 20), ("a", 0, 1): (8, 22), ("a", 0, 2): (8, 21), ("a", 1, 0): (7, 8), ("b", 0, 5): (1, 1)}
+
+
+def select(spark, columns):
+    spark.range(3).createOrReplaceTempView("three")
+    return spark.sql(f"SELECT {columns} FROM three")
+
+
+def broadcasts(df):
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frames_are_not_sent_through_the_driver(spark):
+    """The tables of a small file may be large; every join is one by sorting."""
+    images = select(spark, "id AS image, 2L AS height, 2L AS width, 1 AS colours, array(true) AS associated")
+    frames = select(spark, "id AS image, id AS frame_idx, 'normal' AS kind, id AS y0, 0L AS x0, 2L AS height, 2L AS width, 1 AS duration, true AS is_last, 0 AS save_as, array(named_struct('mode', 'replace', 'source', 0, 'alpha', 0, 'clamp', false)) AS blending")
+    assert not broadcasts(C.compose(frames, select(spark, "id AS image, id AS frame_idx, id AS c, id AS y, id AS x, 0.5D AS v"), images))
