@@ -244,13 +244,13 @@ def patched(samples: DataFrame, patches: DataFrame, references: DataFrame, image
     spread = patches.select("image", "idx", "ref", "y0", "x0", "y", "x", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("dy"))
     spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("dx"))
     pixels = spread.select("image", "idx", "ref", (F.col("y0") + F.col("dy")).cast("long").alias("ry"), (F.col("x0") + F.col("dx")).cast("long").alias("rx"), (F.col("y") + F.col("dy")).cast("long").alias("y"), (F.col("x") + F.col("dx")).cast("long").alias("x"))
-    pixels = pixels.join(canvas, "image").where(inside())
-    found = references.select("image", "ref", F.col("y").cast("long").alias("ry"), F.col("x").cast("long").alias("rx"), "c", "v").join(pixels, ["image", "ref", "ry", "rx"])
-    base = samples.select("image", F.lit(-1).cast("long").alias("idx"), "c", "y", "x", "v").join(canvas, "image").where(inside())
+    pixels = pixels.join(large(canvas), "image").where(inside())
+    found = references.select("image", "ref", F.col("y").cast("long").alias("ry"), F.col("x").cast("long").alias("rx"), "c", "v").join(large(pixels), ["image", "ref", "ry", "rx"])
+    base = samples.select("image", F.lit(-1).cast("long").alias("idx"), "c", "y", "x", "v").join(large(canvas), "image").where(inside())
     columns = ["image", F.col("idx").cast("long").alias("idx"), "c", "y", "x", "v"]
     cells = packed(found.select(columns).unionByName(base.select(columns)), "idx", size)
     channels = samples.groupBy("image").agg((F.max("c") + 1).cast("int").alias("channels_"))
-    layers = cells.join(patches.select("image", F.col("idx").cast("long").alias("idx"), "blending"), ["image", "idx"], "left").join(canvas.join(channels, "image"), "image")
+    layers = cells.join(large(patches.select("image", F.col("idx").cast("long").alias("idx"), "blending")), ["image", "idx"], "left").join(large(canvas.join(large(channels), "image")), "image")
     last = F.lead("idx").over(Window.partitionBy("image", "ty", "tx").orderBy("idx")).isNull()
     layers = layers.select("*", last.alias("last_"))
 

@@ -178,3 +178,10 @@ def test_frames_are_not_sent_through_the_driver(spark):
     images = select(spark, "id AS image, 2L AS height, 2L AS width, 1 AS colours, array(true) AS associated")
     frames = select(spark, "id AS image, id AS frame_idx, 'normal' AS kind, id AS y0, 0L AS x0, 2L AS height, 2L AS width, 1 AS duration, true AS is_last, 0 AS save_as, array(named_struct('mode', 'replace', 'source', 0, 'alpha', 0, 'clamp', false)) AS blending")
     assert not broadcasts(C.compose(frames, select(spark, "id AS image, id AS frame_idx, id AS c, id AS y, id AS x, 0.5D AS v"), images))
+
+
+def test_patches_are_not_sent_through_the_driver(spark):
+    images = select(spark, "id AS image, 2L AS height, 2L AS width, 1 AS colours, array(true) AS associated")
+    samples = select(spark, "id AS image, id AS c, id AS y, id AS x, 0.5D AS v")
+    patches = select(spark, "id AS image, id AS idx, id AS ref, 0 AS y0, 0 AS x0, 1 AS height, 2 AS width, id AS y, 0L AS x, array(named_struct('mode', 'add', 'alpha', 0, 'clamp', false)) AS blending")
+    assert not broadcasts(C.patched(samples, patches, samples.selectExpr("image", "image AS ref", "c", "y", "x", "v"), images))
