@@ -383,7 +383,8 @@ s AS (SELECT c.image, c.y, c.x, sum(w * n.v) AS v, min(n.v) AS least_v, max(n.v)
 SELECT image, y, x, CAST(floor(greatest(least(v, most_v), least_v) * 100 + 0.5) AS BIGINT) AS v FROM s""",
 )
 def _(spark, d):
-    return tiles.upsample(images(spark, d), ("v",), keys=("image",)).withColumn("v", F.floor(F.col("v") * 100 + 0.5))
+    # whole samples by weights of eight decimals: rounded exactly, as a decimal, since a double may fall on the other side of a half
+    return tiles.upsample(images(spark, d), ("v",), keys=("image",)).withColumn("v", F.expr("CAST(floor(TRY_CAST(v AS DECIMAL(20, 8)) * 100 + 0.5BD) AS BIGINT)"))
 
 
 @query(

@@ -267,3 +267,25 @@ def test_tone_map_to_each_images_peak(spark):
             assert got[tuple(r)[:3]] == pytest.approx(tuple(r)[3:])
     brightest = max(sum(w * v for w, v in zip(luma, got[r[:3]])) for r in rows if r[0] == 1)
     assert brightest == pytest.approx(1.0, abs=1e-3)  # the display's own brightest
+
+
+def test_upsampled_halves_are_rounded_as_in_sql(spark, tmp_path):
+    """150 surroundings of 5 x 5 whose first sample makes the sum by decimal weights end in half a hundredth exactly."""
+    import duckdb
+    import numpy as np
+    import pandas as pd
+
+    import __spark_entry__ as entry
+    from tessera.operators import tiles
+
+    weights = np.rint(tiles.upsampling_kernels(2, tiles.UP2)[0, 0].reshape(-1) * 1e8).astype(np.int64)
+    at = int(np.flatnonzero(np.gcd(weights, 10) == 1)[0])
+    near = np.random.default_rng(3).integers(0, 500_000, (150, 25))
+    near[:, at] = 0
+    near[:, at] = (500_000 - near @ weights) * pow(int(weights[at]), -1, 1_000_000) % 1_000_000
+    image = near.reshape(6, 25, 5, 5).transpose(0, 2, 1, 3).reshape(-1)
+    pd.DataFrame({"o_orderkey": np.arange(image.size), "o_custkey": 0, "o_totalprice": image.astype(float)}).to_parquet(tmp_path / "orders.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    expected = {tuple(r) for r in connection.execute(entry.oracle_sql()["upsample2"]).fetchall()}
+    assert {tuple(r) for r in entry.queries()["upsample2"](spark, str(tmp_path)).collect()} == expected
