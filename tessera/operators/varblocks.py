@@ -18,7 +18,7 @@ CELLS = (
     (1, 1), (1, 1), (1, 1), (1, 1), (8, 8), (8, 4), (4, 8), (16, 16), (16, 8), (8, 16), (32, 32), (32, 16), (16, 32),
 )
 DCT8, HORNUSS, DCT2, DCT4, DCT4X8, DCT8X4, AFV = 0, 1, 2, 3, 12, 13, (14, 15, 16, 17)
-MOST = 1 << 24  #: samples that go through one product at a time
+MOST = 1 << 20  #: samples that are made and given back at a time
 
 
 @lru_cache
@@ -152,6 +152,13 @@ def samples_of(kind: int, coefficients: np.ndarray, lf: np.ndarray | None = None
     return SPECIAL.get(kind, inverse)(c)
 
 
+def pieces(kinds: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows with MOST samples at most, and one block more."""
+    area = np.array([64 * h * w for h, w in CELLS] + [0])
+    edges = [0, *(np.flatnonzero(np.diff(np.cumsum(area[kinds]) // MOST)) + 1).tolist(), len(kinds)]
+    return list(zip(edges, edges[1:]))
+
+
 def transformed(blocks: DataFrame, kind: str = "kind", coefficients: str = "v", lf: str | None = None) -> DataFrame:
     """Blocks with samples in place of their coefficients; lf: an array column with the means of each block's cells.
 
@@ -169,21 +176,25 @@ def transformed(blocks: DataFrame, kind: str = "kind", coefficients: str = "v",
 
     def run(batches):
         for batch in batches:
-            column = lambda c: batch.column(batch.schema.get_field_index(c))
-            values, means = column(coefficients), column(lf) if lf else None
-            there = values.is_valid() if means is None else pa.compute.and_(values.is_valid(), means.is_valid())
-            kinds = np.where(there.to_numpy(zero_copy_only=False), column(kind).cast(pa.int64()).fill_null(-1).to_numpy(), -1)
-            found: list = [None] * batch.num_rows
-            for k in range(len(CELLS)):
-                h, w = CELLS[k]
-                own = np.flatnonzero(kinds == k)
-                for rows in np.array_split(own, -(-len(own) * 64 * h * w // MOST) or 1):
-                    if len(rows):
-                        c = filled(values, rows, 64 * h * w).reshape(-1, 8 * h, 8 * w)
-                        s = samples_of(k, c, None if means is None else filled(means, rows, h * w).reshape(-1, h, w))
-                        for r, x in zip(rows.tolist(), s.reshape(len(rows), -1)):
-                            found[r] = x
-            yield pa.RecordBatch.from_arrays([*(column(f.name) for f in kept), pa.array(found, pa.list_(pa.float64()))], schema.names)
+            kinds = batch.column(batch.schema.get_field_index(kind)).cast(pa.int64()).fill_null(-1).to_numpy()
+            kinds = np.where((kinds >= 0) & (kinds < len(CELLS)), kinds, -1)
+            for start, stop in pieces(kinds):
+                yield made(batch.slice(start, stop - start), kinds[start:stop])
+
+    def made(batch: pa.RecordBatch, kinds: np.ndarray) -> pa.RecordBatch:
+        column = lambda c: batch.column(batch.schema.get_field_index(c))
+        values, means = column(coefficients), column(lf) if lf else None
+        there = values.is_valid() if means is None else pa.compute.and_(values.is_valid(), means.is_valid())
+        kinds = np.where(there.to_numpy(zero_copy_only=False), kinds, -1)
+        found: list = [None] * batch.num_rows
+        for k in np.unique(kinds[kinds >= 0]).tolist():
+            h, w = CELLS[k]
+            rows = np.flatnonzero(kinds == k)
+            c = filled(values, rows, 64 * h * w).reshape(-1, 8 * h, 8 * w)
+            s = samples_of(k, c, None if means is None else filled(means, rows, h * w).reshape(-1, h, w))
+            for r, x in zip(rows.tolist(), s.reshape(len(rows), -1)):
+                found[r] = x
+        return pa.RecordBatch.from_arrays([*(column(f.name) for f in kept), pa.array(found, pa.list_(pa.float64()))], schema.names)
 
     return blocks.withColumn(coefficients, F.col(coefficients).cast("array<double>")).mapInArrow(run, schema)
 

@@ -106,3 +106,10 @@ def test_all_kinds_in_one_plan(spark):
     assert V.transformed(blocks.where("false"), lf="lf").count() == 0
     samples = V.placed(V.transformed(blocks.where("kind = 6 AND image = 'image0'"), lf="lf").withColumns({"top": F.lit(16), "left": F.lit(8)}), y0="top", x0="left")
     assert {(r.y, r.x): r.v for r in samples.collect()} == {(16 + k // 8, 8 + k % 8): v for k, v in enumerate(got["image0", 6])}
+
+
+def test_samples_are_given_back_in_bounded_pieces():
+    kinds = np.array([24, -1, 0] * 100)  # 100 blocks of 65,536 samples
+    found = V.pieces(kinds)
+    assert [a for a, _ in found[1:]] == [b for _, b in found[:-1]] and (found[0][0], found[-1][1]) == (0, 300)
+    assert max((kinds[a:b] == 24).sum() for a, b in found) <= 17
