@@ -1,6 +1,7 @@
 """Move-to-front lists against one list that is changed token by token."""
 
 import random
+import re
 
 import pytest
 
@@ -34,3 +35,10 @@ def test_blocks_and_levels(spark, block, fan, symbols):
 def test_clusters_without_holes(spark):
     table = spark.createDataFrame([("a", 0), ("a", 1), ("a", 1), ("b", 0), ("b", 2), ("c", 1)], "owner string, v int")
     assert {tuple(r) for r in M.is_dense(table).collect()} == {("a", 2, True), ("b", 3, False), ("c", 2, False)}
+
+
+def test_blocks_follow_each_other_in_a_stream(spark):
+    """Short blocks are not a call of Python each."""
+    table = spark.range(100).selectExpr("id % 3 AS owner", "id AS place", "id % 7 AS v")
+    plan = M.undone(table, block=16, fan=4)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"(?<!\w)MapInArrow", plan) and not re.search(r"FlatMapGroupsInArrow \[owner#\d+, block", plan)
