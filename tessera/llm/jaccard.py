@@ -20,7 +20,9 @@ Equal sets are one node.  The hub of a posting list is the member with the small
 A hub's star has the members of all its lists, each verified against the hub; links are contracted to
 components.  What is left are pairs of one star in different components, and two bounds
 drop most before they are made: sets share no more shingles than either shares with any other set, and
-no more than the lesser overlap with the hub and the lesser number of shared shingles beside the hub.
+no more than they share of the hub's and beside the hub's.  Each member has two masks, bits by hash: of the hub's shingles
+that it lacks, and of its own that the hub lacks.  Of what one shares with the hub, the other lacks one at least for each bit that
+only its mask has, and likewise of what one has beside the hub, so that near copies with different edits are told apart without being paired.
 All other pairs are verified, so the components are exact.  While too many pairs would have to be compared with the
 bounds (PAIRS_A_NODE for each node), rounds with other hubs come first as long as they find links (HUB_ROUNDS at most).
 If there are still too many, as where many texts share fragments without linking, pairs of a star give way to pairs that
@@ -42,6 +44,8 @@ from .textkernel import mix, shingle_sets, words
 
 MOST_HEAVY, LOCAL_HEAVY, LOCAL_TOKENS, PACK_TOKENS = 1 << 18, 3, 1_000_000, 250_000
 HUB_ROUNDS, PAIRS_A_NODE, FEW_LINKS = 16, 512, 0.02
+MASK = 16  #: words of 64 bits of a mask; a member of a star has one of its hub's shingles that it lacks and one of its own that the hub lacks
+FAR_HUB = 4  #: members are held against a hub of at most so many times their shingles (4/3 at least)
 STAR_SALTS = 16  #: a large star's members are dealt to so many tasks; the few outside the hub's component go to all of them
 
 
@@ -276,17 +280,30 @@ def signed(rows: DataFrame, places: int) -> DataFrame:
     return at_places(rows, places, finish, "node long, n long, s long, keys array<long>")
 
 
+def mask_of(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each token, by hash: MASK words."""
+    bits = np.zeros(64 * MASK, np.uint8)
+    bits[mix(tokens) % np.uint64(64 * MASK)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with o, the number of shingles that both sets have."""
+    """pairs (a, b) with o, the number of shingles that both sets have, and `masks`: of those of a that b lacks, then of those of b that a lacks."""
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
 
     def run(batches):
         for batch in batches:
             x, y = ([np.frombuffer(v.as_buffer(), "<u8") for v in batch.column(i)] for i in (2, 3))
-            o = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(o, pa.int64())], ["a", "b", "o"])
+            o, masks = [], [np.zeros(0, "<i8")]
+            for p, q in zip(x, y):
+                shared = np.intersect1d(p, q, assume_unique=True)
+                o.append(len(shared))
+                masks += (mask_of(np.setdiff1d(v, shared, assume_unique=True)) for v in (p, q))
+            masks = np.concatenate(masks)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(masks) + 1, 2 * MASK, dtype=np.int32)), pa.array(masks))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(o, pa.int64()), lists], ["a", "b", "o", "masks"])
 
-    return both.select("a", "b", "own_a", "own_b").mapInArrow(lambda batches: giving_back(run(batches)), "a long, b long, o long")
+    return both.select("a", "b", "own_a", "own_b").mapInArrow(lambda batches: giving_back(run(batches)), "a long, b long, o long, masks array<long>")
 
 
 def set_bytes(texts: DataFrame) -> DataFrame:
@@ -330,7 +347,7 @@ def with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def bounded_pairs(stars: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of stars (hub, node, n, s, o, q, comp, hub_comp): the members outside the hub's component, and the
+    """Of stars (hub, node, n, s, o, q, masks, comp, hub_comp): the members outside the hub's component, and the
     members that one of those could link with (o: overlap with the hub, q: shared shingles beside it; both at most)."""
     x = stars.where("comp != hub_comp")
     reach = x.groupBy("hub").agg(F.max("o").alias("most_o"), F.max("q").alias("most_q"), F.min("n").alias("least_n"), F.count(F.lit(1)).alias("others"))
@@ -338,11 +355,19 @@ def bounded_pairs(stars: DataFrame) -> tuple[DataFrame, DataFrame]:
     return x, y
 
 
+def shared_most() -> Column:
+    """How many shingles two members of a star share, at most, by their masks; null if one was not held against the hub."""
+    alone = lambda c, d, at: sum(F.bit_count(F.get(c, k).bitwiseAND(F.bitwise_not(F.get(d, k)))) for k in range(at, at + MASK))
+    of_hub = F.least(F.col("ox") - alone("masksy", "masksx", 0), F.col("oy") - alone("masksx", "masksy", 0))
+    beside = F.least("qx", "qy", F.col("nx") - F.col("ox") - alone("masksx", "masksy", MASK), F.col("ny") - F.col("oy") - alone("masksy", "masksx", MASK))
+    return of_hub + beside
+
+
 def other_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     """(a, b) of one star and different components that the bounds leave."""
-    x, y = (t.select("hub", *(F.col(c).alias(c + side) for c in ("node", "n", "s", "o", "q", "comp")), (F.col("comp") != F.col("hub_comp")).alias("out" + side)) for t, side in ((x, "x"), (y, "y")))
+    x, y = (t.select("hub", *(F.col(c).alias(c + side) for c in ("node", "n", "s", "o", "q", "masks", "comp")), (F.col("comp") != F.col("hub_comp")).alias("out" + side)) for t, side in ((x, "x"), (y, "y")))
     both = 3 * (F.col("nx") + F.col("ny"))
-    fits = (F.col("compx") != F.col("compy")) & (~F.col("outy") | (F.col("nodex") < F.col("nodey"))) & sizes_fit() & (7 * F.least("sx", "sy") >= both) & (7 * (F.least("ox", "oy") + F.least("qx", "qy")) >= both)
+    fits = (F.col("compx") != F.col("compy")) & (~F.col("outy") | (F.col("nodex") < F.col("nodey"))) & sizes_fit() & (7 * F.least("sx", "sy") >= both) & (7 * (F.least("ox", "oy") + F.least("qx", "qy")) >= both) & F.coalesce(7 * shared_most() >= both, F.lit(True))
     x, y = x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(STAR_SALTS - 1)))), y.withColumn("salt", F.pmod(F.xxhash64("nodey"), F.lit(STAR_SALTS)).cast("int"))
     return x.join(y, (x["hub"] == y["hub"]) & (x["salt"] == y["salt"]) & fits).select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
 
@@ -374,9 +399,10 @@ def members_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         sizes = overlaps(pairs, sets).join(info.select(F.col("node").alias("a"), "n"), "a").join(info.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
         return sizes.where(link).select("a", "b")
 
-    pairs = could_link(stars.withColumns({"comp": F.col("node"), "hub_comp": F.col("hub")}))
+    # members that cannot link with the hub are held against it, too, for the bounds; much smaller ones are not, for the hub's set moves with each
+    pairs = stars.where(F.col("hub_n") <= FAR_HUB * F.col("n")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     known = written(overlaps(pairs, sets), "overlaps")
-    found = stars.join(known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "o"), ["hub", "node"], "left")
+    found = stars.join(known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "o", "masks"), ["hub", "node"], "left")
     found = found.withColumn("q", F.col("s") - F.coalesce("o", F.lit(0))).withColumn("verified", F.coalesce("o", F.lit(-1))).withColumn("o", F.coalesce("o", F.least("n", "hub_n", "s", "hub_s")))
     found = written(found, "stars-verified")
     links = written(found.where(7 * F.col("verified") >= 3 * (F.col("n") + F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")

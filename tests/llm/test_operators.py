@@ -414,6 +414,24 @@ def test_jaccard_brute(spark, monkeypatch, heavy):
         assert (r.n_shingles, r.component_id) == expected[r.doc_id]
 
 
+def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Copies with edits of their own, few of which link: the pairs that are verified are not those of the whole group."""
+    rng = np.random.default_rng(3)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for k in range(150):
+        own = list(base)
+        for at in rng.choice(200, rng.integers(3, 9), replace=False):
+            own[at] = f"e{rng.integers(10**9)}"
+        rows.append((k, " ".join(own)))
+    made, pairs_of = [], jaccard.other_pairs
+    monkeypatch.setattr(jaccard, "other_pairs", lambda x, y: made.append(pairs_of(x, y)) or made[-1])
+    monkeypatch.setattr(jaccard, "discard", lambda *tables: None)  # the pairs are counted afterwards
+    expected = brute.components(rows)
+    for r in jaccard.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (r.n_shingles, r.component_id) == expected[r.doc_id]
+    assert made and made[0].count() <= 3 * len(rows)
+
+
 @pytest.mark.parametrize("long, saving", [(32, 4), (0, 0)])
 def test_jaccard_combinations(spark, monkeypatch, long, saving):
     """Pages of one template that share blocks without linking, groups among them; few pairs, or all lists extended to the end."""
