@@ -8,8 +8,9 @@ Tables:
 * links: image, step, id, residual, horizontal: a step of one channel.  Ids stay with a channel: its position before any step,
   and numbers from there on for the new ones
 
-A channel's samples are rows (image, id, y, x, v).  Every round applies one step of every image in one pass over strips of
-lines; channels that have no part in it go through untouched.  Inverse rounds start with the last step of each image, and a
+A channel's samples are rows (image, id, y, x, v).  Images of WHOLE samples at most take one shuffle for all steps: they come one
+after the other to a task, which holds about HELD samples and treats images of one shape and schedule side by side.  Larger images
+go by rounds.  Every round applies one step of each of these in one pass over strips of lines; channels that have no part in it go through untouched.  Inverse rounds start with the last step of each image, and a
 channel's samples join them when the first step that needs them does, so what is shuffled grows as the image does.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 STRIP = 64
 SMALL = 8  #: the default schedule ends with sides of so many samples at most
 DEEPEST = 30
+WHOLE, HELD = 1 << 19, 1 << 18
 
 
 def default_steps(channels: DataFrame, meta: int = 0) -> DataFrame:
@@ -133,7 +135,111 @@ def unpaired(average: np.ndarray, residual: np.ndarray) -> np.ndarray:
     return out
 
 
-# ---- rounds over all images ----
+# ---- all steps of an image at once ----
+
+
+def _along(v: np.ndarray, flat: bool) -> np.ndarray:
+    """Images (k, y, x) as lines: the axis that is halved comes first."""
+    return np.moveaxis(v, 2 if flat else 1, 0)
+
+
+def _stepped(channels: dict[int, np.ndarray], links: np.ndarray, back: bool) -> None:
+    """All steps on images of one shape and schedule, in place; links: step, id, residual, horizontal."""
+    links = links[np.argsort(links[:, 0], kind="stable")]
+    for _, own, other, flat in (links[::-1] if back else links).tolist():
+        if own not in channels:
+            continue
+        first = _along(channels[own], flat)
+        sides = first.shape[1:]
+        lines = first.reshape(len(first), -1)
+        if back:
+            rest = channels.pop(other, None)
+            made = [unpaired(lines, np.zeros((0, lines.shape[1]), np.int64) if rest is None else _along(rest, flat).reshape(-1, lines.shape[1]))]
+        else:
+            made = paired(lines)
+        for channel, v in zip((own, other), made):
+            channels[channel] = np.moveaxis(v.reshape(-1, *sides), 0, 2 if flat else 1)
+
+
+def _images(table: pa.Table, back: bool):
+    """A batch for each shape and schedule.  table: image, kind, a, b, c, d, by image: links (kind 0: step, id, residual, horizontal)
+    and samples (kind 1: id, y, x, v)."""
+    coded = table.column("image").combine_chunks().dictionary_encode("encode")
+    code, (kind, *rest) = coded.indices.to_numpy(), (table.column(c).to_numpy() for c in ("kind", "a", "b", "c", "d"))
+    rest = np.stack(rest, 1).astype(np.int64)
+    links, linked = rest[kind == 0], code[kind == 0]
+    order = np.lexsort((links[:, 1], links[:, 0], linked))
+    links, linked = links[order], linked[order]
+    cells, of = rest[kind == 1], code[kind == 1]
+    order = np.lexsort((cells[:, 0], of))
+    cells, of = cells[order], of[order]
+    if not len(cells):
+        return
+    start = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (cells[1:, 0] != cells[:-1, 0])]))
+    stop = np.append(start[1:], len(cells))
+    sides = np.maximum.reduceat(cells[:, 1:3], start) + 1
+    edge = np.searchsorted(linked, np.arange(len(coded.dictionary) + 1))
+    first = np.searchsorted(of[start], np.arange(len(coded.dictionary) + 1))
+    alike = {}
+    for k in range(len(coded.dictionary)):
+        a, b = first[k], first[k + 1]
+        if a < b:
+            alike.setdefault((cells[start[a:b], 0].tobytes(), sides[a:b].tobytes(), links[edge[k] : edge[k + 1]].tobytes()), []).append(k)
+    for own in alike.values():
+        own, channels, out = np.array(own), {}, []
+        for j in range(first[own[0] + 1] - first[own[0]]):
+            at = first[own] + j
+            size = stop[at] - start[at]
+            rows = np.repeat(start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            v = np.zeros((len(own), *sides[at[0]]), np.int64)
+            v[np.repeat(np.arange(len(own)), size), cells[rows, 1], cells[rows, 2]] = cells[rows, 3]
+            channels[int(cells[start[at[0]], 0])] = v
+        _stepped(channels, links[edge[own[0]] : edge[own[0] + 1]], back)
+        for channel, v in channels.items():
+            k, y, x = (i.reshape(-1) for i in np.indices(v.shape))
+            out.append((own[k], np.full(len(k), channel, np.int32), y, x, v.reshape(-1)))
+        k, *columns = map(np.concatenate, zip(*out))
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(k)), *map(pa.array, columns)], ["image", "id", "y", "x", "v"])
+
+
+def _whole(samples: DataFrame, links: DataFrame, back: bool) -> DataFrame:
+    """All steps of all images, each image in one task."""
+
+    def run(batches):
+        held, count, most = [], 0, HELD
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count < most:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            code = table.column("image").combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            cut = int(np.searchsorted(code, code[-1]))  # rows come by image, so codes ascend; the last image may go on
+            if cut:
+                yield from _images(table.slice(0, cut), back)
+            held, count = table.slice(cut).to_batches(), len(table) - cut
+            most = max(HELD, 2 * count)
+        if held:
+            yield from _images(pa.Table.from_batches(held), back)
+
+    number = lambda *columns: [F.col(c).cast("long").alias(n) for c, n in zip(columns, "abcd")]
+    rows = links.select("image", F.lit(0).alias("kind"), *number("step", "id", "residual", "horizontal"))
+    rows = rows.unionByName(samples.select("image", F.lit(1).alias("kind"), *number("id", "y", "x", "v")))
+    kind = dict(samples.dtypes)["image"]
+    return rows.repartition("image").sortWithinPartitions("image").mapInArrow(run, f"image {kind}, id int, y long, x long, v long")
+
+
+def _split(samples: DataFrame, links: DataFrame, sizes: DataFrame | None, back: bool, rounds) -> DataFrame:
+    """Images of WHOLE samples at most at once, others by rounds.  sizes: image, n (samples), counted if not given."""
+    sizes = samples.groupBy("image").agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes
+    large = sizes.where(F.col("n") > WHOLE).select("image")
+    if large.isEmpty():
+        return _whole(samples, links, back)
+    small = (t.join(large, "image", "left_anti") for t in (samples, links))
+    return _whole(*small, back).unionByName(rounds(*(t.join(large, "image", "left_semi") for t in (samples, links))))
+
+
+# ---- rounds over large images ----
 
 
 def _round(samples: DataFrame, parts: DataFrame, back: bool) -> DataFrame:
@@ -187,8 +293,18 @@ def _typed(samples: DataFrame) -> DataFrame:
     return samples.select("image", F.col("id").cast("int").alias("id"), *(F.col(c).cast("long").alias(c) for c in "yxv"))
 
 
-def squeezed(samples: DataFrame, links: DataFrame) -> DataFrame:
-    """All steps of all images: samples (image, id, y, x, v) with ids of the first channels to those of all."""
+def squeezed(samples: DataFrame, links: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """All steps of all images: samples (image, id, y, x, v) with ids of the first channels to those of all.
+    sizes: image, n (its samples in all channels), where they are known already."""
+    return _split(samples, links, sizes, False, _squeezed_by_rounds)
+
+
+def unsqueezed(samples: DataFrame, links: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """The inverse: samples of all channels to those of the first ones.  Squeezing leaves sizes (image, n) as they are."""
+    return _split(samples, links, sizes, True, _unsqueezed_by_rounds)
+
+
+def _squeezed_by_rounds(samples: DataFrame, links: DataFrame) -> DataFrame:
     ranked = links.withColumn("rank", F.col("step"))
     rounds = ranked.agg(F.max("rank")).first()[0]  # one number
     out = _typed(samples)
@@ -197,8 +313,7 @@ def squeezed(samples: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def unsqueezed(samples: DataFrame, links: DataFrame) -> DataFrame:
-    """The inverse: samples of all channels to those of the first ones."""
+def _unsqueezed_by_rounds(samples: DataFrame, links: DataFrame) -> DataFrame:
     last = Window.partitionBy("image")
     ranked = links.withColumn("rank", F.max("step").over(last) - F.col("step"))
     rounds = ranked.agg(F.max("rank")).first()[0]  # one number

@@ -33,4 +33,5 @@ def _(spark, d):
     samples = table(spark, d, "orders").select(div(k, 400).alias("image"), F.posexplode(values).alias("id", "v"), div(k % 400, 20).alias("y"), (k % 20).alias("x"))
     channels = samples.groupBy("image", F.col("id").alias("position")).agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")).withColumns({"hshift": F.lit(0), "vshift": F.lit(0)})
     links, _, _ = Q.layout(channels, Q.default_steps(channels))
-    return Q.unsqueezed(Q.squeezed(samples, links), links).withColumnRenamed("id", "c")
+    sizes = channels.groupBy("image").agg(F.sum(F.col("height") * F.col("width")).alias("n"))
+    return Q.unsqueezed(Q.squeezed(samples, links, sizes), links, sizes).withColumnRenamed("id", "c")

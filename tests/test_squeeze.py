@@ -79,3 +79,20 @@ def test_all_images_there_and_back(spark):
     assert {(x.image, x.id): x.n for x in small.groupBy("image", "id").agg(F.count(F.lit(1)).alias("n")).collect()} == sizes
     back = Q.unsqueezed(small, links)
     assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_whole_images_as_by_rounds(spark, monkeypatch):
+    """Many images of few shapes in one shuffle, in small portions, are what rounds make of them; one is too large and goes by rounds."""
+    r = random.Random(2)
+    sizes = {k: [(12, 10), (5, 7)] if k % 3 else [(9, 11), (1, 1)] for k in range(12)} | {12: [(40, 30), (5, 7)]}
+    rows = [(k, i, y, x, r.randrange(-100, 300)) for k, own in sizes.items() for i, (h, w) in enumerate(own) for y in range(h) for x in range(w)]
+    samples = spark.createDataFrame(rows, "image long, id int, y int, x int, v int").repartition(3)
+    links = spark.createDataFrame([(k, *link) for k in sizes for link in ((0, 0, 2, True), (1, 1, 3, False), (1, 2, 4, False)) if k % 4 != 1], "image long, step int, id int, residual int, horizontal boolean")
+    expected = sorted(map(tuple, Q._squeezed_by_rounds(samples, links).collect()))
+    monkeypatch.setattr(Q, "WHOLE", 600)
+    monkeypatch.setattr(Q, "HELD", 300)
+    small = Q.squeezed(samples, links)
+    assert sorted(map(tuple, small.collect())) == expected
+    assert sorted(map(tuple, Q.unsqueezed(small, links).collect())) == sorted(rows)
+    monkeypatch.setattr(Q, "_round", None)  # images that are not too large take no rounds
+    assert Q.squeezed(samples.where("image < 12"), links).count() == sum(x[0] < 12 for x in rows)
