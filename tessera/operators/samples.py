@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.bits import orient, wrap32, zigzag
-from tessera.sources.grids import div
+from tessera.sources.grids import div, large
 
 
 #: What each kind of the reversible colour transform adds to its second and to its third channel.
@@ -91,7 +91,7 @@ def palette(grid: DataFrame, colours: DataFrame, size: int, depth: int = 8, chan
     own = colours.select(*keys, F.col("idx").alias("look"), "c", F.col("v").alias("colour"))
     implicit = deltas.select((-1 - F.col("idx")).alias("look"), "c", shifted.alias("implicit_"))
     if keys:
-        found = spread.withColumn("look", look).join(own, [*keys, "look", "c"], "left").join(implicit, ["look", "c"], "left")
+        found = spread.withColumn("look", look).join(large(own), [*keys, "look", "c"], "left").join(implicit, ["look", "c"], "left")
         colour = F.coalesce("implicit_", "colour")
     else:
         found, colour = spread.withColumn("look", look).join(own.unionAll(implicit), ["look", "c"], "left"), F.col("colour")
@@ -129,7 +129,7 @@ def apply_patches(grid: DataFrame, patches: DataFrame) -> DataFrame:
     """patches (y0, x0, h, w, add): each rectangle's pixels become rows and join by coordinate; several add up."""
     pixels = patches.select("x0", "w", "add", F.explode(F.sequence("y0", F.col("y0") + F.col("h") - 1)).alias("y")).select("y", "add", F.explode(F.sequence("x0", F.col("x0") + F.col("w") - 1)).alias("x"))
     total = pixels.groupBy("y", "x").agg(F.sum("add").alias("add"))
-    return grid.join(total, ["y", "x"], "left").select("y", "x", (F.col("v") + F.coalesce("add", F.lit(0))).alias("v"))
+    return grid.join(large(total), ["y", "x"], "left").select("y", "x", (F.col("v") + F.coalesce("add", F.lit(0))).alias("v"))
 
 
 def oriented(grid: DataFrame, code: int, width: Column | int, height: Column | int) -> DataFrame:

@@ -289,3 +289,11 @@ def test_upsampled_halves_are_rounded_as_in_sql(spark, tmp_path):
     connection.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
     expected = {tuple(r) for r in connection.execute(entry.oracle_sql()["upsample2"]).fetchall()}
     assert {tuple(r) for r in entry.queries()["upsample2"](spark, str(tmp_path)).collect()} == expected
+
+
+def test_joins_with_tables_that_grow_are_sorted(spark, tmp_path):
+    """Patch pixels and the palettes of all images are not broadcast, however small the compressed files behind them."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name in ("patch_apply", "delta_palette_select"):
+        text = plan(QUERIES[name](spark, SF))
+        assert "SortMergeJoin" in text and "BroadcastHashJoin [y" not in text and "BroadcastHashJoin [image" not in text
