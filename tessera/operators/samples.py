@@ -84,7 +84,7 @@ def palette(grid: DataFrame, colours: DataFrame, size: int, depth: int = 8, chan
     i = F.col("v")
     k = i - size
     small = div(div(k, F.pow(F.lit(4), F.col("c")).cast("long")) % 4 * top, 4) + (1 << max(depth - 3, 0))
-    large = div(div(k - 64, F.pow(F.lit(5), F.col("c")).cast("long")) % 5 * top, 4)
+    fives = div(div(k - 64, F.pow(F.lit(5), F.col("c")).cast("long")) % 5 * top, 4)
     delta = (-i - 1) % 143
     look = F.when(i >= 0, i).otherwise(-1 - div(delta + 1, 2))
     shifted = F.col("v") * (1 << max(min(depth, 24) - 8, 0))
@@ -95,7 +95,7 @@ def palette(grid: DataFrame, colours: DataFrame, size: int, depth: int = 8, chan
         colour = F.coalesce("implicit_", "colour")
     else:
         found, colour = spread.withColumn("look", look).join(own.unionAll(implicit), ["look", "c"], "left"), F.col("colour")
-    value = F.when(i < 0, F.when(F.col("c") >= 3, 0).when(delta % 2 == 0, -colour).otherwise(colour)).when(i < size, colour).when(k < 64, small).otherwise(large)
+    value = F.when(i < 0, F.when(F.col("c") >= 3, 0).when(delta % 2 == 0, -colour).otherwise(colour)).when(i < size, colour).when(k < 64, small).otherwise(fives)
     return found.select(*keys, "y", "x", "c", value.alias("v"), *([(i < n_deltas).alias("delta")] if n_deltas is not None else []))
 
 

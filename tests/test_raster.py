@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import frame_queries  # noqa: F401  fills QUERIES
 from tessera.functions import colour
 from tessera.operators import blocks as B, samples as S, stencils as T, tiles
 from tessera.plans.colourplan import BT2100, D65, DCI, P3, SRGB, Encoding, Plan

@@ -75,3 +75,20 @@ def test_palettes_of_several_images(spark):
     assert {(x, c): v for (i, x, c), (v, _) in found.items() if i == 1} == alone and len(found) == 36
     assert {x for (_, x, _), (_, d) in found.items() if d} == {0, 1, 2}
     assert found[0, 2, 1] == (11, True) and found[1, 3, 2] == (122, False)
+
+
+def test_small_images_share_a_wavefront(spark):
+    """Images of several heights and two widths, a few at a time: fewer wavefronts than images, and each as if alone."""
+    rng, rows = np.random.default_rng(4), []
+    for image in range(40):
+        height, width = int(rng.integers(1, 7)), 5 if image % 20 < 10 else 8
+        rows += [(image, 0, y, x, int(rng.integers(-50, 50)), bool(rng.random() < 0.6)) for y in range(height) for x in range(width)]
+    grid = spark.createDataFrame(rows, "image long, c int, y long, x long, v long, delta boolean")
+    alone = R.predicted_deltas(grid, "avg_all", cells=1).collect()
+    assert sorted(map(tuple, R.predicted_deltas(grid, "avg_all").collect())) == sorted(map(tuple, alone)) and len(alone) == len(rows)
+    values, open_ = rng.integers(-50, 50, (6, 5, 4)), rng.random((6, 3, 4)) < 0.6
+    apart = values.copy()
+    for k in range(6):
+        R.filled(apart[k], open_[k], 0, R.PREDICTIONS["avg_all"])
+    R.filled(values, open_, 0, R.PREDICTIONS["avg_all"])
+    assert (values == apart).all()
