@@ -1,20 +1,30 @@
 """Splines: curves through control points, drawn as a row of soft dots one unit of length apart.
 
-All of it is joins, windows and sums: a segment's four points come from a window, its steps from an explosion; where the dots lie follows
-from running sums of lengths, since the k-th dot is k units along the curve; each dot's footprint becomes rows, and rows
-of one sample are added up, partly before the shuffle.  Many splines and images, and many dots on one sample, are one plan.
+A segment's four points come from a window, and with them its cubic; where its dots lie follows from running sums of lengths, since the
+k-th dot is k units along the curve.  Segments are packed, some tens of one spline to a row, and dealt by image; only in a task do they become
+dots and footprints, a bounded number of samples at a time, and what leaves the task are sums by sample, not a row for each sample of each dot.
+Sums of one sample from several tasks are added up by a shuffle.  Many splines and images, and many dots on one sample, are one plan.
 
 Tables: points (keys, k, y, x), keys being image and spline; splines (keys, x_dct, y_dct, b_dct, sigma_dct: arrays of 32 numbers).
 A point that repeats the one before it is dropped.  Splines without points, and points without a spline, draw nothing.
 """
 
 import math
+from functools import reduce
+from operator import add
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-STEPS, POWER = 16, 0.25  #: pieces of a segment, and the power of the squared distance that knots are apart by
+from tessera.sources.grids import large
+
+STEPS = 16  #: pieces of a segment
 WEIGHTS = (0.0042, 0.075, 0.07, 0.3333)  #: of the quantised X, Y, B and sigma (fixed values of the format)
 REACH = 3 * math.log(10)
+PACK, DOTS, CELLS = 64, 1 << 15, 1 << 18  #: segments of one spline in a row; dots, and samples of their footprints, that are made at a time
+KNOTS = np.array([[(j / STEPS) ** k for j in range(STEPS + 1)] for k in (1, 2, 3)])  #: powers of the places where a segment's pieces meet
 
 
 def dequantised(splines: DataFrame, adjust: int = 0, correlation: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
@@ -34,8 +44,8 @@ def _between(a: Column, b: Column, start: Column, stop: Column, at: Column) -> C
     return a + (b - a) * ((at - start) / (stop - start))
 
 
-def upsampled(points: DataFrame, keys: tuple[str, ...] = ("image", "spline")) -> DataFrame:
-    """keys, n, y, x: centripetal curves through the points, STEPS pieces a segment; n counts from 0."""
+def segments(points: DataFrame, keys: tuple[str, ...] = ("image", "spline")) -> DataFrame:
+    """keys, k, i (from 0), y, x, y1 to y3, x1 to x3: each point, and the centripetal curve from it to the next, y + y1 u + y2 u^2 + y3 u^3 for u from 0 to 1; null at the last."""
     order = Window.partitionBy(*keys).orderBy("k")
     own = points.select(*keys, "k", *(F.col(c).cast("double").alias(c) for c in "yx"))
     again = (F.lag("y").over(order) == F.col("y")) & (F.lag("x").over(order) == F.col("x"))
@@ -44,23 +54,43 @@ def upsampled(points: DataFrame, keys: tuple[str, ...] = ("image", "spline")) ->
     def at(c: str, by: int) -> Column:
         return F.lag(c, -by).over(order) if by < 0 else F.lead(c, by).over(order)
 
-    rows = own.select(*keys, (F.row_number().over(order) - 1).alias("i_"), *(v.alias(f"{c}{j}") for c in "yx" for j, v in enumerate((at(c, -1), F.col(c), at(c, 1), at(c, 2)))))
-    ends = {f"{c}0": F.coalesce(f"{c}0", 2 * F.col(f"{c}1") - F.col(f"{c}2")) for c in "yx"} | {f"{c}3": F.coalesce(f"{c}3", 2 * F.col(f"{c}2") - F.col(f"{c}1")) for c in "yx"}
+    rows = own.select(*keys, "k", (F.row_number().over(order) - 1).cast("long").alias("i"), *(v.alias(f"{c}p{j}") for c in "yx" for j, v in enumerate((at(c, -1), F.col(c), at(c, 1), at(c, 2)))))
+    ends = {f"{c}p0": F.coalesce(f"{c}p0", 2 * F.col(f"{c}p1") - F.col(f"{c}p2")) for c in "yx"} | {f"{c}p3": F.coalesce(f"{c}p3", 2 * F.col(f"{c}p2") - F.col(f"{c}p1")) for c in "yx"}
     rows = rows.withColumns(ends)
-    gap = lambda a, b: F.pow((F.col(f"y{a}") - F.col(f"y{b}")) ** 2 + (F.col(f"x{a}") - F.col(f"x{b}")) ** 2, POWER)
-    rows = rows.withColumn("t1", gap(0, 1)).withColumn("t2", F.col("t1") + gap(1, 2)).withColumn("t3", F.col("t2") + gap(2, 3))
-    last = F.col("x2").isNull()  # the last point starts no segment
+    far = lambda j: F.sqrt(F.sqrt((F.col(f"yp{j + 1}") - F.col(f"yp{j}")) ** 2 + (F.col(f"xp{j + 1}") - F.col(f"xp{j}")) ** 2))
+    rows = rows.withColumns({f"g{j}": far(j) for j in range(3)})
+    g = [F.col(f"g{j}") for j in range(3)]
+
+    def slopes(c: str) -> dict[str, Column]:
+        p = [F.col(f"{c}p{j}") for j in range(4)]
+        return {f"{c}in": p[2] - p[1] + (p[1] - p[0]) * (g[1] / g[0]) - (p[2] - p[0]) * (g[1] / (g[0] + g[1])), f"{c}out": p[2] - p[1] + (p[3] - p[2]) * (g[1] / g[2]) - (p[3] - p[1]) * (g[1] / (g[1] + g[2]))}
+
+    def cubic(c: str) -> list[Column]:
+        p1, p2, start, stop = (F.col(f"{c}{j}") for j in ("p1", "p2", "in", "out"))
+        return [p1.alias(c), start.alias(f"{c}1"), (3 * (p2 - p1) - 2 * start - stop).alias(f"{c}2"), (2 * (p1 - p2) + start + stop).alias(f"{c}3")]
+
+    return rows.withColumns(slopes("y") | slopes("x")).select(*keys, "k", "i", *cubic("y"), *cubic("x"))
+
+
+def upsampled(points: DataFrame, keys: tuple[str, ...] = ("image", "spline")) -> DataFrame:
+    """keys, n, y, x: centripetal curves through the points, STEPS pieces a segment; n counts from 0."""
+    rows = segments(points, keys)
+    last = F.col("x1").isNull()  # the last point starts no segment
     rows = rows.withColumn("step_", F.explode(F.when(last, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(STEPS - 1)))))
-    t = (F.lit(0.0), F.col("t1"), F.col("t2"), F.col("t3"))
-    now = t[1] + F.col("step_") / float(STEPS) * (t[2] - t[1])
+    u = F.col("step_") / float(STEPS)
+    curve = lambda c: F.when(F.col("step_") == 0, F.col(c)).otherwise(F.col(c) + u * (F.col(f"{c}1") + u * (F.col(f"{c}2") + u * F.col(f"{c}3"))))
+    return rows.select(*keys, (F.col("i") * STEPS + F.col("step_")).alias("n"), curve("y").alias("y"), curve("x").alias("x"))
 
-    def curve(c: str) -> Column:
-        p = [F.col(f"{c}{j}") for j in range(4)]
-        a = [_between(p[j], p[j + 1], t[j], t[j + 1], now) for j in range(3)]
-        b = [_between(a[j], a[j + 1], t[j], t[j + 2], now) for j in range(2)]
-        return F.when(F.col("step_") == 0, p[1]).otherwise(_between(b[0], b[1], t[1], t[2], now))
 
-    return rows.select(*keys, (F.col("i_") * STEPS + F.col("step_")).cast("long").alias("n"), curve("y").alias("y"), curve("x").alias("x"))
+def measured(points: DataFrame, keys: tuple[str, ...] = ("image", "spline")) -> DataFrame:
+    """segments() with from_ and to_, how far along the pieces' line they begin and end, arc, the length of the whole line, and first_ and last_ of the spline's points."""
+    order = Window.partitionBy(*keys).orderBy("k")
+    move = lambda c, j: reduce(add, (F.col(f"{c}{k}") * float(KNOTS[k - 1, j + 1] - KNOTS[k - 1, j]) for k in (1, 2, 3)))
+    size = reduce(add, (F.sqrt(move("y", j) ** 2 + move("x", j) ** 2) for j in range(STEPS)))
+    rows = segments(points, keys).withColumn("size_", size).withColumn("size_", F.when(F.col("size_") < math.inf, F.col("size_")).otherwise(0.0))
+    rows = rows.withColumn("to_", F.sum("size_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("size_")
+    rows = rows.withColumns({"from_": F.coalesce(F.lag("to_").over(order), F.lit(0.0)), "last_": F.lead("i").over(order).isNull(), "first_": F.col("i") == 0})
+    return rows.withColumn("arc", F.max("to_").over(Window.partitionBy(*keys)))
 
 
 def dots(line: DataFrame, keys: tuple[str, ...] = ("image", "spline")) -> DataFrame:
@@ -80,41 +110,135 @@ def dots(line: DataFrame, keys: tuple[str, ...] = ("image", "spline")) -> DataFr
     return pieces.select(*keys, "arc", F.explode(made).alias("d_")).select(*keys, "d_.dot", "d_.y", "d_.x", "d_.length", "arc")
 
 
-def _wave(coefficients: str, at: Column) -> Column:
-    """The value of 32 cosines at a place from 0 to 31."""
-    terms = F.transform(F.col(coefficients), lambda c, k: F.when(k == 0, c).otherwise(c * (math.sqrt(2) * F.cos(k * (math.pi / 32) * (at + 0.5)))))
-    return F.aggregate(terms, F.lit(0.0), lambda total, v: total + v)
+def _stacked(lists: pa.Array) -> np.ndarray:
+    """A row for each list; zeros follow the shorter ones, and null is NaN."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(size), max(1, size.max(initial=0))))
+    out[np.arange(out.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    out[lists.is_null().to_numpy(zero_copy_only=False)] = np.nan
+    return out
+
+
+def _ranges(counts: np.ndarray, most: int):
+    """What counts[i] items of each i are, `most` at a time: i of each, and its number among its like."""
+    stop = np.cumsum(counts)
+    start = stop - counts
+    for low in range(0, int(stop[-1]) if len(stop) else 0, most):
+        high = min(low + most, int(stop[-1]))
+        a, b = np.searchsorted(stop, (low, high - 1), "right") + (0, 1)
+        own = np.repeat(np.arange(a, b), np.minimum(stop[a:b], high) - np.maximum(start[a:b], low))
+        yield own, np.arange(low, high) - start[own]
 
 
 #: Coefficients of the error function's approximation (fixed values of the format).
 ERF = (0.277820801, 0.232120216, 0.000205260015, 0.0777394369)
 
 
-def erf(v: Column) -> Column:
-    x = F.abs(v)
+def erf(v: np.ndarray) -> np.ndarray:
+    x = np.abs(v)
     below = 1 + x * (ERF[0] + x * (ERF[1] + x * (ERF[2] + x * ERF[3])))
-    return F.signum(v) * (1 - 1 / (below * below * below * below))
-
-
-def footprints(dots_: DataFrame, splines: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ("image", "spline")) -> DataFrame:
-    """image, y, x and what the dots add to each channel there (x_, y_, b_); sizes: image, height, width."""
-    at = 31.0 * F.when(F.col("arc") > 0, F.least(F.lit(1.0), F.col("dot") / F.col("arc"))).otherwise(1.0)
-    lit = dots_.join(splines, list(keys)).join(sizes.select("image", "height", "width"), "image").withColumn("at_", at)
-    lit = lit.withColumns({"sigma": _wave("sigma_dct", F.col("at_")), **{f"{c}_": _wave(f"{c}_dct", F.col("at_")) * F.col("length") for c in "xyb"}})
-    lit = lit.select("image", "height", "width", F.col("y").alias("cy_"), F.col("x").alias("cx_"), "sigma", "x_", "y_", "b_").where("sigma != 0")
-    reach = F.sqrt(2.0 * (REACH + F.greatest(F.lit(0.01), "x_", "y_", "b_"))) * F.abs("sigma")
-    for c, side in (("y", "height"), ("x", "width")):
-        low, high = F.greatest(F.lit(0), F.floor(F.col(f"c{c}_") - reach + 0.5)), F.least(F.col(side).cast("long"), F.floor(F.col(f"c{c}_") + reach + 1.5)) - 1
-        lit = lit.withColumn(c, F.explode(F.when(low <= high, F.sequence(low.cast("long"), high))))  # nothing outside the image
-    far = 0.5 * F.sqrt((F.col("x") - F.col("cx_")) ** 2 + (F.col("y") - F.col("cy_")) ** 2)
+    below *= below
+    return np.copysign(1 - 1 / (below * below), v)
+
+
+def _places(part: dict[str, np.ndarray], most: int):
+    """Dots of segments, `most` at a time: which segment, the dot's number along the spline, y, x, length."""
+    first, last = part["first_"], part["last_"]
+    before, inner = np.floor(part["from_"]), np.floor(part["to_"]) - np.floor(part["from_"])
+    counts = (first + inner + last).astype(np.int64)
+    some = np.flatnonzero(counts)
+    for own, j in _ranges(counts[some], most):
+        low = own[0]
+        seen, at = some[low : own[-1] + 1], own - low
+        seg = some[own]
+        moves = {c: np.stack([part[f"{c}{k}"][seen] for k in (1, 2, 3)], 1) for c in "yx"}
+        steps = {c: m @ np.diff(KNOTS) for c, m in moves.items()}
+        size = np.sqrt(steps["y"] ** 2 + steps["x"] ** 2)
+        upto = np.cumsum(size, 1)
+        dot = before[seg] + 1 + j - first[seg]
+        along = dot - part["from_"][seg]
+        piece = np.minimum((upto[at] < along[:, None]).sum(1), STEPS - 1)
+        whole = size[at, piece]
+        share = np.divide(along - (upto[at, piece] - whole), whole, out=np.zeros(len(own)), where=whole > 0)
+        end = last[seg] & (j == counts[seg] - 1)
+        given = end | (first[seg] & (j == 0))
+        y, x = (np.where(given, part[c][seg], part[c][seg] + (moves[c] @ KNOTS)[at, piece] + steps[c][at, piece] * share) for c in "yx")
+        yield seg, dot, y, x, np.where(end, part["to_"][seg] - np.floor(part["to_"][seg]), 1.0)
+
+
+def _added(image: np.ndarray, low: dict, count: dict, own: np.ndarray, y: np.ndarray, x: np.ndarray, values: list[np.ndarray]):
+    """image, y, x of the samples that footprints reach, and their sums; own: the footprint that each value is of."""
+    a, b = own[0], own[-1] + 1
+    seen, place = np.unique(image[a:b], return_inverse=True)  # a box around what each image has here
+    box = {}
+    for c in "yx":
+        least, beyond = np.full(len(seen), np.iinfo(np.int64).max), np.zeros(len(seen), np.int64)
+        np.minimum.at(least, place, low[c][a:b])
+        np.maximum.at(beyond, place, low[c][a:b] + count[c][a:b])
+        box[c] = least, beyond - least
+    stop = np.cumsum(box["y"][1] * box["x"][1])
+    base = stop - box["y"][1] * box["x"][1] - box["y"][0] * box["x"][1] - box["x"][0]
+    which = place[own - a]
+    cell = base[which] + y * box["x"][1][which] + x
+    if stop[-1] <= 8 * len(own):
+        cells, n = np.flatnonzero(np.bincount(cell)), int(stop[-1])
+        sums = [np.bincount(cell, v, n)[cells] for v in values]
+    else:
+        cells, cell = np.unique(cell, return_inverse=True)
+        sums = [np.bincount(cell, v, len(cells)) for v in values]
+    which = np.searchsorted(stop, cells, "right")
+    y, x = np.divmod(cells - (base + box["y"][0] * box["x"][1] + box["x"][0])[which], box["x"][1][which])
+    return seen[which], y + box["y"][0][which], x + box["x"][0][which], sums
+
+
+def footprints(points: DataFrame, splines: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ("image", "spline"), most_dots: int = DOTS, most: int = CELLS) -> DataFrame:
+    """image, y, x and what the splines' dots add to each channel there (x_, y_, b_); sizes: image, height, width."""
+    own = [*(f"{c}{j}" for c in "yx" for j in ("", 1, 2, 3)), "from_", "to_", "first_", "last_"]
+    packed = measured(points, keys).groupBy(*keys, "arc", F.floor(F.col("i") / PACK).alias("pack_")).agg(F.collect_list(F.struct(*own)).alias("parts"))
+    waves = [f"{c}_dct" for c in ("x", "y", "b", "sigma")]
+    rows = packed.join(large(splines.select(*keys, *(F.col(c).cast("array<double>").alias(c) for c in waves))), list(keys))
+    rows = rows.join(large(sizes.select("image", *(F.col(c).cast("double").alias(c) for c in ("height", "width")))), "image")
+    rows = rows.select("image", "height", "width", "arc", *waves, "parts")
     edge = math.sqrt(0.125)
-    factor = erf((far + edge) / F.col("sigma")) - erf((far - edge) / F.col("sigma"))
-    lit = lit.withColumn("soft_", 0.25 * F.col("sigma") * factor * factor)
-    return lit.groupBy("image", "y", "x").agg(*(F.sum(F.col(f"{c}_") * F.col("soft_")).alias(f"{c}_") for c in "xyb"))
+
+    def run(batches):
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns))
+            images = column["image"].dictionary_encode()
+            code, parts, of = images.indices.to_numpy(), column["parts"].flatten(), pc.list_parent_indices(column["parts"]).to_numpy()
+            arc, *sides = (column[c].to_numpy(zero_copy_only=False) for c in ("arc", "height", "width"))
+            coefficients = [_stacked(column[c]) for c in waves]
+            scale = np.arange(max(c.shape[1] for c in coefficients)) * (math.pi / 32)
+            for seg, dot, cy, cx, length in _places({c: parts.field(c).to_numpy(zero_copy_only=False) for c in own}, most_dots):
+                row = of[seg]
+                at = 31.0 * np.where(arc[row] > 0, np.minimum(1.0, dot / np.where(arc[row] > 0, arc[row], 1.0)), 1.0)
+                basis = math.sqrt(2) * np.cos((at[:, None] + 0.5) * scale)
+                basis[:, 0] = 1.0
+                *values, sigma = (np.einsum("dk,dk->d", basis[:, : c.shape[1]], c[row]) for c in coefficients)
+                values = [v * length for v in values]
+                reach = np.sqrt(2.0 * (REACH + np.maximum(0.01, np.maximum.reduce(values)))) * np.abs(sigma)
+                low, count = {}, {}
+                for c, centre, side in (("y", cy, sides[0]), ("x", cx, sides[1])):
+                    low[c] = np.maximum(0.0, np.floor(centre - reach + 0.5))
+                    count[c] = np.minimum(side[row], np.floor(centre + reach + 1.5)) - low[c]  # nothing outside the image
+                some = np.flatnonzero((count["y"] > 0) & (count["x"] > 0) & (sigma != 0))
+                low, count = ({c: v[some].astype(np.int64) for c, v in d.items()} for d in (low, count))
+                row, cy, cx, sigma, *values = (v[some] for v in (row, cy, cx, sigma, *values))
+                for own_, k in _ranges(count["y"] * count["x"], most):
+                    y, x = np.divmod(k, count["x"][own_])
+                    y, x = y + low["y"][own_], x + low["x"][own_]
+                    far, by = 0.5 * np.sqrt((x - cx[own_]) ** 2 + (y - cy[own_]) ** 2), 1 / np.abs(sigma)[own_]
+                    factor = erf((far + edge) * by) - erf((far - edge) * by)
+                    soft = (0.25 * sigma)[own_] * factor * factor
+                    found, y, x, sums = _added(code[row], low, count, own_, y, x, [v[own_] * soft for v in values])
+                    yield pa.RecordBatch.from_arrays([images.dictionary.take(pa.array(found)), pa.array(y), pa.array(x), *map(pa.array, sums)], ["image", "y", "x", "x_", "y_", "b_"])
+
+    made = rows.mapInArrow(run, f"image {dict(rows.dtypes)['image']}, y long, x long, x_ double, y_ double, b_ double")
+    return made.groupBy("image", "y", "x").agg(*(F.sum(f"{c}_").alias(f"{c}_") for c in "xyb"))
 
 
 def drawn(grid: DataFrame, points: DataFrame, splines: DataFrame, sizes: DataFrame, channels: tuple[str, str, str] = ("x_", "y_", "b_")) -> DataFrame:
     """grid (image, y, x and the channels X, Y, B) with the splines on it."""
-    added = footprints(dots(upsampled(points)), splines, sizes).withColumnsRenamed({"x_": "add_x_", "y_": "add_y_", "b_": "add_b_"})
-    joined = grid.join(added, ["image", "y", "x"], "left")
+    added = footprints(points, splines, sizes).withColumnsRenamed({"x_": "add_x_", "y_": "add_y_", "b_": "add_b_"})
+    joined = grid.join(large(added), ["image", "y", "x"], "left")
     return joined.select("image", "y", "x", *((F.col(c) + F.coalesce(f"add_{k}_", F.lit(0.0))).alias(c) for c, k in zip(channels, "xyb")))

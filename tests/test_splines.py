@@ -126,3 +126,49 @@ def test_dequantised(spark, adjust):
     r, scale = P.dequantised(row, adjust, (0.5, 0.25)).first(), {-8: 2, 0: 1, 8: 0.5}[adjust]
     y = 10 * 0.075 * scale
     assert np.allclose((r.x_dct[0], r.y_dct[31], r.b_dct[7], r.sigma_dct[0]), (0.42 * scale + 0.5 * y, y, -0.35 * scale + 0.25 * y, 0.9999 * scale))
+
+
+SPLINES = "image int, spline int, x_dct array<double>, y_dct array<double>, b_dct array<double>, sigma_dct array<double>"
+
+
+def added(spark, points, splines, sizes, **limits):
+    """What footprints() finds, by image, y and x."""
+    frames = spark.createDataFrame(points, "image int, spline int, k int, y double, x double"), spark.createDataFrame(splines, SPLINES), spark.createDataFrame(sizes, "image int, height int, width int")
+    return {(r.image, r.y, r.x): (r.x_, r.y_, r.b_) for r in P.footprints(*frames, **limits).collect()}
+
+
+def test_no_row_for_each_sample_of_a_dot(spark):
+    """Dots become sums by sample inside a task: nothing is exploded, and nothing that grows is broadcast."""
+    frames = [spark.createDataFrame([], s) for s in ("image int, y long, x long, x_ double, y_ double, b_ double", "image int, spline int, k int, y double, x double", SPLINES, "image int, height int, width int")]
+    plan = P.drawn(*frames)._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("limits", [{}, {"most_dots": 7, "most": 50}])
+def test_long_spline_in_parts(spark, limits):
+    """More points than a packed row holds, many dots on one sample, a second image far wider than what it has on it."""
+    r = random.Random(5)
+    wide = [[r.uniform(-0.6, 0.8) / (k + 1) for k in range(32)] for _ in range(3)] + [[0.7] + [0.0] * 31]
+    walk = [(float(r.randint(-3, 14)), float(r.randint(-3, 14))) for _ in range(2 * P.PACK + 9)]
+    apart = [[(5.0, 4.0), (9.0, 6.0)], [(29990.0, 29980.0), (29999.0, 29999.0)]]
+    points = [(0, 0, k, *p) for k, p in enumerate(walk)] + [(1, i, k, *p) for i, own in enumerate(apart) for k, p in enumerate(own)]
+    found = added(spark, points, [(0, 0, *wide), (1, 0, *wide), (1, 1, *wide)], [(0, 12, 11), (1, 30000, 30000)], **limits)
+    made = plain_drawn(12, 11, [(walk, wide)])
+    near = plain_drawn(20, 20, [(apart[0], wide)])
+    far = plain_drawn(30, 30, [([(y - 29970, x - 29970) for y, x in apart[1]], wide)])
+    expected = {(0, y, x): made[:, y, x] for y, x in np.argwhere(made.any(0)).tolist()} | {(1, y, x): near[:, y, x] for y, x in np.argwhere(near.any(0)).tolist()}
+    expected |= {(1, y + 29970, x + 29970): far[:, y, x] for y, x in np.argwhere(far.any(0)).tolist()}
+    assert found.keys() == expected.keys() and all(np.allclose(found[k], expected[k]) for k in expected)
+
+
+def test_odd_splines(spark):
+    """Points and coefficients that are null or no numbers draw nothing and spoil nothing else; arrays may be of any length."""
+    flat, none, nan = [0.5] + [0.0] * 31, None, float("nan")
+    dot = plain_drawn(9, 9, [([(4.0, 4.0)], [flat] * 4)])
+    points = [(i, 0, 0, 4.0, 4.0) for i in range(6)] + [(0, 0, 1, none, 5.0), (1, 0, 1, nan, 2.0), (6, 0, 0, none, none)]
+    splines = [*((i, 0, *[flat] * 4) for i in (0, 1, 6)), (2, 0, flat, none, flat, flat), (3, 0, flat, flat, flat, [nan] * 32), (4, 0, flat, flat, flat, [0.0] * 32), (5, 0, [0.5], flat, [0.5] + [0.0] * 39, flat)]
+    found = added(spark, points, splines, [(i, 9, 9) for i in range(7)])
+    for image in (0, 1, 5):
+        own = {k[1:]: v for k, v in found.items() if k[0] == image}
+        assert own.keys() == set(map(tuple, np.argwhere(dot.any(0)).tolist())) and all(np.allclose(v, dot[:, y, x]) for (y, x), v in own.items())
+    assert {k[0] for k in found} == {0, 1, 5}
