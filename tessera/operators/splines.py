@@ -23,7 +23,7 @@ from tessera.sources.grids import large
 STEPS = 16  #: pieces of a segment
 WEIGHTS = (0.0042, 0.075, 0.07, 0.3333)  #: of the quantised X, Y, B and sigma (fixed values of the format)
 REACH = 3 * math.log(10)
-PACK, DOTS, CELLS = 64, 1 << 15, 1 << 18  #: segments of one spline in a row; dots, and samples of their footprints, that are made at a time
+PACK, DOTS, CELLS = 64, 1 << 15, 1 << 17  #: segments of one spline in a row; dots, and samples of their footprints, that are made at a time
 KNOTS = np.array([[(j / STEPS) ** k for j in range(STEPS + 1)] for k in (1, 2, 3)])  #: powers of the places where a segment's pieces meet
 
 
@@ -87,7 +87,9 @@ def measured(points: DataFrame, keys: tuple[str, ...] = ("image", "spline")) ->
     order = Window.partitionBy(*keys).orderBy("k")
     move = lambda c, j: reduce(add, (F.col(f"{c}{k}") * float(KNOTS[k - 1, j + 1] - KNOTS[k - 1, j]) for k in (1, 2, 3)))
     size = reduce(add, (F.sqrt(move("y", j) ** 2 + move("x", j) ** 2) for j in range(STEPS)))
-    rows = segments(points, keys).withColumn("size_", size).withColumn("size_", F.when(F.col("size_") < math.inf, F.col("size_")).otherwise(0.0))
+    # never null: with a check for null at each step the generated method would be too long for Java to compile
+    rows = segments(points, keys).withColumns({f"{c}{k}": F.coalesce(f"{c}{k}", F.lit(math.nan)) for c in "yx" for k in (1, 2, 3)})
+    rows = rows.withColumn("size_", size).withColumn("size_", F.when(F.col("size_") < math.inf, F.col("size_")).otherwise(0.0))
     rows = rows.withColumn("to_", F.sum("size_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("size_")
     rows = rows.withColumns({"from_": F.coalesce(F.lag("to_").over(order), F.lit(0.0)), "last_": F.lead("i").over(order).isNull(), "first_": F.col("i") == 0})
     return rows.withColumn("arc", F.max("to_").over(Window.partitionBy(*keys)))
@@ -136,9 +138,16 @@ ERF = (0.277820801, 0.232120216, 0.000205260015, 0.0777394369)
 
 def erf(v: np.ndarray) -> np.ndarray:
     x = np.abs(v)
-    below = 1 + x * (ERF[0] + x * (ERF[1] + x * (ERF[2] + x * ERF[3])))
+    below = x * ERF[3]
+    for c in (*ERF[2::-1], 1.0):  # in place, as the samples are many
+        below += c
+        if c != 1.0:
+            below *= x
     below *= below
-    return np.copysign(1 - 1 / (below * below), v)
+    below *= below
+    np.divide(1.0, below, out=below)
+    np.subtract(1.0, below, out=below)
+    return np.copysign(below, v, out=below)
 
 
 def _places(part: dict[str, np.ndarray], most: int):
@@ -178,11 +187,12 @@ def _added(image: np.ndarray, low: dict, count: dict, own: np.ndarray, y: np.nda
         box[c] = least, beyond - least
     stop = np.cumsum(box["y"][1] * box["x"][1])
     base = stop - box["y"][1] * box["x"][1] - box["y"][0] * box["x"][1] - box["x"][0]
-    which = place[own - a]
-    cell = base[which] + y * box["x"][1][which] + x
+    cell = base[place][own - a] + y * box["x"][1][place][own - a] + x
     if stop[-1] <= 8 * len(own):
-        cells, n = np.flatnonzero(np.bincount(cell)), int(stop[-1])
-        sums = [np.bincount(cell, v, n)[cells] for v in values]
+        reached = np.zeros(stop[-1], bool)
+        reached[cell] = True
+        cells = np.flatnonzero(reached)
+        sums = [np.bincount(cell, v, len(reached))[cells] for v in values]
     else:
         cells, cell = np.unique(cell, return_inverse=True)
         sums = [np.bincount(cell, v, len(cells)) for v in values]
@@ -227,9 +237,12 @@ def footprints(points: DataFrame, splines: DataFrame, sizes: DataFrame, keys: tu
                 for own_, k in _ranges(count["y"] * count["x"], most):
                     y, x = np.divmod(k, count["x"][own_])
                     y, x = y + low["y"][own_], x + low["x"][own_]
-                    far, by = 0.5 * np.sqrt((x - cx[own_]) ** 2 + (y - cy[own_]) ** 2), 1 / np.abs(sigma)[own_]
-                    factor = erf((far + edge) * by) - erf((far - edge) * by)
-                    soft = (0.25 * sigma)[own_] * factor * factor
+                    by = 1 / np.abs(sigma)
+                    far, by = np.sqrt((x - cx[own_]) ** 2 + (y - cy[own_]) ** 2) * (0.5 * by)[own_], (edge * by)[own_]
+                    factor = erf(far + by)
+                    factor -= erf(far - by)
+                    factor *= factor
+                    soft = (0.25 * sigma)[own_] * factor
                     found, y, x, sums = _added(code[row], low, count, own_, y, x, [v[own_] * soft for v in values])
                     yield pa.RecordBatch.from_arrays([images.dictionary.take(pa.array(found)), pa.array(y), pa.array(x), *map(pa.array, sums)], ["image", "y", "x", "x_", "y_", "b_"])
 
